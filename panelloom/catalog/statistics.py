@@ -639,8 +639,9 @@ def _(t):
 
 @query(
     "h06_share",
-    """SELECT region, product_category, round(sum(total_value) / sum(sum(total_value)) OVER
-    (PARTITION BY region), 6) AS share FROM purchases JOIN panelists USING (panelist_id) GROUP BY ALL""",
+    """SELECT region, product_category, round(v / sum(v) OVER (PARTITION BY region), 6) AS share FROM
+    (SELECT region, product_category, sum(total_value) AS v FROM purchases JOIN panelists
+    USING (panelist_id) GROUP BY ALL)""",
     ("panelists", "purchases"),
 )
 def _(t):

@@ -88,7 +88,9 @@ def chi_square_breakdown(
         F.min(expected).alias("min_expected"),
     )
     full = F.col("smallest") >= 2
-    p = tails.chi2_sf("chi2", "dof")
+    # Not in the select below: inside a lambda, ``chi2`` would mean its rounded alias.
+    out = out.withColumn("p", tails.chi2_sf("chi2", "dof"))
+    p = F.col("p")
     testable = full & (F.col("min_expected") >= min_expected)
     return out.select(
         *keys,
@@ -205,7 +207,8 @@ def rake(
         return frame[keys].assign(weight=weights)
 
     schema = ", ".join(f"`{k}` INT" for k in keys) + ", weight DOUBLE"
-    weights = cells.groupBy(F.lit(0)).applyInPandas(weigh, schema)  # at most ``bound`` rows
+    # At most ``bound`` rows meet here.
+    weights = cells.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(weigh, schema)
     return coded.join(F.broadcast(weights), keys).drop(*keys)
 
 
