@@ -3,6 +3,7 @@
 from panelloom.catalog import (  # noqa: F401
     aggregates,
     scans,
+    screening,
     statistics,
 )
 from panelloom.catalog.base import QUERIES, SQL  # noqa: F401
