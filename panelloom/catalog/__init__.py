@@ -2,6 +2,7 @@
 
 from panelloom.catalog import (  # noqa: F401
     aggregates,
+    monitoring,
     scans,
     screening,
     statistics,

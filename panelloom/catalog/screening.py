@@ -190,9 +190,8 @@ def _raw(t):
         .otherwise("either 1-urgent or 5-low, hard to say")
     )
     joined = t.generated.join(catalog_of(t).select("question_id", "options"), "question_id")
-    return joined.select("response_id", screens.parse_answer(shaped, "options").alias("p")).select(
-        "response_id", "p.*"
-    )
+    rows = joined.select("response_id", shaped.alias("raw"), "options")
+    return text.parse_answers(rows, "raw").drop("raw", "options")
 
 
 @query(

@@ -269,17 +269,7 @@ def default_options(kind: LikeCol) -> Column:
 
 def strip_fences(c: LikeCol) -> Column:
     """Drop a surrounding code fence and its first line."""
-    text = strip(c)
-    opened = F.when(
-        F.startswith(text, F.lit("```")),
-        F.when(
-            F.contains(text, F.lit("\n")), F.substr(text, F.instr(text, "\n") + 1)
-        ).otherwise(F.substr(text, F.lit(4))),
-    ).otherwise(text)
-    closed = F.when(
-        F.endswith(opened, F.lit("```")), F.substr(opened, F.lit(1), F.length(opened) - 3)
-    ).otherwise(opened)
-    return strip(closed)
+    return strip(F.regexp_replace(strip(c), r"^```(?:[^\n]*\n)?|```\z", ""))
 
 
 def question_spec(spec_json: LikeCol, text: LikeCol) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import patterns as P
 from panelloom.functions import spans
-from panelloom.functions.expr import LikeCol, col, is_valid_option, strip, strip_fences
+from panelloom.functions.expr import LikeCol, col, is_valid_option, strip
 
 
 def fold(text: Column) -> Column:
@@ -277,55 +277,13 @@ def clamp_confidence(value: Column) -> Column:
     return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), number)), F.lit(0.5))
 
 
-def _python_text(cleaned: Column, field: str) -> Column:
+def python_text(values: Column, variant: Column, field: str) -> Column:
     """JSON field as text the way Python prints it (``None``, ``True``)."""
-    values = F.from_json(cleaned, "map<string,string>")
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(cleaned), f"$.{field}", "variant"))
+    kind = F.schema_of_variant(F.try_variant_get(variant, f"$.{field}", "variant"))
     value = values[field]
-    return F.when(~F.map_contains_key(values, field), "").when(value.isNull(), "None").when(
-        kind == "BOOLEAN", F.initcap(value)
-    ).otherwise(value)
-
-
-def parse_answer(raw: LikeCol, options: LikeCol) -> Column:
-    """Struct of answer, reasoning, confidence and parse_method.
-
-    JSON object, then loose fields, then the only option mentioned, then the raw
-    text. Never fails.
-    """
-    cleaned = strip_fences(raw)
-
-    def result(answer: Column, reasoning: Column, confidence: Column, method: str) -> Column:
-        return F.struct(
-            answer.alias("answer"), reasoning.alias("reasoning"),
-            confidence.alias("confidence"), F.lit(method).alias("parse_method"),
-        )
-
-    is_object = F.startswith(cleaned, F.lit("{")) & F.try_parse_json(cleaned).isNotNull()
-    answer = _python_text(cleaned, "answer")
-    values = F.from_json(cleaned, "map<string,string>")
-    by_json = F.when(
-        F.coalesce(is_object & (strip(answer) != ""), F.lit(False)),
-        result(answer, _python_text(cleaned, "reasoning"), clamp_confidence(values["confidence"]), "json"),
-    )
-    field = F.regexp_extract(cleaned, ANSWER_FIELD, 1)
-    by_regex = F.when(
-        strip(field) != "",
-        result(
-            field, F.regexp_extract(cleaned, REASONING_FIELD, 1),
-            clamp_confidence(F.regexp_extract(cleaned, CONFIDENCE_FIELD, 1)), "regex",
-        ),
-    )
-    low = F.lower(cleaned)
-    mentioned = F.filter(
-        F.coalesce(col(options), F.array().cast("array<string>")),
-        lambda o: F.contains(low, F.lower(o)),
-    )
-    by_scan = F.when(
-        F.size(mentioned) == 1,
-        result(mentioned[0], F.lit(SCAN_NOTE), F.lit(FALLBACK_CONFIDENCE), "option_scan"),
-    )
-    by_raw = result(
-        F.left(cleaned, F.lit(RAW_CHARS)), F.lit(RAW_NOTE), F.lit(FALLBACK_CONFIDENCE), "raw"
+    return (
+        F.when(values.isNull() | ~F.map_contains_key(values, field), "")
+        .when(value.isNull(), "None")
+        .when(value.isin("true", "false") & (kind == "BOOLEAN"), F.initcap(value))
+        .otherwise(value)
     )
-    return F.coalesce(by_json, by_regex, by_scan, by_raw)

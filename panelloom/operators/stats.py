@@ -214,11 +214,14 @@ def rake(
 
 # --- drift ----------------------------------------------------------------
 
-def _mixes(df: DataFrame, period: str, category: str, k: int) -> DataFrame:
-    """Smoothable counts per (period, category) with the period's rank."""
-    counts = df.filter(F.col(period).isNotNull() & F.col(category).isNotNull()).groupBy(
+def period_counts(df: DataFrame, period: str, category: str) -> DataFrame:
+    return df.filter(F.col(period).isNotNull() & F.col(category).isNotNull()).groupBy(
         F.col(period).alias("period"), F.col(category).alias("category")
     ).agg(n_rows().alias("n"))
+
+
+def _mixes(counts: DataFrame) -> DataFrame:
+    """Counts of every category in every period, with the period's rank."""
     levels = one(counts, F.array_sort(F.collect_set("category")))
     # Periods are calendar buckets: one row each.
     periods = counts.select("period").distinct().withColumn(
@@ -228,8 +231,9 @@ def _mixes(df: DataFrame, period: str, category: str, k: int) -> DataFrame:
     return frame.join(counts, ["period", "category"], "left").na.fill(0, ["n"])
 
 
-def _drift(df: DataFrame, period: str, category: str, k: int, base_smoothing: float) -> DataFrame:
-    mixes = _mixes(df, period, category, k)
+def drift_from_counts(counts: DataFrame, k: int, base_smoothing: float) -> DataFrame:
+    """Divergence of each period after the first ``k`` from their sum."""
+    mixes = _mixes(counts)
     first = mixes.filter(F.col("rank") <= k).groupBy("category").agg(
         (F.sum("n") + base_smoothing).alias("b")
     )
@@ -250,12 +254,12 @@ def _drift(df: DataFrame, period: str, category: str, k: int, base_smoothing: fl
 
 def drift_pooled(df: DataFrame, period: str, category: str, k: int = 3) -> DataFrame:
     """Divergence of each later period from the pooled first ``k``, smoothed once."""
-    return _drift(df, period, category, k, SMOOTHING)
+    return drift_from_counts(period_counts(df, period, category), k, SMOOTHING)
 
 
 def drift_summed(df: DataFrame, period: str, category: str, k: int = 3) -> DataFrame:
     """The same against the sum of ``k`` separately smoothed periods."""
-    return _drift(df, period, category, k, SMOOTHING * k)
+    return drift_from_counts(period_counts(df, period, category), k, SMOOTHING * k)
 
 
 def streaks(df: DataFrame, order: str, cond: str) -> DataFrame:

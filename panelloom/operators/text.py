@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import patterns as P
 from panelloom.functions import screens
-from panelloom.functions.expr import strip
+from panelloom.functions.expr import strip, strip_fences
 from panelloom.session import n_rows
 
 
@@ -77,6 +77,69 @@ def rejection_report(judged: DataFrame, limit: float, invalid: Column | None = N
     )
 
 
+def parse_answers(df: DataFrame, raw: str, options: str = "options") -> DataFrame:
+    """Adds answer, reasoning, confidence and parse_method to raw model output.
+
+    JSON object, then loose fields, then the only option mentioned, then the raw
+    text. Never fails. Each step is a column of its own, so no text is cleaned or
+    parsed twice.
+    """
+    found = df.withColumn("__text", strip_fences(raw))
+    found = found.withColumn(
+        "__json", F.when(F.startswith("__text", F.lit("{")), F.try_parse_json("__text"))
+    ).withColumn(
+        "__map",
+        F.when(F.col("__json").isNotNull(), F.from_json("__text", "map<string,string>")),
+    )
+    low = F.lower("__text")
+    none = F.array().cast("array<string>")
+    mentioned = F.filter(
+        F.coalesce(F.col(options), none), lambda o: F.contains(low, F.lower(o))
+    )
+    found = found.select(
+        "*",
+        F.coalesce(screens.python_text(F.col("__map"), F.col("__json"), "answer"), F.lit("")).alias(
+            "__by_json"
+        ),
+        F.regexp_extract("__text", screens.ANSWER_FIELD, 1).alias("__by_field"),
+        mentioned.alias("__mentioned"),
+    )
+    method = (
+        F.when(strip("__by_json") != "", "json")
+        .when(strip("__by_field") != "", "regex")
+        .when(F.size("__mentioned") == 1, "option_scan")
+        .otherwise("raw")
+    )
+    found = found.withColumn("parse_method", method)
+    how = F.col("parse_method")
+
+    def pick(by_json: Column, by_field: Column, by_scan: Column, by_raw: Column) -> Column:
+        return (
+            F.when(how == "json", by_json).when(how == "regex", by_field)
+            .when(how == "option_scan", by_scan).otherwise(by_raw)
+        )
+
+    fallback = F.lit(screens.FALLBACK_CONFIDENCE)
+    return found.select(
+        *df.columns,
+        pick(
+            F.col("__by_json"), F.col("__by_field"), F.get("__mentioned", F.lit(0)),
+            F.left("__text", F.lit(screens.RAW_CHARS)),
+        ).alias("answer"),
+        pick(
+            screens.python_text(F.col("__map"), F.col("__json"), "reasoning"),
+            F.regexp_extract("__text", screens.REASONING_FIELD, 1),
+            F.lit(screens.SCAN_NOTE), F.lit(screens.RAW_NOTE),
+        ).alias("reasoning"),
+        pick(
+            screens.clamp_confidence(F.col("__map")["confidence"]),
+            screens.clamp_confidence(F.regexp_extract("__text", screens.CONFIDENCE_FIELD, 1)),
+            fallback, fallback,
+        ).alias("confidence"),
+        "parse_method",
+    )
+
+
 def _issue(cond: Column, field: Column | str, message: Column | str, received: Column) -> Column:
     f = F.lit(field) if isinstance(field, str) else field
     m = F.lit(message) if isinstance(message, str) else message
