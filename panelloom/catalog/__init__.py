@@ -2,6 +2,8 @@
 
 from panelloom.catalog import (  # noqa: F401
     aggregates,
+    gates,
+    modelling,
     monitoring,
     scans,
     screening,

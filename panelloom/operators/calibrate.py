@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.operators import distributions as dist
+from panelloom.session import materialize
 
 LAMBDA_B, LAMBDA_F, EPSILON = 0.3, 0.2, 0.1
 FLOOR = 1e-12
@@ -35,15 +36,24 @@ def calibrate(
 
 def calibration_metrics(calibrated: DataFrame, keys: Sequence[str] = ("question_id",)) -> DataFrame:
     """W1 and JS to the target before and after, with percent improvement."""
-    def against(column: str, suffix: str) -> DataFrame:
-        pairs = calibrated.select(
-            *keys, "option_idx", F.col(column).alias("p"), F.col("target").alias("q")
-        )
-        return dist.divergences(pairs, keys).select(
-            *keys, F.col("wasserstein").alias(f"w_{suffix}"), F.col("js").alias(f"js_{suffix}")
+    stages = F.explode(
+        F.array(
+            F.struct(F.lit("before").alias("stage"), F.col("source").alias("p")),
+            F.struct(F.lit("after").alias("stage"), F.col("mass").alias("p")),
         )
+    )
+    pairs = calibrated.select(
+        *keys, "option_idx", F.col("target").alias("q"), stages.alias("s")
+    ).select(*keys, "option_idx", "q", "s.*")
+    measured = dist.divergences(pairs, [*keys, "stage"])
 
-    both = against("source", "before").join(against("mass", "after"), list(keys))
+    def at(measure: str, stage: str) -> Column:
+        return F.max(F.when(F.col("stage") == stage, F.col(measure)))
+
+    both = measured.groupBy(*keys).agg(
+        at("wasserstein", "before").alias("w_before"), at("wasserstein", "after").alias("w_after"),
+        at("js", "before").alias("js_before"), at("js", "after").alias("js_after"),
+    )
 
     def better(m: str) -> Column:
         a, b = F.col(f"{m}_before"), F.col(f"{m}_after")
@@ -110,19 +120,41 @@ def parity_gaps(repaired: DataFrame, keys: Sequence[str] = ("question_id", "grou
     )
 
 
+def survey_shares(
+    responses: DataFrame, history: DataFrame, catalog: DataFrame, answer: str = "answer",
+    group: str = "age_group",
+) -> tuple[DataFrame, DataFrame]:
+    """Observed against empirical shares, and the group shares.
+
+    Responses and history are each read once. The results have a row per option
+    (and group); they are stored, so what follows never goes back to the answers.
+    """
+    small = materialize(catalog, "catalog")
+    cells = materialize(dist.weighted_cells(responses, small, group, answer), "weights")
+    source = dist.overall_from_cells(cells, small)
+    target = dist.empirical_target(history, small)
+    pairs = materialize(dist.align(source, target), "pairs")
+    return pairs, materialize(dist.groups_from_cells(cells, small), "groups")
+
+
 def calibrate_survey(
     responses: DataFrame, history: DataFrame, catalog: DataFrame, answer: str = "answer",
     blend: float = LAMBDA_B, fairness: float = LAMBDA_F, tolerance: float = 0.1,
     group: str = "age_group",
 ) -> DataFrame:
-    """Weighted source, empirical target, blend, fairness and metrics in one plan.
+    """Weighted source, empirical target, blend, fairness and metrics per question.
 
     A question whose masses are unusable gets null metrics; others are unaffected.
     """
-    source = dist.weighted_distribution(responses, catalog, answer)
-    target = dist.empirical_target(history, catalog)
-    calibrated = calibrate(dist.align(source, target), blend=blend)
-    groups = dist.group_distributions(responses, catalog, group, answer)
+    pairs, groups = survey_shares(responses, history, catalog, answer, group)
+    return survey_metrics(pairs, groups, blend, fairness, tolerance)
+
+
+def survey_metrics(
+    pairs: DataFrame, groups: DataFrame, blend: float = LAMBDA_B, fairness: float = LAMBDA_F,
+    tolerance: float = 0.1,
+) -> DataFrame:
+    calibrated = calibrate(pairs, blend=blend)
     gaps = parity_gaps(fairness_repair(groups, calibrated, fairness, tolerance))
     worst = gaps.groupBy("question_id").agg(
         F.max("gap_before").alias("max_gap_before"), F.max("gap_after").alias("max_gap_after")

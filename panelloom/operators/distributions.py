@@ -48,8 +48,10 @@ def matched_counts(
     answer: str = "answer",
     keys: Sequence[str] = (),
     measures: Mapping[str, Column] | None = None,
+    keep_unmatched: bool = False,
 ) -> DataFrame:
-    """Measures per matched option; unmatched answers drop out.
+    """Measures per matched option; unmatched answers drop out, or come under a null
+    option with ``keep_unmatched``.
 
     ``rule`` is ``equal`` (raw text), ``exact`` (trim and case) or
     ``first_substring``. Measures must be sums.
@@ -68,11 +70,11 @@ def matched_counts(
         index = expr.match_first_substring("__answer", "options")
     else:
         raise ValueError(f"unknown matching rule {rule!r}")
-    return (
-        joined.withColumn("option_idx", index)
-        .filter("option_idx IS NOT NULL")
-        .groupBy("question_id", *keys, "option_idx")
-        .agg(*[F.sum(name).alias(name) for name in measures])
+    placed = joined.withColumn("option_idx", index)
+    if not keep_unmatched:
+        placed = placed.filter("option_idx IS NOT NULL")
+    return placed.groupBy("question_id", *keys, "option_idx").agg(
+        *[F.sum(name).alias(name) for name in measures]
     )
 
 
@@ -113,28 +115,46 @@ def _weight() -> Column:
     return F.when(w.isNull() | (w == 0), 1.0).otherwise(w)
 
 
+def weighted_cells(
+    responses: DataFrame, catalog: DataFrame, dim: str, answer: str = "answer"
+) -> DataFrame:
+    """Expansion weight per (question, group, option): one scan that serves both the
+    overall and the group distributions. Blank groups stay in as null, and so do
+    unmatched answers, whose groups must not vanish."""
+    value = F.col(dim).cast("string")
+    named = responses.withColumn("group", F.when(value != "", value))
+    return matched_counts(
+        named, catalog, "first_substring", answer, ["group"], {"weight": F.sum(_weight())}, True
+    )
+
+
+def overall_from_cells(cells: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Weighted shares plus 1e-6 per option, normalized."""
+    counts = cells.groupBy("question_id", "option_idx").agg(F.sum("weight").alias("weight"))
+    full = scaffold(counts, catalog, ["weight"])
+    return _normalized(full, ["question_id"], F.col("weight") + 1e-6, "mass").drop("weight")
+
+
+def groups_from_cells(cells: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The same per group; blank groups drop out."""
+    named = cells.filter("`group` IS NOT NULL")
+    full = scaffold(named, catalog, ["weight"], named.select("question_id", "group").distinct())
+    return _normalized(full, ["question_id", "group"], F.col("weight") + 1e-6, "mass").drop("weight")
+
+
 def weighted_distribution(responses: DataFrame, catalog: DataFrame, answer: str = "answer") -> DataFrame:
-    """Expansion-weighted shares plus 1e-6 per option, normalized."""
+    """Expansion-weighted shares per question."""
     counts = matched_counts(
         responses, catalog, "first_substring", answer, measures={"weight": F.sum(_weight())}
     )
-    full = scaffold(counts, catalog, ["weight"])
-    return _normalized(full, ["question_id"], F.col("weight") + 1e-6, "mass").drop("weight")
+    return overall_from_cells(counts, catalog)
 
 
 def group_distributions(
     responses: DataFrame, catalog: DataFrame, dim: str = "age_group", answer: str = "answer"
 ) -> DataFrame:
-    """The same per demographic group; blank groups drop out."""
-    named = responses.withColumn("group", F.col(dim).cast("string")).filter(
-        F.coalesce(F.col("group"), F.lit("")) != ""
-    )
-    counts = matched_counts(
-        named, catalog, "first_substring", answer, ["group"], {"weight": F.sum(_weight())}
-    )
-    groups = named.select("question_id", "group").distinct()
-    full = scaffold(counts, catalog, ["weight"], groups)
-    return _normalized(full, ["question_id", "group"], F.col("weight") + 1e-6, "mass").drop("weight")
+    """Expansion-weighted shares per question and demographic group."""
+    return groups_from_cells(weighted_cells(responses, catalog, dim, answer), catalog)
 
 
 def conditional_distribution(

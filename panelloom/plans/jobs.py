@@ -181,7 +181,8 @@ def cross_validate(results: DataFrame, benchmarks: DataFrame, js_limit: float =
     weighted = benchmarks.groupBy("source", "question_id", "option").agg(
         F.sum(F.col("share") * F.col("sample_size")).alias("q")
     )
-    frame = results.join(weighted.select("source", "question_id").distinct(), "question_id")
+    shares = results.select("question_id", "option_idx", "option", "mass")
+    frame = shares.join(weighted.select("source", "question_id").distinct(), "question_id")
     pairs = frame.join(weighted, ["source", "question_id", "option"], "left").select(
         "source", "question_id", "option_idx", F.col("mass").alias("p"),
         F.coalesce("q", F.lit(0.0)).alias("q"),
@@ -271,12 +272,13 @@ def survey_chain(
     raw: DataFrame, history: DataFrame, catalog: DataFrame, answer: str = "answer"
 ) -> DataFrame:
     """Calibration metrics and diversity per question in one plan."""
-    metrics = cal.calibrate_survey(raw, history, catalog, answer)
-    source = dist.weighted_distribution(raw, catalog, answer)
-    target = dist.empirical_target(history, catalog)
-    shipped = cal.calibrate(dist.align(source, target))
-    entropy = dist.entropies(source).select("question_id", "entropy").join(
-        dist.entropies(shipped).select("question_id", F.col("entropy").alias("calibrated_entropy")),
+    pairs, groups = cal.survey_shares(raw, history, catalog, answer)
+    entropy = dist.entropies(pairs.withColumn("mass", F.col("p"))).select(
+        "question_id", "entropy"
+    ).join(
+        dist.entropies(cal.calibrate(pairs)).select(
+            "question_id", F.col("entropy").alias("calibrated_entropy")
+        ),
         "question_id",
     )
-    return metrics.join(stats.diversity_check(entropy), "question_id")
+    return cal.survey_metrics(pairs, groups).join(stats.diversity_check(entropy), "question_id")
