@@ -126,10 +126,10 @@ def _(t):
     AS obfuscated FROM documents""",
 )
 def _(t):
-    flags = screens.encoding_flags("text")
-    return t.texts.select(
-        "id", F.array_contains(flags, "encoding:hex").alias("hex"),
-        F.array_contains(flags, "encoding:unicode").alias("obfuscated"),
+    judged = t.texts.select("id", screens.encoding_flags("text").alias("found"))
+    return judged.select(
+        "id", F.array_contains("found", "encoding:hex").alias("hex"),
+        F.array_contains("found", "encoding:unicode").alias("obfuscated"),
     )
 
 
@@ -163,8 +163,8 @@ def _(t):
 
 @query("o09_risk")
 def _(t):
-    flags = screens.question_flags("text")
-    return t.texts.select("id", screens.risk(flags).alias("risk"), F.size(flags).alias("flags"))
+    judged = t.texts.select("id", screens.question_flags("text").alias("found"))
+    return judged.select("id", screens.risk("found").alias("risk"), F.size("found").alias("flags"))
 
 
 @query("o09_sanitize")

@@ -135,21 +135,26 @@ def sanitize(text: LikeCol, limit: int = P.PROMPT_CHARS) -> Column:
 def pii_kinds(text: LikeCol) -> dict[str, Column]:
     """One condition per kind of personal data, before overlaps are resolved."""
     t = col(text)
+    digit = t.rlike(r"(?U)\d")
     cards = F.regexp_extract_all(t, F.lit("(?U)" + P.CARD), F.lit(0))
-    digits_only = r"[ -]"
+    separators = r"[ -]"
     card = t.rlike("(?U)" + P.CARD) & F.exists(
-        cards, lambda c: F.call_function("luhn_check", F.regexp_replace(c, digits_only, ""))
+        cards, lambda c: F.call_function("luhn_check", F.regexp_replace(c, separators, ""))
     )
     low = fold(t)
+    signed = F.lit(False)
+    for word in ("regards", "sincerely", "thanks", "best"):
+        signed = signed | F.contains(low, F.lit(word))
     name = (F.contains(low, F.lit("name")) & t.rlike("(?U)" + P.NAME_STATED)) | (
-        low.rlike("regards|sincerely|thanks|best") & t.rlike("(?U)" + P.NAME_SIGNED)
+        signed & t.rlike("(?U)" + P.NAME_SIGNED)
     )
     return {
         "email": F.contains(t, F.lit("@")) & t.rlike("(?U)" + P.EMAIL),
-        "ssn": t.rlike("(?U)" + P.SSN),
-        "credit_card": card,
-        "phone": t.rlike("(?U)" + P.PHONE),
-        "address": t.rlike("(?U)" + P.ADDRESS),
+        "ssn": digit & F.contains(t, F.lit("-")) & t.rlike("(?U)" + P.SSN),
+        "credit_card": digit & card,
+        # A cheap necessary form first: the full pattern starts with optional parts.
+        "phone": digit & t.rlike(r"(?U)\d[-.\s]\d{4}\b|\+\d{10}") & t.rlike("(?U)" + P.PHONE),
+        "address": digit & t.rlike(r"(?U)\d\s+[A-Za-z]") & t.rlike("(?U)" + P.ADDRESS),
         "name": name,
     }
 

@@ -22,6 +22,7 @@ def build_session(app: str = "panelloom", cpus: str = "*", **conf: str) -> Spark
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -45,6 +46,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that has fewer files than cores.
+
+    For work that costs far more than moving the rows, such as pattern screens; a
+    table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

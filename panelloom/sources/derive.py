@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelloom import schemas
 from panelloom.functions.ranking import first_rows
+from panelloom.session import spread
 
 
 def _pick(values: list[str], index: Column) -> Column:
@@ -180,7 +181,7 @@ class PanelTables:
 
     @cached_property
     def texts(self) -> DataFrame:
-        return self.raw("documents").select(F.col("doc_id").alias("id"), "text")
+        return spread(self.raw("documents").select(F.col("doc_id").alias("id"), "text"))
 
     @cached_property
     def turns(self) -> DataFrame:
