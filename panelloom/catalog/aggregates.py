@@ -19,7 +19,7 @@ def r6(df, *columns):
 
 
 def catalog_of(t):
-    return dist.question_catalog(t.responses)
+    return t.catalog
 
 
 @query(
@@ -355,7 +355,7 @@ def _(t):
     ("responses",),
 )
 def _(t):
-    return catalog_of(t).withColumn("options", F.array_join("options", "|"))
+    return dist.question_catalog(t.responses).withColumn("options", F.array_join("options", "|"))
 
 
 @query(

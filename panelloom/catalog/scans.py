@@ -338,7 +338,7 @@ def _(t):
     ("generated", "options"),
 )
 def _(t):
-    catalog = dist.question_catalog(t.responses)
+    catalog = t.catalog
     return dist.matched_counts(t.generated, catalog, "exact", "loose_answer").withColumnRenamed(
         "count", "n"
     )
@@ -357,7 +357,7 @@ _NEAR = """near AS (SELECT g.response_id, min(CASE WHEN lower(trim(g.loose_answe
     ("generated", "options"),
 )
 def _(t):
-    catalog = dist.question_catalog(t.responses)
+    catalog = t.catalog
     return dist.matched_counts(
         t.generated, catalog, "first_substring", "loose_answer"
     ).withColumnRenamed("count", "n")
@@ -370,7 +370,7 @@ def _(t):
     ("generated", "options"),
 )
 def _(t):
-    catalog = dist.question_catalog(t.responses)
+    catalog = t.catalog
     joined = t.generated.join(catalog.select("question_id", "options"), "question_id")
     return joined.groupBy(
         "question_id", expr.is_valid_option("loose_answer", "options").alias("valid")
@@ -442,7 +442,7 @@ def _(t):
     ("responses",),
 )
 def _(t):
-    catalog = dist.question_catalog(t.responses)
+    catalog = t.catalog
     prompt = expr.question_prompt(
         "question_text", "options", F.lit(""), F.array().cast("array<string>")
     )
@@ -603,7 +603,7 @@ def _(t):
     ("responses", "options"),
 )
 def _(t):
-    catalog = dist.question_catalog(t.responses)
+    catalog = t.catalog
     few = t.responses.filter((F.col("region") == "ASIA") & (F.col("answer_index") < 3))
     return dist.empirical_counts(few, catalog).withColumnRenamed("count", "n")
 
@@ -635,7 +635,7 @@ def _(t):
     ("panelists", "responses"),
 )
 def _(t):
-    catalog = dist.question_catalog(t.responses)
+    catalog = t.catalog
     return sampling.cross_frame(t.panelists.select("panelist_id"), catalog)
 
 
@@ -652,7 +652,7 @@ PAIR_CTES = f"{_SOURCE}, {_TARGET}"
 
 
 def aligned(t):
-    catalog = dist.question_catalog(t.responses)
+    catalog = t.catalog
     return dist.align(
         dist.weighted_distribution(t.generated, catalog, "loose_answer"),
         dist.empirical_target(t.empirical, catalog),
@@ -680,7 +680,7 @@ def _(t):
 def _(t):
     from panelloom.operators import joins
 
-    catalog = dist.question_catalog(t.responses).select("question_id")
+    catalog = t.catalog.select("question_id")
     evidence = t.generated.filter(~F.col("is_valid") & (F.col("question_id") != "q_P")).select(
         "question_id", F.col("seq").alias("first_flagged")
     )

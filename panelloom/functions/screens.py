@@ -279,7 +279,9 @@ RAW_NOTE = "Parsing fallback — raw model output used"
 
 def clamp_confidence(value: Column) -> Column:
     number = value.try_cast("double")
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), number)), F.lit(0.5))
+    # ``least`` and ``greatest`` skip nulls, so a missing number is told apart first.
+    clipped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), number))
+    return F.when(number.isNull(), 0.5).otherwise(clipped)
 
 
 def python_text(values: Column, variant: Column, field: str) -> Column:

@@ -170,8 +170,8 @@ def conditional_distribution(
 
 def mix_conditionals(conditionals: DataFrame, panelists: DataFrame, given: str = "behavioral_archetype") -> DataFrame:
     """Population mix: sum over groups of group share times P(option | group)."""
-    total = one(panelists.filter(F.col(given).isNotNull()), n_rows())
-    shares = panelists.filter(F.col(given).isNotNull()).groupBy(given).agg((n_rows() / total).alias("w"))
+    sizes = panelists.filter(F.col(given).isNotNull()).groupBy(given).agg(n_rows().alias("n"))
+    shares = sizes.select(given, (F.col("n") / one(sizes, F.sum("n"))).alias("w"))
     return (
         conditionals.join(shares, given)
         .groupBy("question_id", "option_idx", "option")
@@ -223,22 +223,26 @@ def divergences(
     last = F.lead(F.lit(1)).over(ordered).isNull()
     ps, qs = F.col("ps"), F.col("qs")
     mid = (ps + qs) / 2
+    usable = mid.isNotNull()
     cells = with_shares(pairs, keys, strict).select(
         *keys, "ps", "qs",
-        (xlog2(ps, mid) / 2 + xlog2(qs, mid) / 2).alias("js"),
-        F.when(last, 0.0).otherwise(
-            F.abs(F.sum(ps - qs).over(upto)) * step
+        F.when(usable, xlog2(ps, mid) / 2 + xlog2(qs, mid) / 2).alias("js"),
+        F.when(
+            usable, F.when(last, 0.0).otherwise(F.abs(F.sum(ps - qs).over(upto)) * step)
         ).alias("w1"),
         F.when(ps.isNotNull(), -xlog2(ps, F.lit(1.0))).alias("h"),
     )
     norm = F.sqrt(F.sum(ps * ps)) * F.sqrt(F.sum(qs * qs))
     n = F.count(F.lit(1))
+
+    def clip(x: Column, low: float) -> Column:
+        return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(1.0), x)))
+
+    angle = F.when(norm < TINY, 0.0).otherwise(F.sum(ps * qs) / norm)
     return cells.groupBy(*keys).agg(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sum("js"))).alias("js"),
+        clip(F.sum("js"), 0.0).alias("js"),
         F.sum("w1").alias("wasserstein"),
-        F.greatest(
-            F.lit(-1.0), F.least(F.lit(1.0), F.when(norm < TINY, 0.0).otherwise(F.sum(ps * qs) / norm))
-        ).alias("cosine"),
+        clip(angle, -1.0).alias("cosine"),
         F.sum("h").alias("entropy"),
         F.when(n < 2, 0.0).otherwise(F.sum("h") / F.log2(n)).alias("normalized_entropy"),
         (F.sum(F.abs(ps - qs)) / 2).alias("total_variation"),
@@ -388,7 +392,7 @@ def cohort_summary(cohort: DataFrame, attributes: Sequence[str]) -> DataFrame:
     long = joint.select(
         "n", *[F.coalesce(F.col(a).cast("string"), F.lit("unknown")).alias(a) for a in attributes]
     ).unpivot(["n"], list(attributes), "attribute", "value")
-    total = one(cohort, n_rows())
+    total = one(joint, F.sum("n"))
     return long.groupBy("attribute", "value").agg(F.sum("n").alias("n")).select(
         "attribute", "value", "n", F.bround(F.col("n") / total * 100, 1).alias("percentage")
     )
@@ -416,5 +420,5 @@ def benchmark_distributions(
 
 
 def joint_distribution(pairs: DataFrame, a: str = "index_a", b: str = "index_b") -> DataFrame:
-    total = one(pairs, n_rows())
-    return pairs.groupBy(a, b).agg(n_rows().alias("n")).select(a, b, "n", (F.col("n") / total).alias("share"))
+    cells = pairs.groupBy(a, b).agg(n_rows().alias("n"))
+    return cells.withColumn("share", F.col("n") / one(cells, F.sum("n")))

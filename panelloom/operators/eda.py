@@ -23,10 +23,9 @@ def ordered_distribution(df: DataFrame, column: str, scale: Sequence[str] = ())
 
     Nulls stay in the denominator but are not listed.
     """
-    total = one(df, n_rows())
-    counts = df.filter(F.col(column).isNotNull()).groupBy(
-        F.col(column).cast("string").alias("label")
-    ).agg(n_rows().alias("count"))
+    every = df.groupBy(F.col(column).cast("string").alias("label")).agg(n_rows().alias("count"))
+    total = one(every, F.sum("count"))
+    counts = every.filter("label IS NOT NULL")
     place = expr.scale_position("label", scale) if scale else F.lit(None).cast("int")
     order = Window.orderBy(F.col("place").asc_nulls_last(), F.col("count").desc(), "label")
     # One row per distinct value is left here.
@@ -59,15 +58,11 @@ def crosstab(
     df: DataFrame, rows: str, cols: str, row_scale: Sequence[str], col_scale: Sequence[str]
 ) -> DataFrame:
     """Long contingency cells over the scale levels that occur, zero-filled."""
-    cells = (
-        df.filter(F.col(rows).isin(list(row_scale)) & F.col(cols).isin(list(col_scale)))
-        .groupBy(F.col(rows).alias("row"), F.col(cols).alias("col"))
-        .agg(n_rows().alias("n"))
-    )
-    seen_rows = df.filter(F.col(cols).isNotNull() & F.col(rows).isin(list(row_scale)))
-    seen_cols = df.filter(F.col(rows).isNotNull() & F.col(cols).isin(list(col_scale)))
-    levels = one(seen_cols, F.collect_set(cols))
-    frame = seen_rows.select(F.col(rows).alias("row")).distinct().select(
+    joint = df.groupBy(F.col(rows).alias("row"), F.col(cols).alias("col")).agg(n_rows().alias("n"))
+    known = joint.filter("row IS NOT NULL AND col IS NOT NULL")
+    cells = known.filter(F.col("row").isin(list(row_scale)) & F.col("col").isin(list(col_scale)))
+    levels = one(known.filter(F.col("col").isin(list(col_scale))), F.collect_set("col"))
+    frame = known.filter(F.col("row").isin(list(row_scale))).select("row").distinct().select(
         "row", F.explode(levels).alias("col")
     )
     return frame.join(cells, ["row", "col"], "left").select(
@@ -93,7 +88,7 @@ def penetration(purchases: DataFrame, top: int = 10) -> DataFrame:
     """Distinct buyers per category over distinct purchasing households."""
     # (household, category) pairs are made unique once; both counts use that.
     pairs = purchases.select("panelist_id", "product_category").distinct()
-    households = one(purchases, F.count_distinct("panelist_id"))
+    households = one(pairs, F.count_distinct("panelist_id"))
     return (
         pairs.filter(F.col("product_category").isNotNull() & F.col("panelist_id").isNotNull())
         .groupBy(F.col("product_category").alias("label"))
@@ -181,11 +176,10 @@ def survey_kpis(responses: DataFrame) -> DataFrame:
 
 
 def cluster_sizes(panelists: DataFrame, column: str = "behavioral_archetype") -> DataFrame:
-    sizes = panelists.filter(F.col(column).isNotNull()).groupBy(column).agg(n_rows().alias("count"))
-    return sizes.select(
-        expr.humanize(column).alias("label"),
-        "count",
-        _share(F.col("count"), one(panelists, n_rows())).alias("share"),
+    every = panelists.groupBy(column).agg(n_rows().alias("count"))
+    share = _share(F.col("count"), one(every, F.sum("count")))
+    return every.filter(F.col(column).isNotNull()).select(
+        expr.humanize(column).alias("label"), "count", share.alias("share")
     )
 
 

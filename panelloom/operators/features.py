@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -197,11 +199,6 @@ def encode_sequences(
 
 
 def centroids(df: DataFrame, group: str, column: str = "vector") -> DataFrame:
-    """Mean vector per group, by position, so no group's vectors gather anywhere."""
-    long = df.select(group, F.posexplode(column).alias("pos", "x"))
-    means = long.groupBy(group, "pos").agg(F.avg("x").alias("x"))
-    return means.groupBy(group).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias(
-            "centroid"
-        )
-    )
+    """Mean vector per group, combined before the shuffle."""
+    means = df.groupBy(group).agg(Summarizer.mean(array_to_vector(F.col(column))).alias("m"))
+    return means.select(group, vector_to_array("m").alias("centroid"))

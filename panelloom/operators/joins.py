@@ -29,10 +29,10 @@ def pair_answers(responses: DataFrame, question_a: str, question_b: str) -> Data
 
 def join_reference(panel: DataFrame, column: str, reference: DataFrame) -> DataFrame:
     """Reference groups with the panel's share; groups only in the panel are ignored."""
-    named = panel.filter(F.col(column).isNotNull())
-    shares = named.groupBy(F.col(column).alias("group")).agg(
-        (n_rows() / one(named, n_rows())).alias("panel_share")
+    counts = panel.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("group")).agg(
+        n_rows().alias("n")
     )
+    shares = counts.select("group", (F.col("n") / one(counts, F.sum("n"))).alias("panel_share"))
     return reference.join(shares, "group", "left").na.fill(0.0, ["panel_share"])
 
 

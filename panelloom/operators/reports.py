@@ -59,13 +59,14 @@ def flag_counts(responses: DataFrame, prefix: str = "", flags: str = "validation
 
 def model_costs(calls: DataFrame, budget: float | None = None) -> DataFrame:
     """Calls, latency, tokens and cost per model, with the run total and budget flag."""
-    total = one(calls, F.sum("cost_usd"))
     out = calls.groupBy("model_used").agg(
         n_rows().alias("calls"),
         F.avg("generation_time_ms").alias("avg_latency_ms"),
         F.sum("token_count").alias("tokens"),
         F.sum("cost_usd").alias("cost_usd"),
-    ).withColumn("cost_per_response", F.col("cost_usd") / F.col("calls")).withColumn(
+    )
+    total = one(out, F.sum("cost_usd"))
+    out = out.withColumn("cost_per_response", F.col("cost_usd") / F.col("calls")).withColumn(
         "total_cost_usd", total
     )
     over = total > budget if budget is not None else F.lit(False)
@@ -165,15 +166,14 @@ def compare_runs(per_question: DataFrame, run: str, metrics: Sequence[str]) -> D
 
 
 def parse_rates(parsed: DataFrame, method: str = "parse_method") -> DataFrame:
-    total = one(parsed, n_rows())
-    return parsed.groupBy(method).agg(n_rows().alias("n")).withColumn("rate", F.col("n") / total)
+    counts = parsed.groupBy(method).agg(n_rows().alias("n"))
+    return counts.withColumn("rate", F.col("n") / one(counts, F.sum("n")))
 
 
 def trace_durations(trace: DataFrame, step: str, duration: str) -> DataFrame:
-    total = one(trace, F.sum(duration))
-    return trace.groupBy(step).agg(F.sum(duration).alias("duration")).select(
-        step, "duration", (F.col("duration") / total).alias("share")
-    )
+    sums = trace.groupBy(step).agg(F.sum(duration).alias("duration"))
+    total = one(sums, F.sum("duration"))
+    return sums.select(step, "duration", (F.col("duration") / total).alias("share"))
 
 
 def labelled(names: Mapping[str, str], column: Column) -> Column:

@@ -114,7 +114,7 @@ def cosine(a: Column, b: Column) -> Column:
     value = F.when(
         (F.sqrt(dot(a, a)) < 1e-12) | (F.sqrt(dot(b, b)) < 1e-12), 0.0
     ).otherwise(dot(a, b) / norm)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))
+    return F.when(value.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
 
 
 def overall_cosine(pairs: DataFrame) -> DataFrame:
@@ -137,8 +137,10 @@ def pair_consistency(pairs: DataFrame, n_a: Column, n_b: Column, gap: float = 0.
 
 def representativeness(panel: DataFrame, column: str, reference: DataFrame) -> DataFrame:
     """Panel share against reference ``(group, reference_share)``; extra groups ignored."""
-    named = panel.filter(F.col(column).isNotNull())
-    shares = named.groupBy(F.col(column).alias("group")).agg((n_rows() / one(named, n_rows())).alias("observed"))
+    counts = panel.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("group")).agg(
+        n_rows().alias("n")
+    )
+    shares = counts.select("group", (F.col("n") / one(counts, F.sum("n"))).alias("observed"))
     joined = reference.join(shares, "group", "left")
     delta = F.bround(F.coalesce("observed", F.lit(0.0)) - F.col("reference_share"), 4)
     return joined.select(

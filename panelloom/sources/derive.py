@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from panelloom import schemas
 from panelloom.functions.ranking import first_rows
-from panelloom.session import spread
+from panelloom.operators.distributions import question_catalog
+from panelloom.session import materialize, spread
 
 
 def _pick(values: list[str], index: Column) -> Column:
@@ -121,6 +122,11 @@ class PanelTables:
         """All historical answers with the respondent's attributes."""
         return self._with_panel(self._answers(F.lit(True)))
 
+    @cached_property
+    def catalog(self) -> DataFrame:
+        """Question catalog, stored once: a row per question that many steps join."""
+        return materialize(question_catalog(self.responses), "catalog")
+
     @cached_property
     def empirical(self) -> DataFrame:
         return self._with_panel(self._answers(F.col("o_orderkey") % 2 == 0))
