@@ -397,7 +397,7 @@ def _(t):
 )
 def _(t):
     keep = expr.cohort_equals(
-        t.panelists.columns, {"region": "AFRICA", "has_children": "true", "unknown": ""}
+        t.panelists, {"region": "AFRICA", "has_children": True, "unknown": ""}
     )
     return t.panelists.filter(keep).select("panelist_id")
 

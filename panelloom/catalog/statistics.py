@@ -11,7 +11,7 @@ from panelloom.operators import calibrate as cal
 from panelloom.operators import distributions as dist
 from panelloom.operators import eda, features, joins, sampling, stats, windows
 from panelloom.operators import reports
-from panelloom.session import small_table
+from panelloom.session import materialize, small_table
 from panelloom.sources import panel
 
 BOTH = ("generated", "empirical", "options")
@@ -476,6 +476,12 @@ def _(t):
     return r6(out, "wasserstein", "js", "gap")
 
 
+@query("f07_epsilon_sweep")
+def _(t):
+    pairs = materialize(aligned(t), "pairs")
+    return cal.epsilon_sweep(cal.transport_plans(pairs, cal.cost_cells(pairs), [0.05, 0.1, 0.5, 1.0]))
+
+
 @query(
     "f08_mix_conditionals",
     f"""WITH {_COND}, sh AS (SELECT behavioral_archetype, count(*) / CAST((SELECT count(*) FROM panelists)

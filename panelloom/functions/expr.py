@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom import schemas
@@ -152,11 +152,16 @@ def cohort_lists(filters: Mapping[str, Sequence[str]]) -> Column:
     return keep
 
 
-def cohort_equals(columns: Sequence[str], filters: Mapping[str, object]) -> Column:
-    """AND of string equality. An unknown column reads as the empty string."""
+def cohort_equals(df: DataFrame, filters: Mapping[str, object]) -> Column:
+    """AND of string equality. An unknown column reads as the empty string; truth
+    values read ``True`` and ``False``, missing ones ``None``."""
+    types = dict(df.dtypes)
     keep = F.lit(True)
     for name, wanted in filters.items():
-        have = F.coalesce(F.col(name).cast("string"), F.lit("None")) if name in columns else F.lit("")
+        have = F.lit("")
+        if name in types:
+            text = F.col(name).cast("string")
+            have = F.coalesce(F.initcap(text) if types[name] == "boolean" else text, F.lit("None"))
         keep = keep & (have == F.lit(str(wanted)))
     return keep
 

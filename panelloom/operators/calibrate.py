@@ -269,6 +269,19 @@ def plan_entropy(plans: DataFrame, keys: Sequence[str] = ("question_id", "epsilo
     )
 
 
+def epsilon_sweep(plans: DataFrame) -> DataFrame:
+    """Mean iterations, final error, convergence and plan entropy per epsilon."""
+    problems = plans.groupBy("question_id", "epsilon").agg(
+        F.first("iterations").alias("iterations"), F.first("final_error").alias("final_error"),
+        F.first("converged").alias("converged"),
+    ).join(plan_entropy(plans), ["question_id", "epsilon"])
+    return problems.groupBy("epsilon").agg(
+        F.avg("iterations").alias("iterations"), F.avg("final_error").alias("final_error"),
+        F.avg(F.col("converged").cast("int")).alias("converged_share"),
+        F.avg("plan_entropy").alias("plan_entropy"),
+    )
+
+
 def plan_marginals(plans: DataFrame, keys: Sequence[str] = ("question_id", "epsilon")) -> DataFrame:
     return plans.groupBy(*keys, F.col("j").alias("option_idx")).agg(F.sum("mass").alias("mass"))
 

@@ -51,9 +51,9 @@ def test_equal_numbers_with_leading_zeros_are_valid(spark):
 
 def test_cohort_equality_of_unknown_columns(spark):
     df = spark.createDataFrame([("x", None)], "a string, b string")
-    assert df.filter(expr.cohort_equals(df.columns, {"zz": ""})).count() == 1
-    assert df.filter(expr.cohort_equals(df.columns, {"zz": "1"})).count() == 0
-    assert df.filter(expr.cohort_equals(df.columns, {"b": "None"})).count() == 1
+    assert df.filter(expr.cohort_equals(df, {"zz": ""})).count() == 1
+    assert df.filter(expr.cohort_equals(df, {"zz": "1"})).count() == 0
+    assert df.filter(expr.cohort_equals(df, {"b": "None"})).count() == 1
 
 
 @pytest.mark.parametrize(

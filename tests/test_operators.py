@@ -307,3 +307,19 @@ def test_clusters_of_separate_blobs(spark):
     for b in range(3):
         assert len({found[i] for i in range(90) if i % 3 == b}) == 1
     assert len({found[0], found[1], found[2]}) == 3
+
+
+def test_file_version_changes_with_the_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    first = panel.file_version(spark, path).first()["data_version"]
+    assert first == panel.file_version(spark, path).first()["data_version"] and len(first) == 16
+    spark.range(1).write.mode("append").parquet(path)
+    assert first != panel.file_version(spark, path).first()["data_version"]
+
+
+def test_epsilon_only_moves_the_plan(spark):
+    pairs = pairs_of(spark, [0.6, 0.3, 0.1], [0.1, 0.3, 0.6])
+    sweep = cal.epsilon_sweep(cal.transport_plans(pairs, cal.cost_cells(pairs), [0.05, 1.0])).orderBy("epsilon").collect()
+    assert sweep[0]["iterations"] > sweep[1]["iterations"]
+    assert sweep[0]["plan_entropy"] < sweep[1]["plan_entropy"]
