@@ -292,7 +292,11 @@ def _(t):
     )
 
 
-@query("a20_exports")
+@query(
+    "a20_exports",
+    "SELECT question_id, count(*) AS n, 21 AS columns FROM generated GROUP BY 1",
+    ("generated",),
+)
 def _(t):
     path = folder(t, "exports")
     store.export_responses(t.generated.drop("uncertainty"), f"{path}/csv")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelloom.catalog.aggregates import BOUNDS, catalog_of, r6
 from panelloom.catalog.base import query
+from panelloom.catalog.screening import _RED, _flags
 from panelloom.session import checkpoint_root
 from panelloom.streaming import live, state, windows
 
@@ -236,7 +237,10 @@ def _(t):
     )
 
 
-@query("k11_screen_stream")
+@query(
+    "k11_screen_stream",
+    f"SELECT id, {_flags(_RED)} AS flags FROM (SELECT doc_id AS id, text || ' ' AS text FROM documents)",
+)
 def _(t):
     stream = live.read_stream(t.spark, f"{t.sf_dir}/documents.parquet").select(
         F.col("doc_id").alias("id"), F.col("text").alias("answer"), F.lit("").alias("reasoning")
