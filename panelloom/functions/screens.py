@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions import patterns as P
 from panelloom.functions import spans
-from panelloom.functions.expr import LikeCol, col, is_valid_option, strip
+from panelloom.functions.expr import LikeCol, col, strip
 
 
 def fold(text: Column) -> Column:
@@ -17,19 +17,23 @@ def fold(text: Column) -> Column:
     return F.lower(F.upper(text))
 
 
-def matches(text: LikeCol, rule: P.Rule) -> Column:
-    """Substring test first, pattern only where it can match."""
+def matches(text: LikeCol, rule: P.Rule, low: LikeCol | None = None) -> Column:
+    """Substring test first, pattern only where it can match.
+
+    ``low`` is the folded text if the caller already holds it as a column.
+    """
     t = col(text)
+    folded = fold(t) if low is None else col(low)
     near = F.lit(False)
     for needle in rule.needles:
-        near = near | F.contains(fold(t), F.lit(needle))
+        near = near | F.contains(folded, F.lit(needle))
     return near & t.rlike(("(?iU)" if rule.ignore_case else "(?U)") + rule.pattern)
 
 
-def any_match(text: LikeCol, rules: Sequence[P.Rule]) -> Column:
+def any_match(text: LikeCol, rules: Sequence[P.Rule], low: LikeCol | None = None) -> Column:
     hit = F.lit(False)
     for rule in rules:
-        hit = hit | matches(text, rule)
+        hit = hit | matches(text, rule, low)
     return hit
 
 
@@ -38,15 +42,17 @@ def flag_list(pairs: Sequence[tuple[Column, str]]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in pairs]))
 
 
-def screen(text: LikeCol, rules: Sequence[P.Rule], prefix: str = "") -> Column:
+def screen(
+    text: LikeCol, rules: Sequence[P.Rule], prefix: str = "", low: LikeCol | None = None
+) -> Column:
     """Flags of a rule table; users pass their own rules the same way."""
-    return flag_list([(matches(text, r), f"{prefix}{r.name}") for r in rules])
+    return flag_list([(matches(text, r, low), f"{prefix}{r.name}") for r in rules])
 
 
 # --- prompts ----------------------------------------------------------------
 
-def injection_flags(text: LikeCol) -> Column:
-    return screen(text, P.INJECTION, "injection_pattern:")
+def injection_flags(text: LikeCol, low: LikeCol | None = None) -> Column:
+    return screen(text, P.INJECTION, "injection_pattern:", low)
 
 
 def _has_base64(text: Column) -> Column:
@@ -96,8 +102,8 @@ def structure_flags(prompt: LikeCol) -> Column:
     )
 
 
-def question_flags(text: LikeCol) -> Column:
-    return F.concat(injection_flags(text), encoding_flags(text), length_flags(text))
+def question_flags(text: LikeCol, low: LikeCol | None = None) -> Column:
+    return F.concat(injection_flags(text, low), encoding_flags(text), length_flags(text))
 
 
 def risk(flags: LikeCol) -> Column:
@@ -184,11 +190,11 @@ def harmful(text: LikeCol) -> Column:
     return any_match(text, P.HARMFUL)
 
 
-def leakage(text: LikeCol) -> Column:
+def leakage(text: LikeCol, low: LikeCol | None = None) -> Column:
     """A leakage phrase, or a long block repeated verbatim."""
     t = col(text)
     long_enough = F.when(F.length(t) >= 2 * P.BLOCK_CHARS, t)
-    return any_match(t, P.LEAKAGE) | spans.repeated_block(long_enough)
+    return any_match(t, P.LEAKAGE, low) | spans.repeated_block(long_enough)
 
 
 # --- generated answers ----------------------------------------------------------
@@ -213,34 +219,47 @@ def coined_brand(text: LikeCol) -> Column:
     return F.exists(tokens, coined)
 
 
-def red_team_flags(text: LikeCol) -> Column:
+def red_team_flags(text: LikeCol, low: LikeCol | None = None) -> Column:
     return flag_list(
         [
-            (any_match(text, P.STEREOTYPE), "red_team:demographic_stereotyping"),
+            (any_match(text, P.STEREOTYPE, low), "red_team:demographic_stereotyping"),
             (coined_brand(text), "red_team:brand_hallucination"),
-            (any_match(text, P.TEMPORAL), "red_team:temporal_inconsistency"),
-            (any_match(text, P.PROMPT_LEAK), "red_team:prompt_leakage"),
+            (any_match(text, P.TEMPORAL, low), "red_team:temporal_inconsistency"),
+            (any_match(text, P.PROMPT_LEAK, low), "red_team:prompt_leakage"),
         ]
     )
 
 
-def validation_flags(
-    answer: LikeCol, reasoning: LikeCol, confidence: LikeCol, demographics: LikeCol,
-    options: LikeCol, question_type: LikeCol,
-) -> Column:
-    """Flags of one answer; an empty answer gets that flag only."""
-    a = strip(F.coalesce(col(answer), F.lit("")))
-    why = F.lower(F.coalesce(col(reasoning), F.lit("")))
-    demo = F.lower(F.coalesce(col(demographics), F.lit("")))
-    text = combined(answer, reasoning)
-    low = F.lower(F.concat(a, F.lit(" "), why))
+def staged(df: DataFrame, answer: str, reasoning: str, demographics: str) -> DataFrame:
+    """The texts validation looks at, each computed once per row."""
+    empty = F.lit("")
+    return (
+        df.withColumn("__answer", strip(F.coalesce(col(answer), empty)))
+        .withColumn("__why", F.lower(F.coalesce(col(reasoning), empty)))
+        .withColumn("__demo", F.lower(F.coalesce(col(demographics), empty)))
+        .withColumn("__text", combined(answer, reasoning))
+        .withColumn("__short", F.lower("__answer"))
+        .withColumn("__said", F.lower(F.concat_ws(" ", "__answer", "__why")))
+        .withColumn("__low", fold(F.col("__text")))
+    )
+
+
+STAGED = ["__answer", "__why", "__demo", "__text", "__short", "__said", "__low"]
+
+
+def validation_flags(confidence: LikeCol, options: LikeCol, question_type: LikeCol) -> Column:
+    """Flags of one answer, over the columns of ``staged`` and normalized options; an
+    empty answer gets that flag only."""
+    a, why, demo, said = (F.col(c) for c in ("__answer", "__why", "__demo", "__said"))
+    short = F.col("__short")
     phrases = F.lit(0)
     for phrase in P.HALLUCINATION_PHRASES:
-        phrases = phrases + F.contains(low, F.lit(phrase)).cast("int")
+        phrases = phrases + F.contains(said, F.lit(phrase)).cast("int")
     young = F.lit(False)
     for phrase in P.TODDLER_PHRASES:
         young = young | F.contains(why, F.lit(phrase))
     asked = F.coalesce(F.size(col(options)), F.lit(0)) > 0
+    fits = F.exists(col(options), lambda o: F.contains(short, o) | F.contains(o, short))
     income = (
         F.contains(demo, F.lit("low"))
         & F.contains(why, F.lit("luxury"))
@@ -248,7 +267,7 @@ def validation_flags(
     )
     flags = flag_list(
         [
-            (asked & ~is_valid_option(a, options), "invalid_option"),
+            (asked & ~fits, "invalid_option"),
             (F.coalesce(col(confidence), F.lit(0.5)) < P.MIN_CONFIDENCE, "very_low_confidence"),
             (phrases >= 2, "hallucination_detected"),
             (F.length(a) > P.MAX_ANSWER_CHARS, "response_too_long"),
@@ -258,8 +277,8 @@ def validation_flags(
             ),
             (F.contains(demo, F.lit("65+")) & young, "age_inconsistency"),
             (income, "income_inconsistency"),
-            (has_pii(text), "security_check:pii_detected"),
-            (leakage(text), "security_check:data_leakage"),
+            (has_pii("__text"), "security_check:pii_detected"),
+            (leakage("__text", "__low"), "security_check:data_leakage"),
         ]
     )
     return F.when(a == "", F.array(F.lit("empty_response"))).otherwise(flags)

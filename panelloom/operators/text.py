@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import patterns as P
 from panelloom.functions import screens
-from panelloom.functions.expr import strip, strip_fences
+from panelloom.functions.expr import norm, strip, strip_fences
 from panelloom.session import n_rows
 
 
 def screen_questions(questions: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Safe questions, and an audit row per blocked one."""
-    judged = questions.withColumn("flags", screens.question_flags(text)).withColumn(
-        "risk_level", screens.risk("flags")
+    judged = (
+        questions.withColumn("__low", screens.fold(F.col(text)))
+        .withColumn("flags", screens.question_flags(text, "__low"))
+        .withColumn("risk_level", screens.risk("flags"))
     )
     safe = judged.filter(F.col("risk_level").isin("low", "medium")).select(*questions.columns)
     blocked = judged.filter(~F.col("risk_level").isin("low", "medium")).select(
@@ -43,25 +45,31 @@ def validate_responses(
     ``questions`` has ``question_id, options, question_type``; an unknown question
     skips the option rule.
     """
-    joined = responses.drop("validation_flags", "is_valid").join(
-        questions.select("question_id", "options", "question_type"), "question_id", "left"
+    known = questions.select(
+        "question_id", F.transform("options", norm).alias("__options"),
+        F.col("question_type").alias("__type"),
     )
-    flags = screens.validation_flags(
-        answer, "reasoning", "confidence", "demographic_summary", "options", "question_type"
+    joined = responses.drop("validation_flags", "is_valid").join(known, "question_id", "left")
+    staged = screens.staged(joined, answer, "reasoning", "demographic_summary")
+    flags = screens.validation_flags("confidence", "__options", "__type")
+    return (
+        staged.withColumn("validation_flags", flags)
+        .withColumn("is_valid", F.size("validation_flags") == 0)
+        .drop("__options", "__type", *screens.STAGED)
     )
-    return joined.withColumn("validation_flags", flags).withColumn(
-        "is_valid", F.size("validation_flags") == 0
-    ).drop("options", "question_type")
 
 
 def red_team(responses: DataFrame, answer: str = "answer", reasoning: str = "reasoning") -> DataFrame:
     """Adds red-team flags to the flags already there; flagged rows become invalid."""
-    flags = screens.red_team_flags(screens.combined(answer, reasoning))
+    staged = responses.withColumn("__text", screens.combined(answer, reasoning)).withColumn(
+        "__low", screens.fold(F.col("__text"))
+    )
+    flags = screens.red_team_flags("__text", "__low")
     before = (
         F.col("validation_flags") if "validation_flags" in responses.columns
         else F.array().cast("array<string>")
     )
-    marked = responses.withColumn("red_team_flags", flags)
+    marked = staged.withColumn("red_team_flags", flags).drop("__text", "__low")
     return marked.withColumn("validation_flags", F.concat(before, F.col("red_team_flags"))).withColumn(
         "is_valid", F.size("validation_flags") == 0
     )

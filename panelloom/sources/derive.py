@@ -125,7 +125,7 @@ class PanelTables:
     @cached_property
     def catalog(self) -> DataFrame:
         """Question catalog, stored once: a row per question that many steps join."""
-        return materialize(question_catalog(self.responses), "catalog")
+        return materialize(question_catalog(self._answers(F.lit(True))), "catalog")
 
     @cached_property
     def empirical(self) -> DataFrame:
