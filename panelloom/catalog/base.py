@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelloom.session import checkpoint_root
 from panelloom.sources.derive import PanelTables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +93,11 @@ def ctes(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
 
 
+def folder(t: PanelTables, name: str) -> str:
+    """A new folder of its own in the shared space for one run of a query."""
+    return f"{checkpoint_root(t.spark)}/queries/{name}-{uuid.uuid4().hex}"
+
+
 def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()) -> Callable:
     """Register ``fn(tables) -> DataFrame``; ``sql`` may refer to the entities in ``needs``."""
 

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from panelloom import schemas
 from panelloom.catalog.aggregates import _CELLS, _RESULTS, catalog_of, r6
-from panelloom.catalog.base import query
-from panelloom.catalog.monitoring import folder
+from panelloom.catalog.base import folder, query
 from panelloom.catalog.scans import _WAVE, _pew, aligned
 from panelloom.catalog.statistics import _CAL, _PQ, _js
 from panelloom.functions import screens

@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from panelloom.catalog.aggregates import BOUNDS, catalog_of, r6
-from panelloom.catalog.base import query
+from panelloom.catalog.base import folder, query
 from panelloom.catalog.screening import _RED, _flags
-from panelloom.session import checkpoint_root
 from panelloom.streaming import live, state, windows
 
-
-def folder(t, name: str) -> str:
-    return f"{checkpoint_root(t.spark)}/streams/{name}-{uuid.uuid4().hex}"
-
-
 _HOUR = "time_bucket(INTERVAL '1 hour', event_time)"
 
 

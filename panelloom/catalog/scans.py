@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelloom.catalog.base import query
+from panelloom.catalog.base import folder, query
 from panelloom.functions import expr
 from panelloom.operators import distributions as dist
 from panelloom.operators import quality, sampling
@@ -190,9 +190,7 @@ def _(t):
     ("responses",),
 )
 def _(t):
-    from panelloom.session import checkpoint_root
-
-    root = f"{checkpoint_root(t.spark)}/landings-{id(t)}"
+    root = folder(t, "landings")
     manifest = landings.write_landing(_pew(t), root, "pew", "119")
     return manifest.select(
         "source", F.col("version").cast("string").alias("version"), "file_format", "row_count",
@@ -225,10 +223,8 @@ def _(t):
     ("empirical", "generated"),
 )
 def _(t):
-    from panelloom.session import checkpoint_root
-
     columns = ["response_id", "panelist_id", "question_id", "answer"]
-    path = f"{checkpoint_root(t.spark)}/appended-{id(t)}"
+    path = folder(t, "appended")
     panel.append_rows(t.empirical.select(*columns), path)
     panel.append_rows(t.generated.select(*columns), path)
     stored = t.spark.read.parquet(path)
@@ -241,10 +237,9 @@ def _(t):
     ("panelists",),
 )
 def _(t):
-    from panelloom.session import checkpoint_root
     from panelloom.sources import store
 
-    path = f"{checkpoint_root(t.spark)}/cohorts-{id(t)}"
+    path = folder(t, "cohorts")
     for run, income in (("run_1", "low"), ("run_2", "middle")):
         cohort = t.panelists.filter(F.col("income_group") == income).select("panelist_id", "region")
         store.save_cohort(cohort, path, run)
@@ -253,10 +248,9 @@ def _(t):
 
 @query("a19_embedding_artifact", "SELECT vec_id AS id, label FROM embeddings")
 def _(t):
-    from panelloom.session import checkpoint_root
     from panelloom.sources import store
 
-    path = f"{checkpoint_root(t.spark)}/vectors-{id(t)}"
+    path = folder(t, "vectors")
     store.save_embeddings(t.embeddings, path, "v1")
     return store.load_embeddings(t.spark, path, "v1").select("id", "label")
 
