@@ -54,7 +54,7 @@ class Steps:
         hadoop.getFileSystem(conf).delete(hadoop, True)
 
 
-def batch_rows(spark: SparkSession, rows: int = 500) -> None:
+def batch_rows(spark: SparkSession, rows: int = 250) -> None:
     """Rows of an Arrow batch: long texts must not fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

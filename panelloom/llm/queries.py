@@ -2,13 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from panelloom.llm import fingerprints, language, toxicity
 from panelloom.llm.common import table
 from panelloom.llm.mixing import mix_sources
 from panelloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 
 
+def fold(modulus: int) -> Column:
+    """Remainder of the checksum of the id as text; a null id counts as empty."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
+
+
+@query("op3_language")
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every text; fold 2 of 4 is held out of learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs.filter(fold(4) != 2))
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every text; fold 0 of 5 is held out of learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.learn(docs, labels.filter(fold(5) != 0))
+    return toxicity.toxicity(docs, model).select(
+        "doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted"
+    )
+
+
+@query("op10_fingerprints")
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, compared with the next document's."""
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def _split(level: int, child: str, parent: str) -> str:
     """SQL of one level of the budget tree: children of ``parent`` nodes by ``child``."""
     keys = ["domain", "lang", "source"][:level]
