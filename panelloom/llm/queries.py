@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import fingerprints, language, toxicity
+from panelloom.llm import fingerprints, jaccard, language, suffixes, toxicity
 from panelloom.llm.common import table
 from panelloom.llm.mixing import mix_sources
 from panelloom.llm.registry import QUERIES, SQL, query  # noqa: F401
@@ -26,6 +26,19 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_jaccard")
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and class of near copies of every text."""
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op4_suffixes")
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the 50-byte strings of smaller documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.remove_repeats(docs).drop("text")
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every text; fold 0 of 5 is held out of learning."""

@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +22,15 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from panelloom.llm.common import batch_rows, column, pieces
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 22
 FACTORS = 6
 #: Labelled texts used for learning, in expectation, of each label.
-LEARN_PER_LABEL = 4000
-#: A bucket takes part if at least so many of those texts have it.
+LEARN_PER_LABEL = 6000
+#: A bucket takes part if so many of those texts have it, and its shares in the two labels lie
+#: so many standard errors apart; at most so many buckets, the most telling first.
 LEAST_TEXTS = 4
+LEAST_GAP = 4.5
+MOST_BUCKETS = 8192
 SLICE = 10_000_000
 CACHE = 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -36,8 +39,13 @@ WORD = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class Model:
     bias: float
-    weights: np.ndarray  # BUCKETS
-    vectors: np.ndarray  # BUCKETS x FACTORS
+    buckets: np.ndarray  # those that take part
+    weights: np.ndarray  # one of each
+    vectors: np.ndarray  # FACTORS of each
+
+
+def constant(bias: float) -> Model:
+    return Model(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
 
 
 def terms_of(word: str) -> list[int]:
@@ -58,28 +66,32 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model = model
+        self.slots = {int(b): i for i, b in enumerate(model.buckets)}
+        self.nothing = np.zeros(2 + FACTORS)
         self.known: dict[str, np.ndarray] = {}
 
     def parts(self, word: str) -> np.ndarray:
         """Weight, squared length and vector sum of the word's terms."""
         found = self.known.get(word)
         if found is None:
-            at = terms_of(word)
-            vectors = self.model.vectors[at]
-            found = np.concatenate(
-                [[self.model.weights[at].sum(), (vectors**2).sum()], vectors.sum(axis=0)]
-            )
+            at = [self.slots[t] for t in terms_of(word) if t in self.slots]
+            found = self.nothing
+            if at:
+                vectors = self.model.vectors[at]
+                found = np.concatenate(
+                    [[self.model.weights[at].sum(), (vectors**2).sum()], vectors.sum(axis=0)]
+                )
             if len(self.known) >= CACHE:
                 self.known.clear()
             self.known[word] = found
         return found
 
     def score(self, text: str) -> float:
-        words = words_in(text)
-        if not words:
+        told = [(w, p) for w in words_in(text) if (p := self.parts(w)) is not self.nothing]
+        if not told:
             margin = self.model.bias
         else:
-            total = np.sum([self.parts(w) for w in sorted(words)], axis=0)
+            total = np.sum([p for _, p in sorted(told, key=lambda x: x[0])], axis=0)
             margin = self.model.bias + total[0] + 0.5 * ((total[2:] ** 2).sum() - total[1])
         return float(1 / (1 + np.exp(-np.clip(margin, -50, 50))))
 
@@ -107,9 +119,16 @@ def fit(
     """Adaptive gradient steps on the logistic loss; ``owner`` is sorted."""
     rng = np.random.default_rng(seed)
     texts = len(labels)
-    seen = np.bincount(np.unique(owner.astype(np.int64) * BUCKETS + bucket) % BUCKETS,
-                       minlength=BUCKETS)
-    used = np.flatnonzero(seen >= LEAST_TEXTS)
+    pairs = np.unique(owner.astype(np.int64) * BUCKETS + bucket)
+    toxic = labels[pairs // BUCKETS] > 0.5
+    with_term = [np.bincount(pairs[toxic == side] % BUCKETS, minlength=BUCKETS) for side in (True, False)]
+    ones, zeros = max(labels.sum(), 1), max(texts - labels.sum(), 1)
+    share = (with_term[0] + with_term[1]) / texts
+    error = np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros)) + 1e-12
+    gap = np.abs(with_term[0] / ones - with_term[1] / zeros) / error
+    gap[(with_term[0] + with_term[1] < LEAST_TEXTS) | (gap < LEAST_GAP)] = 0
+    used = np.argsort(-gap, kind="stable")[: min(MOST_BUCKETS, int((gap > 0).sum()))]
+    used = np.sort(used)
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
     kept = place[bucket] >= 0
@@ -148,9 +167,7 @@ def fit(
             params[own] = local - rate * grad / np.sqrt(speed[own])
             bias_speed += error.mean() ** 2
             bias -= rate * error.mean() / np.sqrt(bias_speed)
-    weights, vectors = np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS))
-    weights[used], vectors[used] = params[:, 0], params[:, 1:]
-    return Model(bias, weights, vectors)
+    return Model(bias, used, params[:, 0].copy(), params[:, 1:].copy())
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = LEARN_PER_LABEL) -> Model:
@@ -169,7 +186,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = LEARN_PER_LABEL)
     sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         bias = {(): 0.0, (0,): -5.0, (1,): 5.0}[tuple(sizes)]
-        return Model(bias, np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS)))
+        return constant(bias)
     shares = {k: min(1.0, per_label / n) for k, n in sizes.items()}
     limit = F.when(F.col("toxic") == 1, int(SLICE * shares[1])).otherwise(int(SLICE * shares[0]))
     chosen = marks.filter(
@@ -201,13 +218,13 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = LEARN_PER_LABEL)
         .combine_chunks()
     )
     if not sample.num_rows:
-        return Model(0.0, np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS)))
+        return constant(0.0)
     terms = sample.column("terms").combine_chunks()
     lengths = np.diff(np.asarray(terms.offsets))
     owner = np.repeat(np.arange(len(lengths)), lengths).astype(np.int32)
     model = fit(owner, np.asarray(terms.flatten()), np.asarray(sample.column("toxic"), dtype=float))
     # Undo the sampling of labels, so that 0.5 means as likely as not in all rows.
-    return Model(model.bias + np.log(shares[0] / shares[1]), model.weights, model.vectors)
+    return replace(model, bias=float(model.bias + np.log(shares[0] / shares[1])))
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
