@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import fingerprints, jaccard, language, suffixes, toxicity
+from panelloom.llm import fingerprints, jaccard, language, pieces, suffixes, toxicity
 from panelloom.llm.common import table
 from panelloom.llm.mixing import mix_sources
 from panelloom.llm.registry import QUERIES, SQL, query  # noqa: F401
@@ -39,6 +39,12 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(docs).drop("text")
 
 
+@query("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, with digests of the ids and of the decoded bytes."""
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every text; fold 0 of 5 is held out of learning."""
