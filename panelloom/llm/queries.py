@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import fingerprints, jaccard, language, pieces, suffixes, toxicity
+from panelloom.llm import (
+    fingerprints,
+    jaccard,
+    language,
+    nearest,
+    pages,
+    pieces,
+    suffixes,
+    toxicity,
+)
 from panelloom.llm.common import table
 from panelloom.llm.mixing import mix_sources
 from panelloom.llm.registry import QUERIES, SQL, query  # noqa: F401
@@ -26,6 +35,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op1_pages")
+def op1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @query("op2_jaccard")
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle set size and class of near copies of every text."""
@@ -45,6 +60,13 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op7_nearest")
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth vector, by Euclidean distance."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every text; fold 0 of 5 is held out of learning."""
