@@ -130,14 +130,14 @@ def _(t):
     "m07_encode_sequences",
     f"""WITH {_TOKENS}, r AS (SELECT panelist_id, token_id, row_number() OVER (PARTITION BY panelist_id
     ORDER BY transaction_date DESC, line_ref DESC) AS rk FROM tok JOIN vocab USING (token)
-    QUALIFY rk <= 32) SELECT panelist_id, string_agg(CAST(token_id AS VARCHAR), ' ' ORDER BY rk DESC) ||
-    repeat(' 0', CAST(32 - count(*) AS INTEGER)) AS token_ids FROM r GROUP BY 1""",
+    QUALIFY rk <= 128) SELECT panelist_id, string_agg(CAST(token_id AS VARCHAR), ' ' ORDER BY rk DESC) ||
+    repeat(' 0', CAST(128 - count(*) AS INTEGER)) AS token_ids FROM r GROUP BY 1""",
     ("purchases",),
 )
 def _(t):
     tokens = panel.tokens_of(t.purchases)
     out = features.encode_sequences(
-        tokens, features.fit_vocabulary(tokens), ["transaction_date", "line_ref"], 32
+        tokens, features.fit_vocabulary(tokens), ["transaction_date", "line_ref"], 128
     )
     return out.withColumn("token_ids", F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " "))
 
@@ -195,7 +195,7 @@ def _(t):
 
 @query("m12_embedding_sweep")
 def _(t):
-    return clusters.embedding_sweep(_vectors(t), len(NAMES), [32, 128])
+    return clusters.embedding_sweep(_vectors(t), len(NAMES), [32, 64, 128, 256, 512])
 
 
 @query("m13_project_2d")
@@ -241,10 +241,15 @@ def _(t):
 
 @query(
     "c12_knn_ivf",
-    # Below 39 vectors per cell the search is exact, which is what SQL can check.
-    _KNN.replace("round(distance, 6)", "round(distance * distance, 6)")
-    + " AND (SELECT count(*) < 39 * greatest(4, floor(sqrt(count(*)))) FROM embeddings)",
+    # With all cells probed the indexed search is exact, which is what SQL can check.
+    _KNN.replace("round(distance, 6)", "round(distance * distance, 6)"),
 )
+def _(t):
+    vectors = t.embeddings.select("id", "vector")
+    return r6(neighbours.knn_ivf(vectors, 5, probes=None), "distance")
+
+
+@query("c12_knn_ivf_probes")
 def _(t):
     return r6(neighbours.knn_ivf(t.embeddings.select("id", "vector"), 5), "distance")
 

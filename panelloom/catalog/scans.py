@@ -31,8 +31,7 @@ def _(t):
 
 @query(
     "a02_scan_panelists",
-    "SELECT * FROM panelists WHERE region = 'ASIA' AND age_group = '25-34' "
-    "ORDER BY panelist_id LIMIT 10000",
+    "SELECT * FROM panelists WHERE region = 'ASIA' AND age_group = '25-34'",
     ("panelists",),
 )
 def _(t):

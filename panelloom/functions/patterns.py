@@ -247,4 +247,3 @@ KNOWN_CLIENTS = [
     "Unilever", "Procter & Gamble", "Nestlé", "PepsiCo", "Coca-Cola", "Kraft Heinz", "Mondelez",
     "Danone",
 ]
-RECEIVED_CHARS = 100

@@ -122,8 +122,9 @@ def prompt_intact(prompt: LikeCol) -> Column:
     return F.size(F.concat(structure_flags(prompt), length_flags(prompt))) == 0
 
 
-def sanitize(text: LikeCol, limit: int = P.PROMPT_CHARS) -> Column:
-    """NFKC, no invisible or control characters, braces doubled, backtick to ``'``, cut.
+def sanitize(text: LikeCol, limit: int | None = None) -> Column:
+    """NFKC, no invisible or control characters, braces doubled, backtick to ``'``; cut to ``limit``
+    characters only if one is given.
 
     NFKC leaves plain ASCII alone, so only other texts visit Python.
     """
@@ -133,7 +134,8 @@ def sanitize(text: LikeCol, limit: int = P.PROMPT_CHARS) -> Column:
     out = F.regexp_replace(out, P.INVISIBLE, "")
     out = F.regexp_replace(out, r"[\p{Cc}\p{Cf}&&[^\n\t]]", "")
     out = F.replace(F.replace(out, F.lit("{"), F.lit("{{")), F.lit("}"), F.lit("}}"))
-    return F.left(F.translate(out, "`", "'"), F.lit(limit))
+    out = F.translate(out, "`", "'")
+    return out if limit is None else F.left(out, F.lit(limit))
 
 
 # --- personal data and content ------------------------------------------------
@@ -291,7 +293,6 @@ ANSWER_FIELD = r'(?i)"answer"\s*:\s*"([^"]*)"'
 REASONING_FIELD = r'(?i)"reasoning"\s*:\s*"([^"]*)"'
 CONFIDENCE_FIELD = r'(?i)"confidence"\s*:\s*([0-9.]+)'
 FALLBACK_CONFIDENCE = 0.3
-RAW_CHARS = 500
 SCAN_NOTE = "Option identified by scan of unstructured output"
 RAW_NOTE = "Parsing fallback — raw model output used"
 

@@ -9,6 +9,7 @@ from panelloom.llm import (
     fingerprints,
     jaccard,
     language,
+    licenses,
     nearest,
     pages,
     pieces,
@@ -60,6 +61,13 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op6_licenses")
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License families named by the paragraphs of every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.learn(docs))
+
+
 @query("op7_nearest")
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest vectors of every hundredth vector, by Euclidean distance."""

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,62 +177,65 @@ FOUND = (
 )
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings known to repeat one of a smaller document, and the strings to be sorted: those
-    whose anchor has another string of another document."""
-    found = gather(batches, {0: ENTRY, 1: COVERED})
-    c = found[1]
-    yield from _rows(c["doc"], c["tag"], c["start"], c["count"])
-    e = found[0]
-    if not len(e["h"]):
-        return
-    order = np.lexsort((e["start"], e["tag"], e["doc"], e["x"], e["h"]))
-    e = {name: value[order] for name, value in e.items()}
-    new_h = np.concatenate([[True], np.diff(e["h"]) != 0])
-    new_x = new_h | np.concatenate([[True], np.diff(e["x"]) != 0])
-    h_at, x_at = np.flatnonzero(new_h), np.flatnonzero(new_x)
-    x_of, h_of = np.cumsum(new_x) - 1, np.cumsum(new_h) - 1
-    least_x = e["doc"][x_at]
-    least_h = np.minimum.reduceat(e["doc"], h_at)
-    later = e["doc"] > least_x[x_of]
-    yield from _rows(e["doc"][later], e["tag"][later], e["start"][later], e["count"][later])
-    # Per string, whether a smaller document shares the anchor.
-    string_h = h_of[x_at]
-    wanted = least_x > least_h[string_h]
-    asked = np.zeros(len(h_at), bool)
-    asked[string_h[wanted]] = True
-    strings = np.bincount(string_h, minlength=len(h_at))
-    keep = ~later & asked[h_of]
-    if not keep.any():
-        return
-    at = np.flatnonzero(keep)
-    # Occurrences of a string in one text become one row.
-    same = np.zeros(len(at), bool)
-    same[1:] = (x_of[at[1:]] == x_of[at[:-1]]) & (e["tag"][at[1:]] == e["tag"][at[:-1]])
-    head = np.flatnonzero(~same)
-    for lo in range(0, len(head), 1 << 15):
-        hi = min(lo + (1 << 15), len(head))
-        ends = np.concatenate([head, [len(at)]])
-        part = at[head[lo:hi]]
-        span = at[ends[lo] : ends[hi]]
-        lists = pa.ListArray.from_arrays(
-            pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32)), pa.array(e["start"][span])
-        )
-        n = hi - lo
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(e["doc"][part]),
-                pa.array(e["tag"][part].astype(np.int32)),
-                pa.nulls(n, pa.int32()),
-                pa.array(e["count"][part].astype(np.int32)),
-                pa.array(e["h"][part].view(np.int64)),
-                pa.array(e["x"][part].view(np.int64)),
-                pa.array(wanted[x_of[part]]),
-                pa.array(strings[h_of[part]] > HOT_STRINGS),
-                lists,
-            ],
-            [f.split()[0] for f in FOUND.split(", ")],
-        )
+def _shared(hot_strings: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Strings known to repeat one of a smaller document, and the strings to be sorted: those
+        whose anchor has another string of another document."""
+        found = gather(batches, {0: ENTRY, 1: COVERED})
+        c = found[1]
+        yield from _rows(c["doc"], c["tag"], c["start"], c["count"])
+        e = found[0]
+        if not len(e["h"]):
+            return
+        order = np.lexsort((e["start"], e["tag"], e["doc"], e["x"], e["h"]))
+        e = {name: value[order] for name, value in e.items()}
+        new_h = np.concatenate([[True], np.diff(e["h"]) != 0])
+        new_x = new_h | np.concatenate([[True], np.diff(e["x"]) != 0])
+        h_at, x_at = np.flatnonzero(new_h), np.flatnonzero(new_x)
+        x_of, h_of = np.cumsum(new_x) - 1, np.cumsum(new_h) - 1
+        least_x = e["doc"][x_at]
+        least_h = np.minimum.reduceat(e["doc"], h_at)
+        later = e["doc"] > least_x[x_of]
+        yield from _rows(e["doc"][later], e["tag"][later], e["start"][later], e["count"][later])
+        # Per string, whether a smaller document shares the anchor.
+        string_h = h_of[x_at]
+        wanted = least_x > least_h[string_h]
+        asked = np.zeros(len(h_at), bool)
+        asked[string_h[wanted]] = True
+        strings = np.bincount(string_h, minlength=len(h_at))
+        keep = ~later & asked[h_of]
+        if not keep.any():
+            return
+        at = np.flatnonzero(keep)
+        # Occurrences of a string in one text become one row.
+        same = np.zeros(len(at), bool)
+        same[1:] = (x_of[at[1:]] == x_of[at[:-1]]) & (e["tag"][at[1:]] == e["tag"][at[:-1]])
+        head = np.flatnonzero(~same)
+        for lo in range(0, len(head), 1 << 15):
+            hi = min(lo + (1 << 15), len(head))
+            ends = np.concatenate([head, [len(at)]])
+            part = at[head[lo:hi]]
+            span = at[ends[lo] : ends[hi]]
+            lists = pa.ListArray.from_arrays(
+                pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32)), pa.array(e["start"][span])
+            )
+            n = hi - lo
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(e["doc"][part]),
+                    pa.array(e["tag"][part].astype(np.int32)),
+                    pa.nulls(n, pa.int32()),
+                    pa.array(e["count"][part].astype(np.int32)),
+                    pa.array(e["h"][part].view(np.int64)),
+                    pa.array(e["x"][part].view(np.int64)),
+                    pa.array(wanted[x_of[part]]),
+                    pa.array(strings[h_of[part]] > hot_strings),
+                    lists,
+                ],
+                [f.split()[0] for f in FOUND.split(", ")],
+            )
+
+    return run
 
 
 def _rows(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -261,59 +265,71 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the wanted strings, out of their texts. Strings of a hot anchor are cut into
     windows, dealt out by the window; in a batch the smallest document stands for a window, and
     what others have is known to repeat it (a row without bytes)."""
-    names = [f.split()[0] for f in STRING.split(", ")]
     for batch in batches:
-        out: dict[str, list] = {name: [] for name in names}
-        windows: dict[bytes, list[tuple]] = {}
-        for i in range(batch.num_rows):
-            doc, tag = column(batch, "doc")[i].as_py(), column(batch, "tag")[i].as_py()
-            data, offsets = as_bytes(column(batch, "text").slice(i, 1))
-            raw = data[offsets[0] : offsets[1]].tobytes()
-            if int(_tags(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]) != tag:
-                continue
-            for item in column(batch, "asked")[i].as_py():
-                start, count = item["starts"][0], item["count"]
-                if not item["hot"]:
-                    values = (item["h"], doc, tag, 0, item["starts"], item["wanted"],
-                              raw[start : start + count - 1 + LENGTH])
-                    for name, value in zip(names, values):
-                        out[name].append(value)
-                    continue
-                for shift in range(count):
-                    window = raw[start + shift : start + shift + LENGTH]
-                    windows.setdefault(window, []).append((doc, tag, shift, item["starts"], item["wanted"]))
-        for window, rows in windows.items():
-            least = min(r[0] for r in rows)
-            h = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "big", signed=True)
-            shown = False
-            for doc, tag, shift, starts, wanted in rows:
-                repeats = doc > least
-                if shown and not wanted and not repeats:
-                    continue
-                shown |= not repeats
-                for name, value in zip(
-                    names, (h, doc, tag, shift, starts, wanted, None if repeats else window)
-                ):
-                    out[name].append(value)
+        asked = column(batch, "asked")
+        h, count, wanted, hot, starts = asked.flatten().flatten()
+        bounds = np.asarray(asked.offsets) - asked.offsets[0].as_py()
+        first = np.asarray(pc.list_element(starts, 0))
+        count, hot = np.asarray(count), np.asarray(hot.cast(pa.uint8())) > 0
+        docs, tags = np.asarray(column(batch, "doc")), np.asarray(column(batch, "tag"))
+        data, offsets = as_bytes(column(batch, "text"))
+        raws = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+        own = _tags(data[offsets[0] : offsets[-1]], offsets - offsets[0]) == tags
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+        plain = np.flatnonzero(own[owner] & ~hot)
+        size = count + LENGTH - 1
+        found = [
+            raws[i][lo : lo + n]
+            for i, lo, n in zip(owner[plain].tolist(), first[plain].tolist(), size[plain].tolist())
+        ]
+        pick = pa.array(plain)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(out["h"], pa.int64()), pa.array(out["doc"], pa.int64()),
-                pa.array(out["tag"], pa.int32()), pa.array(out["shift"], pa.int32()),
-                pa.array(out["starts"], pa.list_(pa.int32())),
-                pa.array(out["wanted"], pa.bool_()), pa.array(out["bytes"], pa.binary()),
+                h.take(pick), pa.array(docs[owner[plain]]), pa.array(tags[owner[plain]]),
+                pa.array(np.zeros(len(plain), np.int32)), starts.take(pick), wanted.take(pick),
+                pa.array(found, pa.binary()),
             ],
-            names,
+            [f.split()[0] for f in STRING.split(", ")],
         )
+        split = np.flatnonzero(own[owner] & hot)
+        if len(split):
+            yield _windows(split, owner, first, count, raws, docs, tags, starts, wanted)
+
+
+def _windows(split, owner, first, count, raws, docs, tags, starts, wanted) -> pa.RecordBatch:
+    by_window: dict[bytes, list[tuple[int, int]]] = {}
+    for at in split.tolist():
+        raw, lo = raws[owner[at]], int(first[at])
+        for shift in range(int(count[at])):
+            by_window.setdefault(raw[lo + shift : lo + shift + LENGTH], []).append((at, shift))
+    rows: list[tuple] = []
+    for window, places in by_window.items():
+        least = min(int(docs[owner[at]]) for at, _ in places)
+        h = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "big", signed=True)
+        shown = False
+        for at, shift in places:
+            repeats = int(docs[owner[at]]) > least
+            asks = wanted[at].as_py()
+            if not asks and (repeats or shown):
+                continue
+            shown |= not repeats
+            rows.append((h, int(docs[owner[at]]), int(tags[owner[at]]), shift,
+                         starts[at].as_py(), asks, None if repeats else window))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(v, k) for v, k in zip(zip(*rows), kinds)],
+        [f.split()[0] for f in STRING.split(", ")],
+    )
 
 
-def smallest_documents(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For every window of every string, the smallest document with that window."""
-    n = len(strings)
-    lengths = np.array([len(s) for s in strings])
+def smallest_documents(data: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For every window of every string, string after string, the smallest document with it."""
+    n = len(lengths)
     width = int(lengths.max())
     matrix = np.zeros((n, width), np.uint8)  # right-aligned
-    for i, s in enumerate(strings):
-        matrix[i, width - len(s) :] = np.frombuffer(s, np.uint8)
+    ends = np.cumsum(lengths)
+    shift = np.arange(1, n + 1) * width - ends
+    matrix.ravel()[np.arange(len(data)) + np.repeat(shift, lengths)] = data
     flat = matrix.ravel()
     # The transform holds symbols moved up by one; 0: no symbol yet.
     used = np.unique(matrix)
@@ -362,28 +378,27 @@ def smallest_documents(strings: list[bytes], docs: np.ndarray) -> list[np.ndarra
     least = np.repeat(least, np.diff(np.concatenate([first, [len(who)]])))
     long = np.flatnonzero(size >= LENGTH)
     order = long[np.lexsort((-size[long].astype(np.int64), who[long]))]
-    bounds = np.cumsum(lengths - LENGTH + 1)
-    return np.split(least[order], bounds[:-1])
+    return least[order]
 
 
 HIT = "doc bigint, tag int, start int, mask bigint"
 
 
-def related(strings: list[bytes], h: np.ndarray, docs: np.ndarray) -> np.ndarray:
+def related(data: np.ndarray, lengths: np.ndarray, h: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Strings that can share a window with one of another document.
 
     A window reaches ``SIDE`` bytes beyond its anchor on one side at least, so a string takes
     part only if another document's string has the same anchor and the same such side.
     Strings in which the anchor is not found (single windows) always do.
     """
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    ends = np.cumsum([len(s) for s in strings])
-    starts = ends - [len(s) for s in strings]
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    owner = np.repeat(np.arange(len(lengths)), lengths)
     grams = gram_hashes(data, K) & LOW48
-    owner = np.searchsorted(ends, np.arange(len(grams)), "right")
-    at = np.flatnonzero((grams == h.view(U64)[owner]) & (np.arange(len(grams)) + K <= ends[owner]))
+    at = np.flatnonzero(grams == h.view(U64)[owner[: len(grams)]])
+    at = at[at + K <= ends[owner[at]]]
     text, first = np.unique(owner[at], return_index=True)
-    anchor = np.full(len(strings), -1)
+    anchor = np.full(len(lengths), -1)
     anchor[text] = at[first]
     keep = anchor < 0
     sides = gram_hashes(data, K + SIDE)
@@ -394,60 +409,81 @@ def related(strings: list[bytes], h: np.ndarray, docs: np.ndarray) -> np.ndarray
             continue
         with np.errstate(over="ignore"):
             key = sides[lo[fits]] + mix(h[fits].view(U64))
-        _, group = np.unique(key, return_inverse=True)
-        least = np.full(group.max() + 1, np.iinfo(np.int64).max)
-        most = np.full(group.max() + 1, np.iinfo(np.int64).min)
-        np.minimum.at(least, group, docs[fits])
-        np.maximum.at(most, group, docs[fits])
-        keep[fits[(least < most)[group]]] = True
+        order = np.lexsort((docs[fits], key))
+        fits, key = fits[order], key[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        mixed = docs[fits[cuts[:-1]]] < docs[fits[cuts[1:] - 1]]
+        keep[fits[np.repeat(mixed, np.diff(cuts))]] = True
     return keep
 
 
-def _solve(rows: list[dict]) -> pa.RecordBatch:
-    out: list[tuple] = []
-    for r in rows:
-        if r["bytes"] is None:
-            out.extend((r["doc"], r["tag"], s, 1 << r["shift"]) for s in r["starts"])
-    rows = [r for r in rows if r["bytes"] is not None]
-    if rows:
-        h = np.array([r["h"] for r in rows], np.int64)
-        docs = np.array([r["doc"] for r in rows], np.int64)
-        kept = np.flatnonzero(related([r["bytes"] for r in rows], h, docs))
-        cuts = np.flatnonzero(np.diff(h[kept])) + 1 if len(kept) else np.zeros(0, np.int64)
-        lo = 0
-        while lo < len(kept):
-            later = cuts[np.searchsorted(cuts, lo + CHUNK) :]
-            hi = int(later[0]) if len(later) else len(kept)
-            part = kept[lo:hi]
-            found = smallest_documents([rows[i]["bytes"] for i in part], docs[part])
-            for i, least in zip(part, found):
-                r = rows[i]
-                if not r["wanted"]:
-                    continue
-                mask = 0
-                for j in np.flatnonzero(least < r["doc"]):
-                    mask |= 1 << (r["shift"] + int(j))
-                if mask:
-                    out.extend((r["doc"], r["tag"], s, mask) for s in r["starts"])
-            lo = hi
-    values = list(zip(*out)) if out else [[]] * 4
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+def _hits(rows: pa.Table, mask: np.ndarray) -> pa.RecordBatch:
+    """One row per start of the rows with a mask."""
+    at = np.flatnonzero(mask)
+    starts = rows.column("starts").combine_chunks().take(pa.array(at))
+    sizes = np.diff(np.asarray(starts.offsets))
+    doc, tag = (np.asarray(rows.column(c))[at] for c in ("doc", "tag"))
     return pa.RecordBatch.from_arrays(
-        [pa.array(v, k) for v, k in zip(values, kinds)], [f.split()[0] for f in HIT.split(", ")]
+        [
+            pa.array(np.repeat(doc, sizes)), pa.array(np.repeat(tag, sizes)), starts.flatten(),
+            pa.array(np.repeat(mask[at], sizes)),
+        ],
+        [f.split()[0] for f in HIT.split(", ")],
     )
 
 
+def _solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    one = np.int64(1)
+    known = rows.filter(pc.is_null(rows.column("bytes")))
+    if known.num_rows:
+        yield _hits(known, one << np.asarray(known.column("shift")).astype(np.int64))
+    rows = rows.filter(pc.is_valid(rows.column("bytes")))
+    if not rows.num_rows:
+        return
+    strings = rows.column("bytes").cast(pa.large_binary()).combine_chunks()
+    data = np.frombuffer(b"".join(strings.to_pylist()), np.uint8)
+    lengths = np.asarray(pc.binary_length(strings)).astype(np.int64)
+    h, docs = np.asarray(rows.column("h")), np.asarray(rows.column("doc"))
+    keep = related(data, lengths, h, docs)
+    data, kept = data[np.repeat(keep, lengths)], np.flatnonzero(keep)
+    rows, lengths, h, docs = rows.take(pa.array(kept)), lengths[kept], h[kept], docs[kept]
+    shift = np.asarray(rows.column("shift")).astype(np.int64)
+    wanted = np.asarray(rows.column("wanted").combine_chunks().cast(pa.uint8())) > 0
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    cuts = np.flatnonzero(np.diff(h)) + 1
+    mask = np.zeros(len(h), np.int64)
+    lo = 0
+    while lo < len(h):
+        later = cuts[np.searchsorted(cuts, lo + CHUNK) :]
+        hi = int(later[0]) if len(later) else len(h)
+        least = smallest_documents(data[ends[lo] : ends[hi]], lengths[lo:hi], docs[lo:hi])
+        count = lengths[lo:hi] - LENGTH + 1
+        first = np.cumsum(count) - count
+        place = np.arange(len(least)) - np.repeat(first, count) + np.repeat(shift[lo:hi], count)
+        repeats = least < np.repeat(docs[lo:hi], count)
+        mask[lo:hi] = np.add.reduceat(np.where(repeats, one << place, 0), first)
+        lo = hi
+    mask[~wanted] = 0
+    yield _hits(rows, mask)
+
+
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in the order of ``h``; a construction takes whole anchors."""
-    held: list[dict] = []
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        for row in batch.to_pylist():
-            if len(held) >= 8 * CHUNK and row["h"] != held[-1]["h"]:
-                yield _solve(held)
-                held = []
-            held.append(row)
-    if held:
-        yield _solve(held)
+        held.append(batch)
+        size += batch.num_rows
+        if size >= 8 * CHUNK:
+            rows = pa.Table.from_batches(held)
+            h = np.asarray(rows.column("h"))
+            cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
+            if cut:
+                yield from _solve(rows.slice(0, cut))
+                held = rows.slice(cut).to_batches()
+                size = rows.num_rows - cut
+    if size:
+        yield from _solve(pa.Table.from_batches(held))
 
 
 RESULT = [
@@ -497,7 +533,9 @@ def _cut(keep_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, keep_text: bool = False, hot_strings: int = HOT_STRINGS
+) -> DataFrame:
     """Remove every byte covered by a 50-byte string that starts in a document with a smaller
     ``doc_id`` too; all strings are judged on the input.
 
@@ -515,7 +553,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
     texts = docs.select(key.alias("doc_id"), "text")
     blocks = texts.mapInArrow(_index(parts), schema(6))
-    found = steps.keep(send(blocks, parts).mapInArrow(_shared, FOUND), "found")
+    found = steps.keep(send(blocks, parts).mapInArrow(_shared(hot_strings), FOUND), "found")
     wanted = (
         found.filter("h is not null")
         .groupBy("doc", "tag")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from panelloom.llm.common import batch_rows, column, pieces
+from panelloom.llm.common import batch_rows, column
 
 BUCKETS = 1 << 22
 FACTORS = 6
 #: Labelled texts used for learning, in expectation, of each label.
-LEARN_PER_LABEL = 6000
+LEARN_PER_LABEL = 4000
 #: A bucket takes part if so many of those texts have it, and its shares in the two labels lie
 #: so many standard errors apart; at most so many buckets, the most telling first.
 LEAST_TEXTS = 4
@@ -96,43 +97,27 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(margin, -50, 50))))
 
 
-def _incidence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and bucket of every term occurrence."""
-    owner: list[np.ndarray] = []
-    bucket: list[np.ndarray] = []
-    known: dict[str, np.ndarray] = {}
-    for i, text in enumerate(texts):
-        for word in words_in(text):
-            if word not in known:
-                known[word] = np.array(terms_of(word), np.int32)
-            bucket.append(known[word])
-            owner.append(np.full(len(known[word]), i, np.int32))
-    if not bucket:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
-    return np.concatenate(owner), np.concatenate(bucket)
+def _terms(text: str, known: dict[str, list[int]]) -> list[int]:
+    """Buckets of all terms of the distinct words; a term of several words comes several times."""
+    found: list[int] = []
+    for word in sorted(words_in(text)):
+        own = known.get(word)
+        if own is None:
+            if len(known) >= CACHE:
+                known.clear()
+            own = known[word] = terms_of(word)
+        found += own
+    return found
 
 
 def fit(
-    owner: np.ndarray, bucket: np.ndarray, labels: np.ndarray, epochs: int = 12,
+    owner: np.ndarray, slot: np.ndarray, labels: np.ndarray, used: np.ndarray, epochs: int = 12,
     rate: float = 0.05, decay: float = 1e-4, batch: int = 256, seed: int = 7,
 ) -> Model:
-    """Adaptive gradient steps on the logistic loss; ``owner`` is sorted."""
+    """Adaptive gradient steps on the logistic loss. ``owner`` (sorted) and ``slot`` list the term
+    occurrences by text and by place in the buckets ``used``."""
     rng = np.random.default_rng(seed)
     texts = len(labels)
-    pairs = np.unique(owner.astype(np.int64) * BUCKETS + bucket)
-    toxic = labels[pairs // BUCKETS] > 0.5
-    with_term = [np.bincount(pairs[toxic == side] % BUCKETS, minlength=BUCKETS) for side in (True, False)]
-    ones, zeros = max(labels.sum(), 1), max(texts - labels.sum(), 1)
-    share = (with_term[0] + with_term[1]) / texts
-    error = np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros)) + 1e-12
-    gap = np.abs(with_term[0] / ones - with_term[1] / zeros) / error
-    gap[(with_term[0] + with_term[1] < LEAST_TEXTS) | (gap < LEAST_GAP)] = 0
-    used = np.argsort(-gap, kind="stable")[: min(MOST_BUCKETS, int((gap > 0).sum()))]
-    used = np.sort(used)
-    place = np.full(BUCKETS, -1)
-    place[used] = np.arange(len(used))
-    kept = place[bucket] >= 0
-    owner, slot = owner[kept], place[bucket[kept]]
     starts = np.searchsorted(owner, np.arange(texts + 1))
     params = np.zeros((len(used), 1 + FACTORS))
     params[:, 1:] = rng.normal(0, 0.01, (len(used), FACTORS))
@@ -193,36 +178,72 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = LEARN_PER_LABEL)
         F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(SLICE)) < limit
     )
     batch_rows(docs.sparkSession)
+    sample = (
+        docs.filter("text is not null")
+        .select("doc_id", "text")
+        .join(F.broadcast(chosen), "doc_id")
+        .select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic", "text")
+    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many texts of either label have a bucket."""
+        known: dict[str, list[int]] = {}
+        sums: Counter = Counter()
+        for batch in batches:
+            labels = column(batch, "toxic").to_pylist()
+            for text, toxic in zip(column(batch, "text").to_pylist(), labels):
+                sums.update(2 * t + toxic for t in set(_terms(text, known)))
+        keys = np.fromiter(sums.keys(), np.int64, len(sums))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array((keys // 2).astype(np.int32)), pa.array((keys % 2).astype(np.int32)),
+                pa.array(np.fromiter(sums.values(), np.int64, len(sums))),
+            ],
+            ["bucket", "toxic", "n"],
+        )
+
+    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not totals:
+        return constant(0.0)
+    ones, zeros = totals.get(1, 0) or 1, totals.get(0, 0) or 1
+    share = (F.col("a") + F.col("b")) / (ones + zeros)
+    error = F.sqrt(share * (1 - share) * (1 / ones + 1 / zeros)) + 1e-12
+    told = (
+        sample.mapInArrow(count, "bucket int, toxic int, n bigint")
+        .groupBy("bucket")
+        .agg(
+            F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"),
+            F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"),
+        )
+        .withColumn("gap", F.abs(F.col("a") / ones - F.col("b") / zeros) / error)
+        .filter((F.col("a") + F.col("b") >= LEAST_TEXTS) & (F.col("gap") >= LEAST_GAP))
+        .orderBy(F.desc("gap"), "bucket").limit(MOST_BUCKETS).select("bucket").toArrow()
+    )
+    used = np.sort(np.asarray(told.column("bucket")).astype(np.int64))
+    slots = {int(b): i for i, b in enumerate(used)}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _, _ in pieces(batches):
-            owner, bucket = _incidence(column(rows, "text").to_pylist())
-            cuts = np.searchsorted(owner, np.arange(rows.num_rows + 1))
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            terms = [
+                [slots[t] for t in _terms(text, known) if t in slots]
+                for text in column(batch, "text").to_pylist()
+            ]
             yield pa.RecordBatch.from_arrays(
-                [
-                    column(rows, "doc_id"),
-                    column(rows, "toxic"),
-                    pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(bucket)),
-                ],
+                [column(batch, "doc_id"), column(batch, "toxic"), pa.array(terms, pa.list_(pa.int32()))],
                 ["doc_id", "toxic", "terms"],
             )
 
-    sample = (
-        docs.filter("text is not null")
-        .select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic", "text")
-        .mapInArrow(features, "doc_id bigint, toxic int, terms array<int>")
+    rows = (
+        sample.mapInArrow(features, "doc_id bigint, toxic int, terms array<int>")
         .toArrow()
         .sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
         .combine_chunks()
     )
-    if not sample.num_rows:
-        return constant(0.0)
-    terms = sample.column("terms").combine_chunks()
-    lengths = np.diff(np.asarray(terms.offsets))
-    owner = np.repeat(np.arange(len(lengths)), lengths).astype(np.int32)
-    model = fit(owner, np.asarray(terms.flatten()), np.asarray(sample.column("toxic"), dtype=float))
+    terms = rows.column("terms").combine_chunks()
+    owner = np.repeat(np.arange(len(terms)), np.diff(np.asarray(terms.offsets)))
+    labels_of = np.asarray(rows.column("toxic")).astype(float)
+    model = fit(owner, np.asarray(terms.flatten()).astype(np.int64), labels_of, used)
     # Undo the sampling of labels, so that 0.5 means as likely as not in all rows.
     return replace(model, bias=float(model.bias + np.log(shares[0] / shares[1])))
 

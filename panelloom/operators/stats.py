@@ -19,15 +19,22 @@ SMOOTHING = 0.5
 
 
 def ks_two_sample(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """Largest gap between two empirical distribution functions, asymptotic p.
+    """Largest gap between two empirical distribution functions, asymptotic p."""
+    flag = "__in_a"
+    return ks_by_flag(
+        a.select(value, F.lit(True).alias(flag)).unionByName(b.select(value, F.lit(False).alias(flag))),
+        value, flag,
+    )
+
+
+def ks_by_flag(df: DataFrame, value: str, flag: str) -> DataFrame:
+    """The same for two samples that a flag tells apart in one table, read once.
 
     Rows are counted per distinct value first; the running counts then go slice
-    by slice over the value range.
+    by slice over the value range. Rows with a null flag take no part.
     """
-    both = (
-        a.select(F.col(value).alias("v"), F.lit(1).alias("in_a"))
-        .unionByName(b.select(F.col(value).alias("v"), F.lit(0).alias("in_a")))
-        .filter("v IS NOT NULL")
+    both = df.select(F.col(value).alias("v"), F.col(flag).cast("int").alias("in_a")).filter(
+        "v IS NOT NULL AND in_a IS NOT NULL"
     )
     ties = both.groupBy("v").agg(F.sum("in_a").alias("a"), F.sum(1 - F.col("in_a")).alias("b"))
     upto = running_totals(ties, ["v"], {"ca": F.col("a"), "cb": F.col("b")}, label="ks")

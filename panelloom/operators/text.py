@@ -132,7 +132,7 @@ def parse_answers(df: DataFrame, raw: str, options: str = "options") -> DataFram
         *df.columns,
         pick(
             F.col("__by_json"), F.col("__by_field"), F.get("__mentioned", F.lit(0)),
-            F.left("__text", F.lit(screens.RAW_CHARS)),
+            F.col("__text"),
         ).alias("answer"),
         pick(
             screens.python_text(F.col("__map"), F.col("__json"), "reasoning"),
@@ -155,7 +155,7 @@ def _issue(cond: Column, field: Column | str, message: Column | str, received: C
         F.coalesce(cond, F.lit(False)),
         F.struct(
             f.alias("field"), m.alias("message"),
-            F.left(received.cast("string"), F.lit(P.RECEIVED_CHARS)).alias("received"),
+            received.cast("string").alias("received"),
         ),
     )
 
@@ -201,7 +201,7 @@ def validate_requests(requests: DataFrame) -> DataFrame:
                     ~known, field,
                     F.concat(
                         F.lit("Unknown demographic dimension '"),
-                        F.left(key, F.lit(P.RECEIVED_CHARS)), F.lit("'"),
+                        key, F.lit("'"),
                     ),
                     key,
                 ),
@@ -237,7 +237,7 @@ def validate_requests(requests: DataFrame) -> DataFrame:
             _issue(
                 ~F.col("model").isin(P.ALLOWED_MODELS), "model",
                 F.concat(
-                    F.lit("Model '"), F.left("model", F.lit(P.RECEIVED_CHARS)),
+                    F.lit("Model '"), F.col("model"),
                     F.lit("' is not allowed"),
                 ),
                 F.col("model"),
@@ -245,7 +245,7 @@ def validate_requests(requests: DataFrame) -> DataFrame:
             _issue(
                 ~F.col("client_name").isin(P.KNOWN_CLIENTS), "client_name",
                 F.concat(
-                    F.lit("Unknown client '"), F.left("client_name", F.lit(P.RECEIVED_CHARS)),
+                    F.lit("Unknown client '"), F.col("client_name"),
                     F.lit("'"),
                 ),
                 F.col("client_name"),

@@ -47,13 +47,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table that has fewer files than cores.
+    """Give every core a share of a table that is read in fewer parts than cores.
 
     For work that costs far more than moving the rows, such as pattern screens; a
-    table of many files is left as it is.
+    table of many parts is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -11,8 +11,6 @@ from panelloom import schemas
 from panelloom.functions import expr
 from panelloom.session import one
 
-DEFAULT_CAP = 10_000
-
 
 def read_panel(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Scan one panel table with its fixed schema; a missing path is an error."""
@@ -51,14 +49,14 @@ def scan_panelists(
     panelists: DataFrame,
     filters: Mapping[str, object] | None = None,
     limit: int | None = None,
-    cap: int | None = DEFAULT_CAP,
+    cap: int | None = None,
     strict: bool = False,
 ) -> DataFrame:
     """Equality filters, then at most ``min(limit, cap)`` rows in id order.
 
     File form: unknown columns are ignored. Warehouse form (``strict``): names
-    other than letters, digits and ``_`` are refused. ``cap=None`` and no limit
-    returns every row.
+    other than letters, digits and ``_`` are refused. Without ``limit`` and ``cap``
+    every row comes back.
     """
     out = panelists
     for name, wanted in (filters or {}).items():

@@ -40,13 +40,16 @@ def alert_rules(spark, cooldown: int = COOLDOWN_MINUTES) -> DataFrame:
 
 
 def alert_summary(events: DataFrame, rules: DataFrame, since: str | None = None) -> DataFrame:
-    """Alerts still active and alerts fired since a time, per severity."""
+    """Alerts still active and alerts fired since a time, per severity.
+
+    An alert that fires and resolves at one timestamp is resolved.
+    """
     recent = F.lit(True) if since is None else F.col("at") >= F.to_timestamp(F.lit(since))
     fired = events.filter(F.col("kind") == "fired").groupBy("rule").agg(
         F.count_if(recent).alias("fired")
     )
     open_now = events.groupBy("rule").agg(
-        (F.max_by("kind", "at") == "fired").cast("int").alias("active")
+        (F.max_by("kind", F.struct("at", F.col("kind") != "fired")) == "fired").cast("int").alias("active")
     )
     joined = rules.join(fired, "rule", "left").join(open_now, "rule", "left")
     return joined.groupBy("severity").agg(

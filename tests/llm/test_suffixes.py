@@ -70,15 +70,16 @@ def test_odd_rows(spark):
 
 
 def test_hot_anchor_and_long_text_are_split(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "HOT_STRINGS", 3)
     rng = random.Random(5)
     passage = "".join(rng.choices("abcdefgh ", k=160))
     rows = [
         (i, "".join(rng.choices("klmnop", k=40)) + passage + "".join(rng.choices("qrst", k=40)))
         for i in range(40)
     ]
-    found = suffixes.remove_repeats(docs_of(spark, rows)).count()
-    assert found == 40
+    found = suffixes.remove_repeats(docs_of(spark, rows).repartition(3), hot_strings=3).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+    assert sorted((tuple(r) for r in found.collect()), key=str) == brute(rows)
     data = np.frombuffer(b"".join(t.encode() for _, t in rows), np.uint8)
     monkeypatch.setattr(suffixes, "PIECE_BYTES", 700)
     parts = list(suffixes._sliced(data, np.array([0, len(data)])))
@@ -100,8 +101,9 @@ def test_column_wise_construction():
     for s, d in zip(strings, docs):
         for i in range(len(s) - 49):
             least[s[i : i + 50]] = min(least.get(s[i : i + 50], 999), int(d))
-    for s, found in zip(strings, suffixes.smallest_documents(strings, docs)):
-        assert [least[s[i : i + 50]] for i in range(len(s) - 49)] == list(found)
+    data, lengths = np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings])
+    found = suffixes.smallest_documents(data, lengths, docs)
+    assert found.tolist() == [least[s[i : i + 50]] for s in strings for i in range(len(s) - 49)]
 
 
 def test_text_without_repeats(spark):
