@@ -7,6 +7,7 @@ size, so memory follows the longest text and not the batch.
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -39,13 +40,15 @@ class Steps:
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/panelloom/{label}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, free: bool = True) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("error").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
-        del df
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        if free:  # shuffle files go when the driver collects their handles
+            for _ in range(2):
+                gc.collect()
+                self.spark.sparkContext._jvm.System.gc()
+                time.sleep(0.4)
         return kept
 
     def drop(self, name: str) -> None:

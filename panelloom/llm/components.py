@@ -23,6 +23,7 @@ def components(links: DataFrame, steps: Steps, label: str) -> DataFrame:
         point = steps.keep(
             both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("to")),
             f"{label}-point{number}",
+            free=False,
         )
         pointers.append(point)
         left = point.select(F.col("node").alias("a"), F.col("to").alias("ta"))
@@ -32,7 +33,7 @@ def components(links: DataFrame, steps: Steps, label: str) -> DataFrame:
                 F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")
             ).filter("a <> b").distinct()
         )
-        edges = steps.keep(moved, f"{label}-edges{number}")
+        edges = steps.keep(moved, f"{label}-edges{number}", free=False)
         if edges.isEmpty():
             break
     found = pointers[0].select("node", F.col("to").alias("component"))
