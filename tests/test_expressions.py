@@ -3,7 +3,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.functions import expr, tails
+from panelloom.functions import expr, screens, tails
+from panelloom.sources import panel
 
 
 def values(df, column):
@@ -111,3 +112,41 @@ def test_chi_square_tail(spark):
     df = spark.createDataFrame(cases, "x double, k int").withColumn("p", tails.chi2_sf("x", "k"))
     for row in df.collect():
         assert row["p"] == pytest.approx(exact_tail(row["x"], row["k"]), abs=1e-12)
+
+
+@pytest.mark.parametrize(
+    "statistic, dof",
+    [(2000.0, 2000), (1600.0, 1501), (5.0, 1), (100.0, 101), (60.0, 1), (0.0, 3), (7.5, 4)],
+)
+def test_chi_square_tail_in_log_space(spark, statistic, dof):
+    x = statistic / 2
+    if x == 0:
+        want = 1.0
+    elif dof % 2 == 0:
+        want = sum(math.exp(-x + j * math.log(x) - math.lgamma(j + 1)) for j in range(dof // 2))
+    else:
+        want = math.erfc(math.sqrt(x)) + sum(
+            math.exp(-x + (j - 0.5) * math.log(x) - math.lgamma(j + 0.5))
+            for j in range(1, (dof - 1) // 2 + 1)
+        )
+    row = spark.createDataFrame([(statistic, dof)], "x double, k int").select(
+        tails.chi2_sf("x", "k").alias("p")
+    ).first()
+    assert abs(row["p"] / want - 1) < 1e-8
+
+
+def test_erfc_keeps_its_digits(spark):
+    values = [0.0, 0.1, 0.9, 1.99, 2.01, 3.5, 5.0, 10.0, 25.0]
+    df = spark.createDataFrame([(v,) for v in values], "z double")
+    for r in df.select("z", tails.erfc(df["z"]).alias("e")).collect():
+        assert abs(r["e"] / math.erfc(r["z"]) - 1) < 1e-9
+
+
+def test_scans_and_texts_are_not_cut(spark):
+    df = spark.range(10_050).selectExpr("string(id) panelist_id")
+    assert panel.scan_panelists(df).count() == 10_050
+    long = "x" * 5000
+    row = spark.createDataFrame([(long,)], "t string").select(
+        screens.sanitize("t").alias("all"), screens.sanitize("t", 2000).alias("cut")
+    ).first()
+    assert len(row["all"]) == 5000 and len(row["cut"]) == 2000
