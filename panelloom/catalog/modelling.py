@@ -55,15 +55,14 @@ def _(t):
     + ", ".join(
         f"round(({n} - avg({n}) OVER ()) / CASE WHEN stddev_pop({n}) OVER () = 0 THEN 1 ELSE "
         f"stddev_pop({n}) OVER () END, 6) AS {n}"
-        for n in ("cat_PROMO", "bin_mid", "log_rows", "mean_basket")
+        for n in NAMES
     )
     + " FROM feat",
     BOTH,
 )
 def _(t):
     out = features.standardize(_behavior(t), NAMES)
-    names = ["cat_PROMO", "bin_mid", "log_rows", "mean_basket"]
-    return r6(out, *names).select("panelist_id", *names)
+    return r6(out, *NAMES).select("panelist_id", *NAMES)
 
 
 @query("m03_random_projection")
@@ -77,16 +76,15 @@ def _(t):
 @query(
     "m04_l2_normalize",
     f"WITH {_FEATURES}, n AS (SELECT *, sqrt(" + " + ".join(f"{n} * {n}" for n in NAMES)
-    + ") AS len FROM feat) SELECT panelist_id AS id, round(log_rows / len, 6) AS log_rows, "
-    "round(mean_basket / len, 6) AS mean_basket FROM n",
+    + ") AS len FROM feat) SELECT panelist_id AS id, "
+    + ", ".join(f"round({n} / len, 6) AS {n}" for n in NAMES)
+    + " FROM n",
     BOTH,
 )
 def _(t):
     unit = features.l2_normalize(features.as_vector(_behavior(t), NAMES))
-    at = {n: i for i, n in enumerate(NAMES)}
     return unit.select(
-        "id", F.round(F.get("vector", F.lit(at["log_rows"])), 6).alias("log_rows"),
-        F.round(F.get("vector", F.lit(at["mean_basket"])), 6).alias("mean_basket"),
+        "id", *[F.round(F.get("vector", F.lit(i)), 6).alias(n) for i, n in enumerate(NAMES)]
     )
 
 

@@ -137,11 +137,11 @@ def _(t):
 @query(
     "a12_land_round",
     """SELECT panelist_id AS idno, region AS cntry, answer_index AS trstplc, 'ess' AS source,
-    '11' AS round_id FROM responses WHERE question_id = 'q_F'""",
+    '11' AS round_id FROM responses""",
     ("responses",),
 )
 def _(t):
-    rows = t.responses.filter(F.col("question_id") == "q_F").select(
+    rows = t.responses.select(
         F.col("panelist_id").alias("IDNO"), F.col("region").alias("CNTRY"),
         F.lit(11).alias("essround"), F.col("answer_index").alias("trstplc"),
         F.col("income_group").alias("unrelated"),
@@ -526,15 +526,13 @@ def _(t):
     coalesce(round(r.monetary, 2), 0) AS monetary, coalesce(r.recency_days, 999) AS recency_days
     FROM panelists p LEFT JOIN (SELECT panelist_id, count(transaction_date) AS frequency,
     sum(total_value) AS monetary, date_diff('day', max(transaction_date), DATE '2001-12-31')
-    AS recency_days FROM purchases WHERE product_category = 'PROMO' AND unit_price > 20
-    GROUP BY panelist_id) r USING (panelist_id)""",
+    AS recency_days FROM purchases GROUP BY panelist_id) r USING (panelist_id)""",
     ("panelists", "purchases"),
 )
 def _(t):
     from panelloom.plans import jobs
 
-    few = t.purchases.filter((F.col("product_category") == "PROMO") & (F.col("unit_price") > 20))
-    return jobs.attach_rfm(t.panelists, few, "2001-12-31").select(
+    return jobs.attach_rfm(t.panelists, t.purchases, "2001-12-31").select(
         "panelist_id", "frequency", "monetary", "recency_days"
     )
 

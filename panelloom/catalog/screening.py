@@ -315,7 +315,7 @@ def _(t):
 
 @query("o13_screen_questions")
 def _(t):
-    rows = t.turns.filter(F.col("role") == "user").select(F.col("id").alias("question_id"), "text")
+    rows = t.turns.select(F.col("id").alias("question_id"), "text")
     safe, blocked = text.screen_questions(rows)
     return safe.select("question_id", F.lit("safe").alias("outcome")).unionByName(
         blocked.select("question_id", F.col("risk_level").alias("outcome"))
@@ -324,9 +324,7 @@ def _(t):
 
 @query("o13_sanitize_responses")
 def _(t):
-    rows = t.turns.filter(F.col("role") == "assistant").select(
-        F.col("id").alias("response_id"), F.col("text").alias("answer")
-    )
+    rows = t.turns.select(F.col("id").alias("response_id"), F.col("text").alias("answer"))
     return text.sanitize_responses(rows).select(
         "response_id", "answer", F.array_join("security_flags", ",").alias("security_flags")
     )
