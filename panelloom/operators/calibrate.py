@@ -126,15 +126,15 @@ def survey_shares(
 ) -> tuple[DataFrame, DataFrame]:
     """Observed against empirical shares, and the group shares.
 
-    Responses and history are each read once. The results have a row per option
-    (and group); they are stored, so what follows never goes back to the answers.
+    Responses and history are each read once; ``catalog`` should be a stored table. The results
+    have a row per option (and group); they are stored, so what follows never goes back to
+    the answers.
     """
-    small = materialize(catalog, "catalog")
-    cells = materialize(dist.weighted_cells(responses, small, group, answer), "weights")
-    source = dist.overall_from_cells(cells, small)
-    target = dist.empirical_target(history, small)
+    cells = materialize(dist.weighted_cells(responses, catalog, group, answer), "weights")
+    source = dist.overall_from_cells(cells, catalog)
+    target = dist.empirical_target(history, catalog)
     pairs = materialize(dist.align(source, target), "pairs")
-    return pairs, materialize(dist.groups_from_cells(cells, small), "groups")
+    return pairs, materialize(dist.groups_from_cells(cells, catalog), "groups")
 
 
 def calibrate_survey(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelloom import schemas
 from panelloom.functions import expr
 from panelloom.functions.ranking import positions
-from panelloom.session import n_rows, one
+from panelloom.session import materialize, n_rows, one
 
 
 
@@ -86,8 +86,8 @@ def purchase_kpis(purchases: DataFrame) -> DataFrame:
 
 def penetration(purchases: DataFrame, top: int = 10) -> DataFrame:
     """Distinct buyers per category over distinct purchasing households."""
-    # (household, category) pairs are made unique once; both counts use that.
-    pairs = purchases.select("panelist_id", "product_category").distinct()
+    # (household, category) pairs are made unique and stored once; both counts use that.
+    pairs = materialize(purchases.select("panelist_id", "product_category").distinct(), "buyers")
     households = one(pairs, F.count_distinct("panelist_id"))
     return (
         pairs.filter(F.col("product_category").isNotNull() & F.col("panelist_id").isNotNull())
@@ -296,8 +296,8 @@ def rfm_scores(frame: DataFrame, key: str = "panelist_id") -> DataFrame:
     Ranks are unique (the id breaks ties) and are computed slice by slice, so no
     task ever orders the whole panel.
     """
-    out = frame
-    n = frame.count()
+    out = materialize(frame, "rfm")
+    n = out.count()
     for column, rising in (("recency_days", False), ("frequency", True), ("monetary", True)):
         order = [F.col(column).asc() if rising else F.col(column).desc(), F.col(key).asc()]
         out = positions(out, order, name="__pos", label=f"rfm-{column}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.ranking import positions
 from panelloom.operators import distributions as dist
-from panelloom.session import n_rows, one
+from panelloom.session import n_rows, one, small_side
 
 
 
@@ -18,9 +18,11 @@ def hash_order(key: str, seed: int) -> Column:
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42, order: Column | None = None) -> DataFrame:
-    """``n`` rows in hash order; Spark keeps ``n`` per task before the merge."""
+    """``n`` rows in hash order. Positions come from slice-wise ranks, so a large sample is as
+    spread out as the table."""
     rank = order if order is not None else hash_order(key, seed)
-    return df.orderBy(rank, F.col(key)).limit(n)
+    placed = positions(df.withColumn("__r", rank), ["__r", key], name="__pos", label="sample")
+    return placed.filter(F.col("__pos") <= n).select(*df.columns)
 
 
 def stratified_sample(
@@ -30,26 +32,25 @@ def stratified_sample(
 
     Each stratum gives ``max(1, floor(n * share))``; a surplus is trimmed and a
     shortfall topped up, both in hash order. Position within the stratum comes
-    from slice-wise ranks, so a dominant stratum does not gather in one task.
+    from slice-wise ranks, so a dominant stratum does not gather in one task, and nor does
+    the sample.
     """
     rank = order if order is not None else hash_order(key, seed)
     ranked = df.withColumn("__r", rank).withColumn("__s", F.coalesce(F.col(stratum).cast("string"), F.lit("0")))
     placed = positions(ranked, ["__r", key], ["__s"], "__pos", "strata")
     total = one(df, n_rows())
-    quota = placed.groupBy("__s").agg(n_rows().alias("size")).select(
+    quotas = placed.groupBy("__s").agg(n_rows().alias("size")).select(
         "__s",
         F.least(
             F.col("size"), F.greatest(F.lit(1), F.floor(n * (F.col("size") / total)))
         ).alias("quota"),
     )
     chosen = F.when(F.col("__pos") <= F.col("quota"), 0).otherwise(1)
-    # Chosen rows come first; the limit trims a surplus or tops up a shortfall.
-    return (
-        placed.join(quota, "__s")
-        .orderBy(chosen, "__r", key)
-        .limit(n)
-        .select(*df.columns)
-    )
+    # Chosen rows come first; the cut at n trims a surplus or tops up a shortfall.
+    quota = small_side(quotas, "quotas")
+    marked = placed.join(quota, "__s").withColumn("__late", chosen).drop("__pos")
+    drawn = positions(marked, ["__late", "__r", key], name="__pos", label="drawn")
+    return drawn.filter(F.col("__pos") <= n).select(*df.columns)
 
 
 def unit_hash(key: Column, modulus: int = 2_147_483_647, factor: int = 48_271) -> Column:
@@ -78,7 +79,7 @@ def _draw(frame: DataFrame, intervals: DataFrame, keys: Sequence[str]) -> DataFr
     """
     cell = F.struct("option_idx", "cdf_hi", "option")
     arrays = intervals.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    joined = frame.join(arrays, list(keys), "left")
+    joined = frame.join(small_side(arrays, "intervals"), list(keys), "left")
     hit = F.filter("cells", lambda c: F.col("u") < c["cdf_hi"])
     found = F.when(F.size(hit) > 0, hit[0]).otherwise(F.element_at("cells", -1))
     return joined.withColumn("drawn", found)
@@ -92,7 +93,9 @@ def impute_answers(
     the options where the group is unknown."""
     cdfs = dist.cdf(conditionals, ["question_id", given])
     drawn = _draw(frame.withColumn("u", u), cdfs, ["question_id", given])
-    sized = drawn.join(catalog.select("question_id", "options"), "question_id")
+    sized = drawn.join(
+        small_side(catalog.select("question_id", "options"), "options"), "question_id"
+    )
     even = F.floor(F.col("u") * F.size("options")).cast("int")
     return sized.withColumn(
         "answer_index", F.coalesce(F.col("drawn.option_idx"), even)
@@ -107,7 +110,7 @@ def quantile_map(frame: DataFrame, distribution: DataFrame, u: str = "u") -> Dat
     arrays = dist.cdf(distribution).groupBy("question_id").agg(
         F.array_sort(F.collect_list(cell)).alias("cells")
     )
-    joined = frame.join(arrays, "question_id")
+    joined = frame.join(small_side(arrays, "quantiles"), "question_id")
     hit = F.filter("cells", lambda c: c["cdf_hi"] >= F.col(u))
     picked = F.when(F.size(hit) > 0, hit[0]["option_idx"]).otherwise(
         F.element_at("cells", -1)["option_idx"]
@@ -116,10 +119,18 @@ def quantile_map(frame: DataFrame, distribution: DataFrame, u: str = "u") -> Dat
 
 
 def midpoint_views(events: DataFrame, key: str, order: Sequence[str], least: int = 4) -> DataFrame:
-    """First half against second half of each key's events, keys with ``least`` events."""
+    """First half against second half of each key's events, keys with ``least`` events.
+
+    ``order`` must make the rows of a key distinct. The number of a key's events is its position
+    from the front plus that from the back, so no table of keys is joined.
+    """
     placed = positions(events, list(order), [key], "position", "views")
-    sizes = events.groupBy(key).agg(n_rows().alias("events")).filter(F.col("events") >= least)
+    backwards = [F.col(o).desc() for o in order]
+    both = positions(placed, backwards, [key], "__back", "views-back")
     half = F.when(F.col("position") <= F.floor(F.col("events") / 2), 1).otherwise(2)
-    return placed.join(sizes, key).withColumn("view", half)
+    return (
+        both.withColumn("events", F.col("position") + F.col("__back") - 1)
+        .filter(F.col("events") >= least).drop("__back").withColumn("view", half)
+    )
 
 

@@ -323,3 +323,16 @@ def test_epsilon_only_moves_the_plan(spark):
     sweep = cal.epsilon_sweep(cal.transport_plans(pairs, cal.cost_cells(pairs), [0.05, 1.0])).orderBy("epsilon").collect()
     assert sweep[0]["iterations"] > sweep[1]["iterations"]
     assert sweep[0]["plan_entropy"] < sweep[1]["plan_entropy"]
+
+
+def test_samples_and_halves_with_one_dominant_key(spark):
+    from panelloom.operators import sampling
+
+    df = spark.range(2000).selectExpr("id", "if(id < 1800, 'big', concat('s', id % 4)) s")
+    drawn = sampling.stratified_sample(df, 100, "s", "id").groupBy("s").count().collect()
+    found = {r["s"]: r["count"] for r in drawn}
+    assert sum(found.values()) == 100 and found["big"] == 90 and len(found) == 5
+    assert sampling.sample_n(df, 700, "id").distinct().count() == 700
+    views = sampling.midpoint_views(df, "s", ["id"]).groupBy("s", "view").count().collect()
+    assert {(r["s"], r["view"]): r["count"] for r in views}[("big", 1)] == 900
+    assert len(views) == 10
