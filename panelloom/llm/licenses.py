@@ -222,8 +222,9 @@ def classify(paragraph: str, model: Model) -> tuple[str, float, float, bool]:
 
 
 def learn(docs: DataFrame, background: int = BACKGROUND) -> Model:
-    """Fit on the templates and on about ``background`` paragraphs of ``docs(doc_id, text)``,
-    the middle lines of texts chosen by a hash of the id."""
+    """Fit on the templates and on about ``background`` paragraphs of ``docs(doc_id, text)``, the
+    middle lines of texts chosen by a hash of the id (of a line, 2,000 characters at most teach;
+    scanning reads whole lines)."""
     texts = docs.filter("text is not null")
     total = texts.count()
     share = int(RESOLUTION * min(1.0, background / max(total, 1)))
