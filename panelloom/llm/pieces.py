@@ -259,7 +259,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """All columns of ``docs`` but the text, with ``n_tokens``, ``ids``, digests of the ids (as
     little-endian 32-bit numbers) and of the decoded bytes, and ``round_trip`` (decoding gives
     the text). Null and empty texts have no ids and decode to nothing. Columns with these
-    names are replaced. ``model`` must be readable on every executor.
+    names are replaced. ``model`` is read on the driver; its pieces go to the tasks.
     """
     batch_rows(docs.sparkSession)
     vocabulary = load(model)
