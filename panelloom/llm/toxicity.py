@@ -4,14 +4,15 @@ Each distinct word of a text gives terms: itself, and its character 4- and 5-gra
 at its ends. Terms are hashed to a fixed number of buckets; every bucket has a weight and a
 short vector, and the score adds all weights and the inner products of all pairs of terms:
 pairs that matter only together (an insult next to a mentioned group) get their say, which a
-linear model cannot give them. Learning takes place on the driver over a bounded sample.
+linear model cannot give them. All buckets are learnt: a bucket's share in the two labels only
+sets the step of its weight and the least step of its vector, so terms that tell nothing alone
+keep a vector. Learning takes place on the driver over a bounded sample of distinct texts.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -21,17 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from panelloom.llm.common import batch_rows, column
+from panelloom.llm.common import Steps, batch_rows, column
 
-BUCKETS = 1 << 22
+BUCKETS = 1 << 18
 FACTORS = 6
-#: Labelled texts used for learning, in expectation, of each label.
+#: Distinct labelled texts used for learning, in expectation, of each label.
 LEARN_PER_LABEL = 4000
-#: A bucket takes part if so many of those texts have it, and its shares in the two labels lie
-#: so many standard errors apart; at most so many buckets, the most telling first.
-LEAST_TEXTS = 4
-LEAST_GAP = 4.5
-MOST_BUCKETS = 8192
+#: Steps of a weight: least and most, with the fourth power of its gap over so many standard
+#: errors between; and the least step of a vector, whatever the gap.
+STEADY_GAP, LEAST_STEP, MOST_STEP = 4.5, 0.03, 4.0
+LEAST_VECTOR_STEP = 0.1
+#: A bucket and its count in a text are sent as one number; larger counts are sent in parts.
+COUNT_LIMIT = 1 << 13
 SLICE = 10_000_000
 CACHE = 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -67,33 +69,32 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.slots = {int(b): i for i, b in enumerate(model.buckets)}
-        self.nothing = np.zeros(2 + FACTORS)
-        self.known: dict[str, np.ndarray] = {}
-
-    def parts(self, word: str) -> np.ndarray:
-        """Weight, squared length and vector sum of the word's terms."""
-        found = self.known.get(word)
-        if found is None:
-            at = [self.slots[t] for t in terms_of(word) if t in self.slots]
-            found = self.nothing
-            if at:
-                vectors = self.model.vectors[at]
-                found = np.concatenate(
-                    [[self.model.weights[at].sum(), (vectors**2).sum()], vectors.sum(axis=0)]
-                )
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        self.slots = np.full(BUCKETS, -1)
+        self.slots[model.buckets] = np.arange(len(model.buckets))
+        self.sums = np.zeros((1024, 2 + FACTORS))
+        self.known: dict[str, int] = {}
+
+    def place(self, word: str) -> int:
+        """Where ``sums`` has weight, squared length and vector sum of the word's terms."""
+        number = self.known.get(word)
+        if number is None:
+            number = self.known[word] = len(self.known)
+            if number == len(self.sums):
+                self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+            at = self.slots[terms_of(word)]
+            at = at[at >= 0]
+            vectors = self.model.vectors[at]
+            self.sums[number, 0] = self.model.weights[at].sum()
+            self.sums[number, 1] = (vectors**2).sum()
+            self.sums[number, 2:] = vectors.sum(axis=0)
+        return number
 
     def score(self, text: str) -> float:
-        told = [(w, p) for w in words_in(text) if (p := self.parts(w)) is not self.nothing]
-        if not told:
-            margin = self.model.bias
-        else:
-            total = np.sum([p for _, p in sorted(told, key=lambda x: x[0])], axis=0)
-            margin = self.model.bias + total[0] + 0.5 * ((total[2:] ** 2).sum() - total[1])
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        at = [self.place(word) for word in sorted(words_in(text))]
+        total = self.sums[at].sum(axis=0) if at else np.zeros(2 + FACTORS)
+        margin = self.model.bias + total[0] + 0.5 * ((total[2:] ** 2).sum() - total[1])
         return float(1 / (1 + np.exp(-np.clip(margin, -50, 50))))
 
 
@@ -110,141 +111,144 @@ def _terms(text: str, known: dict[str, list[int]]) -> list[int]:
     return found
 
 
+def _steps(owner: np.ndarray, slot: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+    """Steps of a bucket's weight and vector: short where most texts have it; the weight's is
+    longer the further its shares in the two labels lie apart."""
+    texts, ones = len(labels), max(labels.sum(), 1e-9)
+    zeros = max(texts - labels.sum(), 1e-9)
+    held = np.bincount(slot, minlength=size)
+    toxic = np.bincount(slot, labels[owner], size)
+    share = (held + 1) / (texts + 2)
+    error = np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros)) + 1e-12
+    gap = np.abs(toxic / ones - (held - toxic) / zeros) / error
+    idf = np.maximum(np.log((texts + 1) / (held + 1)), 0) / np.log(texts + 1)
+    weight = 0.5 * idf**2 * (LEAST_STEP + np.minimum((gap / STEADY_GAP) ** 4, MOST_STEP))
+    vector = np.maximum(weight, LEAST_VECTOR_STEP * np.maximum(1 - held / (texts + 1), 0))
+    return np.stack([weight, *[vector] * FACTORS], axis=1).astype(np.float32)
+
+
 def fit(
-    owner: np.ndarray, slot: np.ndarray, labels: np.ndarray, used: np.ndarray, epochs: int = 12,
-    rate: float = 0.05, decay: float = 1e-4, batch: int = 256, seed: int = 7,
+    starts: np.ndarray, slot: np.ndarray, count: np.ndarray, labels: np.ndarray, used: np.ndarray,
+    epochs: int = 12, least_rounds: int = 200, rate: float = 0.05, decay: float = 1e-4,
+    batch: int = 256, seed: int = 7,
 ) -> Model:
-    """Adaptive gradient steps on the logistic loss. ``owner`` (sorted) and ``slot`` list the term
-    occurrences by text and by place in the buckets ``used``."""
+    """Adaptive gradient steps on the logistic loss. ``slot`` and ``count`` list the terms of
+    text after text, by place in the buckets ``used``, from ``starts`` on. Labels may be shares."""
     rng = np.random.default_rng(seed)
     texts = len(labels)
-    starts = np.searchsorted(owner, np.arange(texts + 1))
-    params = np.zeros((len(used), 1 + FACTORS))
+    scale = _steps(np.repeat(np.arange(texts), np.diff(starts)), slot, labels, len(used))
+    params = np.zeros((len(used), 1 + FACTORS), np.float32)
     params[:, 1:] = rng.normal(0, 0.01, (len(used), FACTORS))
-    speed = np.full(params.shape, 1e-3)
+    speed = np.full(params.shape, 1e-6, np.float32)
     share = min(max(labels.mean(), 1e-3), 1 - 1e-3)
-    bias, bias_speed = float(np.log(share / (1 - share))), 1e-3
-    for _ in range(epochs):
+    bias, bias_speed = float(np.log(share / (1 - share))), 1e-6
+    for _ in range(max(epochs, -(-least_rounds * batch // max(texts, 1)))):
         order = rng.permutation(texts)
         for lo in range(0, texts, batch):
             chosen = order[lo : lo + batch]
             lengths = starts[chosen + 1] - starts[chosen]
-            at = np.repeat(starts[chosen] - np.concatenate([[0], np.cumsum(lengths)[:-1]]),
-                           lengths) + np.arange(lengths.sum())
-            row, ids = np.repeat(np.arange(len(chosen)), lengths), slot[at]
-            own, pos = np.unique(ids, return_inverse=True)
-            local = params[own]
-            x = local[pos]
-            sums = np.stack(
-                [np.bincount(row, x[:, f], len(chosen)) for f in range(1 + FACTORS)], axis=1
-            )
-            squares = np.bincount(row, (x[:, 1:] ** 2).sum(axis=1), len(chosen))
-            margin = bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(axis=1) - squares)
-            error = 1 / (1 + np.exp(-np.clip(margin, -50, 50))) - labels[chosen]
-            pull = error[row]
-            slope = np.empty_like(x)
-            slope[:, 0] = pull
-            slope[:, 1:] = pull[:, None] * (sums[row, 1:] - x[:, 1:])
-            grad = np.stack(
-                [np.bincount(pos, slope[:, f], len(own)) for f in range(1 + FACTORS)], axis=1
-            ) / len(chosen) + decay * local
-            speed[own] += grad**2
-            params[own] = local - rate * grad / np.sqrt(speed[own])
-            bias_speed += error.mean() ** 2
-            bias -= rate * error.mean() / np.sqrt(bias_speed)
-    return Model(bias, used, params[:, 0].copy(), params[:, 1:].copy())
+            # Texts without a term have the bias alone.
+            bare, chosen, lengths = chosen[lengths == 0], chosen[lengths > 0], lengths[lengths > 0]
+            total = len(bare) + len(chosen)
+            first = np.cumsum(lengths) - lengths
+            error = np.zeros(0)
+            if len(chosen):
+                at = np.repeat(starts[chosen] - first, lengths) + np.arange(lengths.sum())
+                row, ids, n = np.repeat(np.arange(len(chosen)), lengths), slot[at], count[at]
+                by = np.argsort(ids, kind="stable")
+                heads = np.flatnonzero(np.diff(ids[by], prepend=-1))
+                own = ids[by][heads]
+                pos = np.empty(len(ids), np.int64)
+                pos[by] = np.repeat(np.arange(len(own)), np.diff(heads, append=len(ids)))
+                local, step = params[own], scale[own]
+                x = (local * step)[pos]
+                part = n[:, None] * x
+                sums = np.add.reduceat(part, first)
+                squares = np.add.reduceat((part[:, 1:] * x[:, 1:]).sum(axis=1), first)
+                margin = bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(axis=1) - squares)
+                error = 1 / (1 + np.exp(-np.clip(margin, -50, 50))) - labels[chosen]
+                pull = (error[row] * n).astype(np.float32)
+                slope = np.empty_like(x)
+                slope[:, 0] = pull
+                slope[:, 1:] = pull[:, None] * (sums[row, 1:] - x[:, 1:])
+                grad = np.add.reduceat(slope[by], heads) / total * step + decay * local
+                speed[own] += grad**2
+                params[own] = local - rate * grad / np.sqrt(speed[own])
+            alone = 1 / (1 + np.exp(-bias)) - labels[bare]
+            lean = float((error.sum() + alone.sum()) / total)
+            bias_speed += lean**2
+            bias -= rate * lean / np.sqrt(bias_speed)
+    learnt = params.astype(float) * scale
+    return Model(bias, used, learnt[:, 0].copy(), learnt[:, 1:].copy())
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = LEARN_PER_LABEL) -> Model:
     """Fit on ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``.
 
-    About ``per_label`` labels of each kind are used, chosen by a hash of the id; this bounded
-    list goes to the texts, which therefore stay where they are. Rows with a null label, id
-    or text teach nothing; of several labels of a document the largest counts. Without both
-    labels the model is constant (near 0 or 1, or one half without rows).
+    Equal texts count once, with the share of toxic ones among their labels. About
+    ``per_label`` distinct texts of each kind (by the larger share) are used, chosen by a hash of
+    the text; this bounded list goes to the texts, which therefore stay where they are. Rows
+    with a null label, id or text teach nothing; of several labels of a document the largest
+    counts. Without both labels the model is constant (near 0 or 1, or one half without rows).
     """
     marks = (
         labels.filter("toxic in (0, 1) and doc_id is not null")
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("toxic"))
     )
-    sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if marks.isEmpty():
+        return constant(0.0)
+    texts = docs.filter("text is not null").select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    distinct = (
+        texts.select("doc_id", "digest").join(marks, "doc_id").groupBy("digest")
+        .agg(F.avg("toxic").alias("share"), F.min("doc_id").alias("doc_id"))
+        .withColumn("toxic", (F.col("share") >= 0.5).cast("int"))
+    )
+    distinct = Steps(docs.sparkSession, "toxicity").keep(distinct, "distinct")
+    sizes = {r["toxic"]: r["n"] for r in distinct.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
-        bias = {(): 0.0, (0,): -5.0, (1,): 5.0}[tuple(sizes)]
-        return constant(bias)
+        kinds = sizes or {r["toxic"] for r in marks.select("toxic").distinct().collect()}
+        return constant({(0,): -5.0, (1,): 5.0}.get(tuple(kinds), 0.0))
     shares = {k: min(1.0, per_label / n) for k, n in sizes.items()}
     limit = F.when(F.col("toxic") == 1, int(SLICE * shares[1])).otherwise(int(SLICE * shares[0]))
-    chosen = marks.filter(
-        F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(SLICE)) < limit
-    )
+    chosen = distinct.filter(
+        F.pmod(F.xxhash64(F.lit("toxicity"), F.col("digest")), F.lit(SLICE)) < limit
+    ).select("doc_id", "digest", "share")
     batch_rows(docs.sparkSession)
-    sample = (
-        docs.filter("text is not null")
-        .select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic", "text")
-    )
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How many texts of either label have a bucket."""
-        known: dict[str, list[int]] = {}
-        sums: Counter = Counter()
-        for batch in batches:
-            labels = column(batch, "toxic").to_pylist()
-            for text, toxic in zip(column(batch, "text").to_pylist(), labels):
-                sums.update(2 * t + toxic for t in set(_terms(text, known)))
-        keys = np.fromiter(sums.keys(), np.int64, len(sums))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array((keys // 2).astype(np.int32)), pa.array((keys % 2).astype(np.int32)),
-                pa.array(np.fromiter(sums.values(), np.int64, len(sums))),
-            ],
-            ["bucket", "toxic", "n"],
-        )
-
-    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not totals:
-        return constant(0.0)
-    ones, zeros = totals.get(1, 0) or 1, totals.get(0, 0) or 1
-    share = (F.col("a") + F.col("b")) / (ones + zeros)
-    error = F.sqrt(share * (1 - share) * (1 / ones + 1 / zeros)) + 1e-12
-    told = (
-        sample.mapInArrow(count, "bucket int, toxic int, n bigint")
-        .groupBy("bucket")
-        .agg(
-            F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"),
-            F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"),
-        )
-        .withColumn("gap", F.abs(F.col("a") / ones - F.col("b") / zeros) / error)
-        .filter((F.col("a") + F.col("b") >= LEAST_TEXTS) & (F.col("gap") >= LEAST_GAP))
-        .orderBy(F.desc("gap"), "bucket").limit(MOST_BUCKETS).select("bucket").toArrow()
-    )
-    used = np.sort(np.asarray(told.column("bucket")).astype(np.int64))
-    slots = {int(b): i for i, b in enumerate(used)}
+    sample = texts.join(F.broadcast(chosen), ["doc_id", "digest"]).select("digest", "share", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
         for batch in batches:
-            terms = [
-                [slots[t] for t in _terms(text, known) if t in slots]
-                for text in column(batch, "text").to_pylist()
-            ]
+            terms = []
+            for text in column(batch, "text").to_pylist():
+                bucket, n = np.unique(np.array(_terms(text, known), np.int64), return_counts=True)
+                part = -(-n // COUNT_LIMIT)
+                bucket, left = np.repeat(bucket, part), np.repeat(n, part)
+                left -= COUNT_LIMIT * (np.arange(len(left)) - np.repeat(np.cumsum(part) - part, part))
+                terms.append((bucket * COUNT_LIMIT + np.minimum(left, COUNT_LIMIT) - 1).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "toxic"), pa.array(terms, pa.list_(pa.int32()))],
-                ["doc_id", "toxic", "terms"],
+                [column(batch, "digest"), column(batch, "share"), pa.array(terms, pa.list_(pa.int32()))],
+                ["digest", "share", "terms"],
             )
 
-    rows = (
-        sample.mapInArrow(features, "doc_id bigint, toxic int, terms array<int>")
-        .toArrow()
-        .sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-        .combine_chunks()
-    )
+    rows = sample.mapInArrow(features, "digest bigint, share double, terms array<int>").toArrow()
+    digest, first = np.unique(np.asarray(rows.column("digest")), return_index=True)
+    if not len(digest):
+        return constant(0.0)
+    # Rows that repeat an id and its text come several times.
     terms = rows.column("terms").combine_chunks()
-    owner = np.repeat(np.arange(len(terms)), np.diff(np.asarray(terms.offsets)))
-    labels_of = np.asarray(rows.column("toxic")).astype(float)
-    model = fit(owner, np.asarray(terms.flatten()).astype(np.int64), labels_of, used)
-    # Undo the sampling of labels, so that 0.5 means as likely as not in all rows.
+    offsets, flat = np.asarray(terms.offsets), np.asarray(terms.values)
+    lengths = (offsets[1:] - offsets[:-1])[first]
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    packed = np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in first])
+    slot, count = packed // COUNT_LIMIT, (packed % COUNT_LIMIT + 1).astype(np.float32)
+    held = np.bincount(slot, minlength=BUCKETS) > 0
+    place = (np.cumsum(held) - 1).astype(np.int32)
+    labels_of = np.asarray(rows.column("share"))[first]
+    del rows, terms, flat, packed
+    model = fit(starts, place[slot], count, labels_of, np.flatnonzero(held))
+    # Undo the sampling of labels, so that 0.5 means as likely as not in all distinct texts.
     return replace(model, bias=float(model.bias + np.log(shares[0] / shares[1])))
 
 

@@ -142,6 +142,25 @@ def test_factorization_machine_learns_a_pair(spark):
         assert abs(found[i]["score"] - want) < 1e-9
 
 
+def test_toxicity_learns_a_pair_of_balanced_terms(spark):
+    rng = random.Random(3)
+    filler = [f"word{chr(97 + i)}" for i in range(26)]
+    rows, labels = [], []
+    for i in range(900):
+        a, b = divmod(i % 4, 2)
+        words = rng.choices(filler, k=12) + ["zzinsult"] * a + ["qqgroup"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(a == b)))
+    # Copies of one text do not outweigh the others.
+    rows += [(1000 + i, rows[0][1]) for i in range(2000)]
+    labels += [(1000 + i, labels[0][1]) for i in range(2000)]
+    marks = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.learn(docs_of(spark, rows), marks.filter("doc_id < 600 or doc_id >= 1000"))
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs_of(spark, rows), model).collect()}
+    assert np.mean([found[i] == y for i, y in labels[600:900]]) > 0.95
+
+
 def test_toxicity_odd_rows(spark):
     docs = docs_of(spark, ODD)
     labels = spark.createDataFrame([(1, None), (None, 1), (5, 1), (99, 0)], "doc_id bigint, toxic int")
