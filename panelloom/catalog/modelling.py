@@ -146,7 +146,7 @@ def _vectors(t):
 
 @query("m08_cluster_scan")
 def _(t):
-    _, curve = clusters.cluster_scan(t.embeddings, range(2, 6), restarts=2)
+    _, curve = clusters.cluster_scan(t.embeddings, range(2, 9))
     return curve
 
 
@@ -179,16 +179,13 @@ def _(t):
 
 @query("m10_gmm")
 def _(t):
-    assigned = clusters.cluster_gmm(clusters.project_2d(_vectors(t)).select(
-        "id", F.array("x", "y").alias("vector")
-    ))
+    assigned = clusters.cluster_gmm(t.embeddings)
     return assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("m11_dbscan")
 def _(t):
-    flat = clusters.project_2d(_vectors(t)).select("id", F.array("x", "y").alias("vector"))
-    return clusters.cluster_dbscan(flat, 0.5, 5)
+    return clusters.cluster_dbscan(t.embeddings, 0.5, 5)
 
 
 @query("m12_embedding_sweep")

@@ -209,8 +209,8 @@ def embed_households(purchases: DataFrame, panelists: DataFrame, d: int = 128, s
 
 
 def embedding_job(
-    panelists: DataFrame, purchases: DataFrame | None, k: int = clusters.CLUSTERS, restarts: int = 2,
-    seed: int = 42,
+    panelists: DataFrame, purchases: DataFrame | None, k: int = clusters.CLUSTERS,
+    restarts: int = clusters.RESTARTS, seed: int = 42,
 ) -> DataFrame:
     """Panelists with ``cluster_id``; 0 where no embedding exists.
 

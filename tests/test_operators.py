@@ -336,3 +336,27 @@ def test_samples_and_halves_with_one_dominant_key(spark):
     views = sampling.midpoint_views(df, "s", ["id"]).groupBy("s", "view").count().collect()
     assert {(r["s"], r["view"]): r["count"] for r in views}[("big", 1)] == 900
     assert len(views) == 10
+
+
+def test_cluster_queries_run_the_whole_job(spark, monkeypatch):
+    import __spark_entry__ as registry
+
+    scans, widths = [], []
+
+    def scan(df, ks=(clusters.CLUSTERS,), restarts=clusters.RESTARTS, seed=clusters.SEED):
+        scans.append((list(ks), restarts))
+        return df.selectExpr("id", "0 AS cluster_id"), spark.createDataFrame(
+            [(k, 0.0, 0.0) for k in ks], "k INT, inertia DOUBLE, silhouette DOUBLE"
+        )
+
+    def wide(df, *_):
+        widths.append(len(df.first()["vector"]))
+        return df.selectExpr("id", "0 AS cluster_id")
+
+    monkeypatch.setattr(clusters, "cluster_scan", scan)
+    monkeypatch.setattr(clusters, "cluster_gmm", wide)
+    monkeypatch.setattr(clusters, "cluster_dbscan", wide)
+    for name in ("m08_cluster_scan", "m12_embedding_sweep", "n14_embedding_job", "m10_gmm", "m11_dbscan"):
+        registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert scans == [(list(range(2, 9)), 10), *[([5], 10)] * 6]
+    assert widths == [64, 64]

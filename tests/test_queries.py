@@ -6,16 +6,13 @@ from conftest import SMALL
 
 import __spark_entry__ as registry
 
-# Heavy iterative jobs have tests of their own on small frames.
-SLOW = {"m08_cluster_scan", "m10_gmm", "m11_dbscan", "m12_embedding_sweep", "n14_embedding_job"}
-
 
 @pytest.fixture(scope="module")
 def duck():
     return check.connect(SMALL)
 
 
-@pytest.mark.parametrize("name", [n for n in registry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", registry.queries())
 def test_query(spark, duck, name):
     status, rows, _, detail = check.compare(spark, duck, name, SMALL)
     assert status in ("ok", "rows"), f"{status}: {detail}"
