@@ -4,7 +4,8 @@ A page becomes a tree. Every paragraph earns points for its length and its comma
 share of link text, and passes them to its container and, in falling parts, to the containers
 above. The container with the most points, discounted by its own link density, is the
 article; siblings that look like parts of it are kept too. Menus, forms, notices and the like
-are left out by element, role and name, and link lists inside the article by density.
+are left out by element, role and name, but not a named block with most of the page's points.
+Menus at the article's start or end, which are lists of links, are left out as well.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ CLOSES = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-#: Elements, roles and parts of names that hold no article text.
+#: Elements, roles and names that hold no article text.
 SKIPPED = frozenset(
     "script style noscript template textarea title nav aside footer form button select option "
     "input iframe svg canvas object audio video dialog menu head noembed noframes xmp".split()
@@ -60,10 +61,28 @@ SKIPPED_NAMES = frozenset(
     "respond rss share sharing sidebar signup social sponsor sponsored subscribe subscription "
     "tags toolbar widget widgets".split()
 )
+#: Parts that a skipped name may have besides: places and kinds of blocks, not their topics.
+NEUTRAL_PARTS = frozenset(
+    "area bar block bottom box button buttons container inner item items left link links list "
+    "main outer page primary right secondary section site top wrap wrapper".split()
+)
 KEPT_ANYWAY = frozenset("html body article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+def _is_skipped(name: str) -> bool:
+    """Whether a name is a skipped one, or made of them and of neutral parts alone: with any
+    other part (``share-price``, ``no-sidebar``, ``overflow-hidden``) it means something else."""
+    parts = [p.lower() for p in NAME_PART.findall(name)]
+    words = {p for p in parts if not p.isdigit()} - NEUTRAL_PARTS
+    return name.lower() in SKIPPED_NAMES or bool(words) and words <= SKIPPED_NAMES
+
+
+def _worth(text: str, share: float) -> float:
+    """Points of a run of text with this share of links."""
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - share)
+
+
 class Page:
     """Nodes in document order (a subtree is a range), and the runs of text between them."""
 
@@ -74,7 +93,9 @@ class Page:
         self.skipped = [0]  # 0 no, 1 by its name, 2 by what it is
         self.links = [False]
         self.items: list[tuple[int, str | None]] = []  # (node, text), or None for a boundary
+        self.named = {0: False}  # nodes whose own name is a skipped one
         self._read(source)
+        self._skip_named()
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
         node = len(self.tags)
@@ -82,9 +103,24 @@ class Page:
         self.parents.append(parent)
         self.ends.append(0)
         self.links.append(self.links[parent] or tag == "a")
-        self.skipped.append(max(self.skipped[parent], self._judge(tag, attributes, parent)))
+        level = self._judge(tag, attributes, parent)
+        self.named[node] = level == 1
+        self.skipped.append(max(self.skipped[parent], level if level == 2 else 0))
         return node
 
+    def _skip_named(self) -> None:
+        """Mark the subtrees of named nodes, but for those with most of the page's points."""
+        if not any(self.named.values()):
+            return
+        worth = [0.0] * len(self.tags)
+        for node, text, share in self.blocks(2):
+            worth[node] += _worth(text, share)
+        for node in range(len(self.tags) - 1, 0, -1):
+            worth[self.parents[node]] += worth[node]
+        for node in range(1, len(self.tags)):
+            own = self.named[node] and 2 * worth[node] <= worth[0]
+            self.skipped[node] = max(self.skipped[node], self.skipped[self.parents[node]], int(own))
+
     def _judge(self, tag: str, attributes: str, parent: int) -> int:
         if tag in SKIPPED:
             return 2
@@ -92,18 +128,18 @@ class Page:
             return 0 if self._inside(parent, ("article", "main")) else 2
         if not attributes or tag in KEPT_ANYWAY:
             return 0
-        words: set[str] = set()
+        named = False
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "")
             if name in ("class", "id"):
-                words.update(w.lower() for w in NAME_PART.findall(value))
+                named = named or any(_is_skipped(v) for v in value.split())
             elif name == "role" and value.lower() in SKIPPED_ROLES:
                 return 2
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 return 2
             elif name == "style" and "display:none" in value.replace(" ", "").lower():
                 return 2
-        return 1 if words & SKIPPED_NAMES else 0
+        return int(named)
 
     def _inside(self, node: int, tags: tuple[str, ...]) -> bool:
         while node:
@@ -229,7 +265,7 @@ def _scores(page: Page, blocks: list[tuple[int, str, float]]) -> tuple[dict[int,
     for node, text, share in blocks:
         length[node] += len(text)
         linked[node] += int(len(text) * share)
-        worth = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - share)
+        worth = _worth(text, share)
         at = page.parents[node] if page.tags[node] in PARAGRAPH else node
         for part in (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12):
             points[at] = points.get(at, 0) + worth * part
@@ -275,13 +311,25 @@ def main_text(source: str | None) -> str:
                 roots.append((node, page.ends[node]))
         if not best:
             roots.append((0, page.ends[0]))
-    lists = _link_lists(page, length, linked)
-    out, at = [], 0
-    for node, text, _ in blocks:
-        if any(lo <= node < hi for lo, hi in roots) and not _under(page, node, lists):
-            out.append(text)
     # Text that stands directly in the parent, between the parts, belongs to none of them.
-    return "\n\n".join(out)
+    inside = [b for b in blocks if any(lo <= b[0] < hi for lo, hi in roots)]
+    menus = _menus(page, inside, _link_lists(page, length, linked))
+    return "\n\n".join(text for node, text, _ in inside if not _under(page, node, menus))
+
+
+def _menus(page: Page, inside: list[tuple[int, str, float]], lists: set[int]) -> set[int]:
+    """Link lists before all prose, or after all of it without a heading of their own."""
+    listed = [_under(page, node, lists) for node, _, _ in inside]
+    heads = [page.tags[node] in HEADINGS for node, _, _ in inside]
+    prose = [i for i, own in enumerate(listed) if not own and not heads[i]]
+    if not prose:
+        return set()
+    menus = set()
+    for top in lists:
+        own = [i for i, (node, _, _) in enumerate(inside) if top <= node < page.ends[top]]
+        if own and (own[-1] < prose[0] or own[0] > prose[-1] and not (heads[own[0] - 1] or heads[own[0]])):
+            menus.add(top)
+    return menus
 
 
 def _link_lists(page: Page, length: list[int], linked: list[int]) -> set[int]:
@@ -292,7 +340,7 @@ def _link_lists(page: Page, length: list[int], linked: list[int]) -> set[int]:
         links[page.parents[node]] += links[node]
     return {
         n for n in range(1, len(page.tags))
-        if page.tags[n] in ("ul", "ol", "dl", "table", "div", "section")
+        if page.tags[n] in ("ul", "div", "section")
         and links[n] > 1 and 3 * linked[n] > 2 * length[n]
     }
 

@@ -48,6 +48,31 @@ CASES = [
 ]
 
 
+LONG = "A sentence of the article, with commas, and with more words than a notice has."
+
+
+@pytest.mark.parametrize(
+    "name", ["relative overflow-hidden", "content no-sidebar", "layout-sidebar-right", "share-price", "popup", "hidden"]
+)
+def test_main_text_keeps_wrappers_with_skipped_words(name):
+    for attribute in ("class", "id"):
+        page = (
+            f"<div>Copyright line</div><section {attribute}='{name}'><p>{LONG}</p><p>{LONG}</p>"
+            "<div class='cookie-notice'><p>We use cookies, you know.</p></div></section>"
+        )
+        assert pages.main_text(page) == f"{LONG}\n\n{LONG}"
+
+
+def test_main_text_keeps_links_within_the_article():
+    links = "<li><a href=a>One source</a><li><a href=b>Two source</a>"
+    found = pages.main_text(
+        f"<article><ul>{links}</ul><p>{LONG}</p><ul>{links}</ul><p>{LONG}</p>"
+        f"<h2>Sources</h2><ul>{links}</ul><table><tr><td><a href=c>Three</a><td><a href=d>Four</a></table></article>"
+    )
+    named = "One source\n\nTwo source"
+    assert found == f"{LONG}\n\n{named}\n\n{LONG}\n\nSources\n\n{named}\n\nThree\n\nFour"
+
+
 @pytest.mark.parametrize("source, want", CASES)
 def test_main_text(source, want):
     assert pages.main_text(source) == want
