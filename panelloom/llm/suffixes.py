@@ -132,6 +132,18 @@ def _tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     )
 
 
+def _later(h: np.ndarray, x: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Strings that a smaller document has too: anchor's and string's hashes are equal."""
+    order = np.lexsort((x, h))
+    new = (np.diff(h[order]) != 0) | (np.diff(x[order]) != 0)
+    first = np.concatenate([[0], np.flatnonzero(new) + 1])
+    least = np.minimum.reduceat(doc[order], first)
+    lengths = np.diff(np.concatenate([first, [len(x)]]))
+    later = np.zeros(len(x), bool)
+    later[order] = doc[order] > np.repeat(least, lengths)
+    return later
+
+
 def _index(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, covered = Packer(0, ENTRY, 6), Packer(1, COVERED, 6)
@@ -141,12 +153,7 @@ def _index(parts: int):
         def flush() -> Iterator[pa.RecordBatch]:
             h, x, doc, start, count, tag = (np.concatenate(c) for c in zip(*held))
             h, x = h & LOW48, x & LOW48
-            order = np.argsort(x, kind="stable")
-            first = np.concatenate([[0], np.flatnonzero(np.diff(x[order])) + 1])
-            least = np.minimum.reduceat(doc[order], first)
-            lengths = np.diff(np.concatenate([first, [len(x)]]))
-            later = np.zeros(len(x), bool)
-            later[order] = doc[order] > np.repeat(least, lengths)
+            later = _later(h, x, doc)
             covered.add((doc[later] % parts).astype(np.int32), doc[later], start[later], count[later], tag[later])
             own = ~later
             packer.add(

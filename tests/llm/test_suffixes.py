@@ -112,3 +112,9 @@ def test_text_without_repeats(spark):
     assert kept.columns[: len(docs.columns)] == docs.columns
     clean = kept.filter("n_removed = 0").join(docs.select("doc_id", docs.text.alias("old")), "doc_id")
     assert clean.filter("text = old").count() == clean.count() > 0
+
+
+def test_equal_strings_have_equal_anchors_too():
+    h, x = np.array([7, 7, 8, 8], np.uint64), np.array([5, 5, 5, 5], np.uint64)
+    assert suffixes._later(h, x, np.array([2, 1, 4, 3])).tolist() == [True, False, True, False]
+    assert suffixes._later(h, x, np.array([1, 1, 3, 3])).tolist() == [False] * 4
