@@ -5,7 +5,8 @@ that the learning texts use, hashed to a fixed number of buckets; a multinomial
 regression tells license families from ``unknown``. It learns from disturbed copies of the
 templates and, for ``unknown``, from a bounded sample of the corpus. A temperature fitted on
 held-out copies calibrates the probabilities. A prediction counts as confirmed when the
-paragraph shares enough words and word pairs with a template of the predicted family.
+paragraph shares enough words and word pairs with a template of the predicted family. SPDX
+tags are read as what they are: each identifier names its family.
 """
 
 from __future__ import annotations
@@ -39,22 +40,38 @@ BACKGROUND = 6000
 COPIES = 60  # disturbed copies per template
 CONFIRMED = 0.6
 RESOLUTION = 10_000_000
-WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
+WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
+#: An SPDX tag, and families by the identifiers that start so (the longest counts).
+_NAME = r"[( ]*[a-z0-9][a-z0-9.+-]*[) ]*"
+TAG = re.compile(rf"SPDX-License-Identifier:\s*({_NAME}(?:\b(?:and|or|with)\b{_NAME})*)", re.I)
+IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
+SPDX = {
+    "agpl": "AGPL", "apache-2.0": "Apache-2.0", "bsd": "BSD", "0bsd": "BSD", "cc-by-nc": "CC-BY-NC",
+    "cc-by-sa": "CC-BY-SA", "cc-by": "CC-BY", "cc0": "CC0", "epl": "EPL", "gpl": "GPL", "isc": "ISC",
+    "lgpl": "LGPL", "mit": "MIT", "mpl-2.0": "MPL-2.0", "bsl-1.0": "BSL-1.0",
+    "unlicense": "Unlicense", "zlib": "Zlib",
+}
 #: Notices by which licenses are named, and sentences from their texts.
 TEMPLATES = {
     "AGPL": [
         "This program is licensed under the GNU Affero General Public License, version 3.",
         "You should have received a copy of the GNU Affero General Public License along with this program.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ],
     "BSD": [
         "This code is released under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Licensed under the BSD 2-Clause License.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
     ],
     "CC-BY": [
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -76,20 +93,47 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "Licensed under the GNU General Public License, version 2.",
+        "Licensed under the GPL v3 or later.",
     ],
     "LGPL": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
     ],
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
     ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software.",
+    ],
+    "EPL": [
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ],
+    "ISC": [
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    ],
+    "Unlicense": [
+        "Released under the Unlicense.",
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "Zlib": [
+        "Licensed under the zlib License.",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ],
     "proprietary": [
         "All rights reserved. No part of this document may be reproduced without prior written permission.",
         "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited.",
@@ -201,8 +245,24 @@ def _softmax(margin: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def tagged(paragraph: str) -> list[str] | None:
+    """Families of the identifiers in SPDX tags, ``None`` without a tag."""
+    tags = TAG.findall(paragraph)
+    if not tags:
+        return None
+    found = []
+    for name in (n.lower().rstrip(".") for tag in tags for n in IDENTIFIER.findall(tag)):
+        starts = [k for k in SPDX if name == k or name.startswith((f"{k}-", f"{k}+"))]
+        if starts:
+            found.append(SPDX[max(starts, key=len)])
+    return list(dict.fromkeys(found))
+
+
 def classify(paragraph: str, model: Model) -> tuple[str, float, float, bool]:
     """Family, its probability, similarity to its nearest template, and whether that confirms."""
+    named = tagged(paragraph)
+    if named is not None:
+        return (named[0], 1.0, 1.0, True) if named else (UNKNOWN, 1.0, 0.0, False)
     words = words_in(paragraph)
     if model.words.isdisjoint(words):
         return UNKNOWN, 1.0, 0.0, False
@@ -250,7 +310,7 @@ ADDED = StructType([
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` but the text, with ``n_paragraphs`` (lines with a word),
     ``licenses`` (paragraph number from 0, family, probability, similarity, confirmed; all
-    paragraphs that are not unknown) and ``family``, that of the confirmed paragraph with the
+    paragraphs that are not unknown; an SPDX expression of several families has an item of each) and ``family``, that of the confirmed paragraph with the
     highest probability (ties: the first), null without one. Null and empty texts have no
     paragraphs. Columns of these names are replaced."""
     batch_rows(docs.sparkSession)
@@ -268,10 +328,11 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                         continue
                     family, chance, alike, sure = classify(line, model)
                     if family != UNKNOWN:
-                        rows.append({
-                            "paragraph": number, "family": family, "probability": chance,
-                            "similarity": alike, "confirmed": sure,
-                        })
+                        for each in tagged(line) or [family]:
+                            rows.append({
+                                "paragraph": number, "family": each, "probability": chance,
+                                "similarity": alike, "confirmed": sure,
+                            })
                     number += 1
                 sure = [r for r in rows if r["confirmed"]]
                 counts.append(number)

@@ -324,3 +324,25 @@ def test_licenses(spark):
     assert rows[9]["family"] == "MIT" and rows[9]["licenses"][0]["paragraph"] == 1
     assert rows[1]["n_paragraphs"] == 0 and rows[4]["family"] is None
     assert licenses.classify("a license for fishing in the lake", model)[3] is False
+
+
+def test_licenses_of_other_notices_and_tags():
+    model = licenses.fit([f"plain words about the river and the town number {i}" for i in range(200)])
+    for line, family in {
+        "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "// SPDX-License-Identifier: MIT": "MIT",
+        "# SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0": "GPL",
+        "/* SPDX-License-Identifier: LGPL-2.1+ */": "LGPL",
+        "SPDX-License-Identifier: CC-BY-SA-4.0": "CC-BY-SA",
+        "This file is distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+        "This module is licensed under the Eclipse Public License version 2.0": "EPL",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted": "ISC",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications": "Zlib",
+        "This is free and unencumbered software released into the public domain, says the file.": "Unlicense",
+        "Licensed under the Apache-2.0 license.": "Apache-2.0",
+    }.items():
+        found = licenses.classify(line, model)
+        assert (found[0], found[3]) == (family, True), (line, found)
+    for text in ("(MIT OR Apache-2.0)", "MIT AND (Apache-2.0 WITH LLVM-exception). Not ISC"):
+        assert licenses.tagged(f"SPDX-License-Identifier: {text}") == ["MIT", "Apache-2.0"]
+    assert licenses.classify("SPDX-License-Identifier: Python-2.0", model)[0] == licenses.UNKNOWN
