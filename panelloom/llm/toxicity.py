@@ -69,30 +69,33 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.slots = np.full(BUCKETS, -1)
-        self.slots[model.buckets] = np.arange(len(model.buckets))
+        # Weight, squared length and vector of every bucket.
+        self.table = np.zeros((BUCKETS, 2 + FACTORS))
+        self.table[model.buckets, 0] = model.weights
+        self.table[model.buckets, 1] = (model.vectors**2).sum(axis=1)
+        self.table[model.buckets, 2:] = model.vectors
         self.sums = np.zeros((1024, 2 + FACTORS))
         self.known: dict[str, int] = {}
 
-    def place(self, word: str) -> int:
-        """Where ``sums`` has weight, squared length and vector sum of the word's terms."""
-        number = self.known.get(word)
-        if number is None:
-            number = self.known[word] = len(self.known)
-            if number == len(self.sums):
-                self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-            at = self.slots[terms_of(word)]
-            at = at[at >= 0]
-            vectors = self.model.vectors[at]
-            self.sums[number, 0] = self.model.weights[at].sum()
-            self.sums[number, 1] = (vectors**2).sum()
-            self.sums[number, 2:] = vectors.sum(axis=0)
-        return number
+    def _meet(self, words: list[str]) -> None:
+        """Sums of words not met yet."""
+        terms = [terms_of(word) for word in words]
+        starts = np.cumsum([0, *map(len, terms)])[:-1]
+        first = len(self.known)
+        while first + len(words) > len(self.sums):
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+        flat = [t for own in terms for t in own]
+        self.sums[first : first + len(words)] = np.add.reduceat(self.table[flat], starts, axis=0)
+        self.known.update(zip(words, range(first, first + len(words))))
 
     def score(self, text: str) -> float:
         if len(self.known) >= CACHE:
             self.known.clear()
-        at = [self.place(word) for word in sorted(words_in(text))]
+        words = sorted(words_in(text))
+        new = [word for word in words if word not in self.known]
+        if new:
+            self._meet(new)
+        at = [self.known[word] for word in words]
         total = self.sums[at].sum(axis=0) if at else np.zeros(2 + FACTORS)
         margin = self.model.bias + total[0] + 0.5 * ((total[2:] ** 2).sum() - total[1])
         return float(1 / (1 + np.exp(-np.clip(margin, -50, 50))))
