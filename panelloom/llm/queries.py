@@ -10,6 +10,7 @@ from panelloom.llm import (
     jaccard,
     language,
     licenses,
+    middle,
     nearest,
     pages,
     pieces,
@@ -150,3 +151,38 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select(
         "doc_id", "domain", "lang", "source", "tokens", "epoch"
     )
+
+
+MIDDLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
+    regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units FROM documents),
+h AS (SELECT *, CAST(len(units) AS BIGINT) AS n, ('0x' || substr(digest, 1, 8))::BIGINT AS h1,
+    ('0x' || substr(digest, 9, 8))::BIGINT AS h2, ('0x' || substr(digest, 17, 8))::BIGINT AS h3,
+    ('0x' || substr(digest, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+      OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(units[1:lo], '') AS prefix,
+    array_to_string(units[lo + 1:hi], '') AS middle, array_to_string(units[hi + 1:n], '') AS suffix
+  FROM c)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text
+    WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query("op13_middle", MIDDLE_SQL)
+def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every text dealt to prefix, middle and suffix, and the text rebuilt from that."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = middle.restore(middle.fill_in_middle(docs))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
