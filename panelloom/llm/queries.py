@@ -14,6 +14,7 @@ from panelloom.llm import (
     nearest,
     pages,
     pieces,
+    ranked,
     suffixes,
     toxicity,
 )
@@ -186,3 +187,32 @@ def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n", "form", "prefix_chars", "middle_chars",
         F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
     )
+
+
+RANKED_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+i AS (SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+n AS (SELECT row, CAST(count(*) AS BIGINT) AS n FROM d GROUP BY row),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+p AS (SELECT row, doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM d
+  WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM p, s GROUP BY term, docs),
+g AS (SELECT item_id, text, row, doc_id, CAST(sum(w * ((1000000000 * tf) //
+    (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM i JOIN p USING (term) JOIN w USING (term) JOIN n USING (row), s GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text
+    ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM g WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query("op12_ranked", RANKED_SQL)
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for every benchmark item."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return ranked.rank_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
