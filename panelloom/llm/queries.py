@@ -13,6 +13,7 @@ from panelloom.llm import (
     middle,
     nearest,
     pages,
+    paths,
     pieces,
     ranked,
     suffixes,
@@ -216,3 +217,9 @@ def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents that score highest for every benchmark item."""
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
     return ranked.rank_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
+
+
+@query("op11_paths")
+def op11_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and class of near copies of every text, by chosen paths."""
+    return paths.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
