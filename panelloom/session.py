@@ -68,11 +68,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, label: str, rows: int = 100_000) -> DataFrame:
-    """A stored table, sent to every task if it has at most ``rows`` rows; a larger one is left
-    to Spark's own choice of join."""
+def small_side(df: DataFrame, label: str, rows: int = 100_000, size: int = 8 << 20) -> DataFrame:
+    """A stored table, sent to every task if it has at most ``rows`` rows and its files at most
+    ``size`` bytes; a larger one is left to Spark's own choice of join."""
     stored = materialize(df, label)
-    return F.broadcast(stored) if stored.count() <= rows else stored
+    held = int(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(stored) if held <= size and stored.count() <= rows else stored
 
 
 def small_table(spark: SparkSession, rows: Sequence[tuple], names: Sequence[str]) -> DataFrame:
