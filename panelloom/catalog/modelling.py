@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from panelloom import schemas
@@ -9,7 +10,7 @@ from panelloom.catalog.aggregates import r6
 from panelloom.catalog.base import query
 from panelloom.catalog.scans import _BIN
 from panelloom.functions import expr
-from panelloom.operators import clusters, features, neighbours
+from panelloom.operators import clusters, features, mixture, neighbours
 from panelloom.plans import jobs
 from panelloom.sources import panel
 
@@ -183,6 +184,21 @@ def _(t):
     return assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "m10_gmm_moments",
+    # After every round the components' moments add up to those of the data, whatever the fit.
+    """SELECT CAST(pos AS INTEGER) AS pos, round(avg(x), 6) AS mean, round(avg(x * x), 6) AS square
+    FROM (SELECT unnest(range(len(embedding))) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x
+    FROM embeddings) GROUP BY pos""",
+)
+def _(t):
+    fitted = mixture.fit_mixture(t.embeddings, clusters.CLUSTERS)
+    mean = fitted.weights @ fitted.means
+    spread = np.diagonal(fitted.covariances, axis1=1, axis2=2) - mixture.RIDGE + fitted.means**2
+    rows = zip(range(len(mean)), mean.tolist(), (fitted.weights @ spread).tolist())
+    return r6(t.spark.createDataFrame(list(rows), "pos int, mean double, square double"), "mean", "square")
+
+
 @query("m11_dbscan")
 def _(t):
     return clusters.cluster_dbscan(t.embeddings, 0.5, 5)
