@@ -27,14 +27,17 @@ def running_totals(
     sums: Mapping[str, Column],
     keys: Sequence[str] = (),
     label: str = "running",
+    totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums of ``sums`` in ``order`` within ``keys``.
+    """Add inclusive running sums of ``sums`` in ``order`` within ``keys``; ``totals`` names those
+    of them whose whole sum per key is added too, and how that is called.
 
     ``order`` must end in a tie-break that makes rows distinct. The slice number
     is stored with the rows, so later stages agree on it even after a retry. At
-    most one group crosses each slice boundary, hence the carry table has fewer
-    rows than slices and may be broadcast.
+    most one group crosses each slice boundary, hence the carry table has at most two rows
+    per slice and may be broadcast.
     """
+    totals = totals or {}
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordering = [_column(o) for o in order]
     inputs = {name: f"__in_{name}" for name in sums}
@@ -46,6 +49,7 @@ def running_totals(
     stored = materialize(ranged, label)
 
     earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*keys)
     carry = (
         stored.groupBy(*keys, _SLICE)
         .agg(*[F.sum(inputs[name]).alias(f"__part_{name}") for name in sums])
@@ -53,11 +57,17 @@ def running_totals(
             *keys,
             _SLICE,
             *[F.sum(f"__part_{name}").over(earlier).alias(f"__carry_{name}") for name in sums],
+            *[
+                (F.sum(f"__part_{name}").over(every) - F.col(f"__part_{name}")).alias(f"__other_{name}")
+                for name in totals
+            ],
             F.count(F.lit(1)).over(earlier).alias("__before"),
+            F.count(F.lit(1)).over(every).alias("__slices"),
         )
-        .filter("__before > 0")
-        .drop("__before")
+        .filter("__slices > 1" if totals else "__before > 0")
+        .drop("__before", "__slices")
     )
+    whole = Window.partitionBy(*keys, _SLICE)
     inside = (
         Window.partitionBy(*keys, _SLICE)
         .orderBy(*ordering)
@@ -69,7 +79,9 @@ def running_totals(
         + [F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys],
         "left",
     )
-    flat = matched.select("s.*", *[f"c.__carry_{name}" for name in sums])
+    flat = matched.select(
+        "s.*", *[f"c.__carry_{name}" for name in sums], *[f"c.__other_{name}" for name in totals]
+    )
     return flat.select(
         *df.columns,
         *[
@@ -78,6 +90,10 @@ def running_totals(
             )
             for name in sums
         ],
+        *[
+            (F.sum(inputs[name]).over(whole) + F.coalesce(F.col(f"__other_{name}"), F.lit(0))).alias(out)
+            for name, out in totals.items()
+        ],
     )
 
 

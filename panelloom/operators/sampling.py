@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.functions.ranking import positions
+from panelloom.functions.ranking import running_totals
 from panelloom.operators import distributions as dist
-from panelloom.session import n_rows, one, small_side
+from panelloom.operators.selection import first_per_group
+from panelloom.session import materialize, n_rows, one, small_side
 
 
 
@@ -18,11 +20,13 @@ def hash_order(key: str, seed: int) -> Column:
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42, order: Column | None = None) -> DataFrame:
-    """``n`` rows in hash order. Positions come from slice-wise ranks, so a large sample is as
-    spread out as the table."""
+    """``n`` rows in hash order (all of a smaller table). ``key`` must tell rows apart; the rows
+    stay where they are, see ``selection``."""
     rank = order if order is not None else hash_order(key, seed)
-    placed = positions(df.withColumn("__r", rank), ["__r", key], name="__pos", label="sample")
-    return placed.filter(F.col("__pos") <= n).select(*df.columns)
+    want = df.agg(n_rows().alias("__size")).select(
+        F.lit(0).alias("__g"), F.lit(n).cast("bigint").alias("__want"), "__size"
+    )
+    return first_per_group(df, want, F.lit(0), rank, key, "sample")
 
 
 def stratified_sample(
@@ -31,26 +35,36 @@ def stratified_sample(
     """Exactly ``n`` rows (or all of a smaller pool), proportional by stratum.
 
     Each stratum gives ``max(1, floor(n * share))``; a surplus is trimmed and a
-    shortfall topped up, both in hash order. Position within the stratum comes
-    from slice-wise ranks, so a dominant stratum does not gather in one task, and nor does
-    the sample.
+    shortfall topped up, both in hash order. ``key`` must tell rows apart. The rows stay where
+    they are, see ``selection``, so a dominant stratum does not gather in one task.
     """
     rank = order if order is not None else hash_order(key, seed)
-    ranked = df.withColumn("__r", rank).withColumn("__s", F.coalesce(F.col(stratum).cast("string"), F.lit("0")))
-    placed = positions(ranked, ["__r", key], ["__s"], "__pos", "strata")
-    total = one(df, n_rows())
-    quotas = placed.groupBy("__s").agg(n_rows().alias("size")).select(
-        "__s",
+    name = F.coalesce(F.col(stratum).cast("string"), F.lit("0"))
+    sizes = materialize(df.groupBy(name.alias("__g")).agg(n_rows().alias("__size")), "strata")
+    total = one(sizes, F.sum("__size"))
+    want = sizes.select(
+        "__g",
         F.least(
-            F.col("size"), F.greatest(F.lit(1), F.floor(n * (F.col("size") / total)))
-        ).alias("quota"),
+            F.col("__size"), F.greatest(F.lit(1), F.floor(n * (F.col("__size") / total)))
+        ).cast("bigint").alias("__want"),
+        "__size",
     )
-    chosen = F.when(F.col("__pos") <= F.col("quota"), 0).otherwise(1)
-    # Chosen rows come first; the cut at n trims a surplus or tops up a shortfall.
-    quota = small_side(quotas, "quotas")
-    marked = placed.join(quota, "__s").withColumn("__late", chosen).drop("__pos")
-    drawn = positions(marked, ["__late", "__r", key], name="__pos", label="drawn")
-    return drawn.filter(F.col("__pos") <= n).select(*df.columns)
+    chosen = first_per_group(df, want, name, rank, key, "strata")
+    counts = want.agg(F.sum("__want").alias("chosen"), F.sum("__size").alias("size")).first()
+    drawn, size = counts["chosen"] or 0, counts["size"] or 0
+
+    def first(rows: DataFrame, least: int, pool: int) -> DataFrame:
+        whole = sizes.limit(1).select(
+            F.lit(0).alias("__g"), F.lit(least).cast("bigint").alias("__want"), F.lit(pool).cast("bigint").alias("__size")
+        )
+        return first_per_group(rows, whole, F.lit(0), rank, key, "drawn")
+
+    if drawn > n:
+        return first(chosen, n, drawn)
+    if drawn == min(n, size):
+        return chosen
+    rest = df.join(chosen.select(F.col(key).alias("__k")), F.col(key).eqNullSafe(F.col("__k")), "left_anti")
+    return chosen.unionByName(first(rest, n - drawn, size - drawn))
 
 
 def unit_hash(key: Column, modulus: int = 2_147_483_647, factor: int = 48_271) -> Column:
@@ -58,17 +72,21 @@ def unit_hash(key: Column, modulus: int = 2_147_483_647, factor: int = 48_271) -
     return F.pmod(F.pmod(key, F.lit(modulus)) * F.lit(factor), F.lit(modulus)) / F.lit(float(modulus))
 
 
-def cross_frame(panelists: DataFrame, catalog: DataFrame, max_questions: int = 20) -> DataFrame:
+def cross_frame(panelists: DataFrame, catalog: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:
     """One row per panelist and question.
 
-    The catalog (size checked) becomes one array that each row explodes, so
-    panel rows never move.
+    A catalog of at most ``most_bytes`` of names becomes one array that each row explodes; a larger
+    one comes in parts of that size, one pass over the panel each. Panel rows never move.
     """
-    n = catalog.count()
-    if n > max_questions:
-        raise ValueError(f"{n} questions exceed {max_questions}")
-    questions = one(catalog, F.array_sort(F.collect_list("question_id")))
-    return panelists.withColumn("question_id", F.explode(questions))
+    names = materialize(catalog.select("question_id").distinct(), "questions")
+    size = names.agg(F.sum(F.octet_length("question_id") + 16)).first()[0] or 0
+    parts = max(1, -(-size // most_bytes))
+    part = F.pmod(F.xxhash64("question_id"), F.lit(parts))
+    frames = []
+    for i in range(parts):
+        questions = one(names.filter(part == i), F.array_sort(F.collect_list("question_id")))
+        frames.append(panelists.withColumn("question_id", F.explode(questions)))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def _draw(frame: DataFrame, intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -121,16 +139,10 @@ def quantile_map(frame: DataFrame, distribution: DataFrame, u: str = "u") -> Dat
 def midpoint_views(events: DataFrame, key: str, order: Sequence[str], least: int = 4) -> DataFrame:
     """First half against second half of each key's events, keys with ``least`` events.
 
-    ``order`` must make the rows of a key distinct. The number of a key's events is its position
-    from the front plus that from the back, so no table of keys is joined.
+    ``order`` must make the rows of a key distinct. Positions and the number of a key's events
+    come from one pass.
     """
-    placed = positions(events, list(order), [key], "position", "views")
-    backwards = [F.col(o).desc() for o in order]
-    both = positions(placed, backwards, [key], "__back", "views-back")
+    one_each = {"position": F.lit(1).cast("bigint")}
+    placed = running_totals(events, list(order), one_each, [key], "views", {"position": "events"})
     half = F.when(F.col("position") <= F.floor(F.col("events") / 2), 1).otherwise(2)
-    return (
-        both.withColumn("events", F.col("position") + F.col("__back") - 1)
-        .filter(F.col("events") >= least).drop("__back").withColumn("view", half)
-    )
-
-
+    return placed.filter(F.col("events") >= least).withColumn("view", half)
