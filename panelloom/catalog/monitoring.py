@@ -130,19 +130,52 @@ def _observations(t):
     )
 
 
-@query("k06_alert_batch")
+_RULE_ROWS = ", ".join(
+    f"({i}, '{n}', '{s}', CAST({x} AS DOUBLE), {r})" for i, (n, s, x, r) in enumerate(state.RULES)
+)
+#: The state machine, one observation of every rule per step.
+_ALERTS = f"""WITH RECURSIVE r(place, rule, severity, threshold, required) AS (VALUES {_RULE_ROWS}),
+  o AS (SELECT rule, CAST(ts AS TIMESTAMP) AS seen, value / 50.0 AS observed, value / 50.0 > threshold AS met,
+    required, row_number() OVER (PARTITION BY rule ORDER BY ts, value) AS i
+    FROM events JOIN r ON event_id % {len(state.RULES)} = place),
+  n AS (SELECT r.rule, CAST(0 AS BIGINT) AS i, false AS firing, CAST(NULL AS TIMESTAMP) AS last,
+    CAST(0 AS BIGINT) AS streak, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS TIMESTAMP) AS seen,
+    CAST(NULL AS DOUBLE) AS observed FROM r
+    UNION ALL SELECT rule, i, met AND (firing OR fires), CASE WHEN fires THEN seen ELSE last END,
+    CASE WHEN met THEN streak + 1 ELSE 0 END,
+    CASE WHEN fires THEN 'fired' WHEN firing AND NOT met THEN 'resolved' END, seen, observed
+    FROM (SELECT o.*, n.firing, n.last, n.streak, o.met AND NOT n.firing AND n.streak + 1 >= o.required
+      AND (n.last IS NULL OR o.seen - n.last >= INTERVAL {state.COOLDOWN_MINUTES} MINUTE) AS fires
+      FROM n JOIN o ON o.rule = n.rule AND o.i = n.i + 1)),
+  alerts AS (SELECT rule, seen, kind, observed FROM n WHERE kind IS NOT NULL)
+"""
+#: Observations within the lateness of the newest one are not final when a stream stops.
+_FINAL = "(SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 10 MINUTE FROM events)"
+
+
+_TRANSITIONS = _ALERTS + 'SELECT rule, seen AS "at", kind, observed FROM alerts'
+
+
+@query("k06_alert_batch", _TRANSITIONS)
 def _(t):
     return state.alert_batch(_observations(t), state.alert_rules(t.spark))
 
 
-@query("k06_alert_stream")
-def _(t):
-    stream = live.read_stream(t.spark, f"{t.sf_dir}/events.parquet").select(
-        "event_id", F.col("ts").cast("timestamp").alias("event_time"), "value"
+def _in_turn(t, name: str):
+    """The events as four files that overlap by a few minutes, read one per trigger."""
+    events = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").select(
+        "event_id", F.col("ts").cast("timestamp").alias("event_time"), "value", "user_id"
     )
+    jitter = F.unix_micros("event_time") + F.pmod(F.xxhash64("event_id"), F.lit(300_000_000))
+    path = live.write_in_turn(events, folder(t, name), 4, jitter)
+    return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("k06_alert_stream", f"{_TRANSITIONS} WHERE seen <= {_FINAL}")
+def _(t):
     names = [r[0] for r in state.RULES]
     place = F.pmod(F.col("event_id"), F.lit(len(names))) + 1
-    observed = stream.select(
+    observed = _in_turn(t, "alerts-in").select(
         F.element_at(F.array(*[F.lit(n) for n in names]), place.cast("int")).alias("rule"),
         "event_time", (F.col("value") / 50.0).alias("observed"),
     )
@@ -150,7 +183,14 @@ def _(t):
     return live.run_available(out, folder(t, "alerts")).drop("batch")
 
 
-@query("k07_alert_summary")
+@query(
+    "k07_alert_summary",
+    _ALERTS + """SELECT severity, CAST(coalesce(sum(active), 0) AS BIGINT) AS active,
+    CAST(coalesce(sum(fired), 0) AS BIGINT) AS fired FROM r LEFT JOIN (SELECT rule,
+    CAST(count(*) FILTER (WHERE kind = 'fired' AND seen >= TIMESTAMP '2024-01-15') AS BIGINT) AS fired,
+    CAST(max_by(kind, {'seen': seen, 'last': kind <> 'fired'}) = 'fired' AS BIGINT) AS active
+    FROM alerts GROUP BY rule) USING (rule) GROUP BY severity""",
+)
 def _(t):
     rules = state.alert_rules(t.spark)
     return state.alert_summary(state.alert_batch(_observations(t), rules), rules, "2024-01-15")
@@ -172,7 +212,18 @@ def _(t):
     )
 
 
-@query("k08_admit_batch")
+#: The limiter, one event of every key per step.
+_ADMITTED = """WITH RECURSIVE o AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id,
+    CAST(ts AS TIMESTAMP) AS seen, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  n AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id,
+    CAST(NULL AS TIMESTAMP) AS seen, CAST([] AS TIMESTAMP[]) AS times, false AS admitted FROM o
+    UNION ALL SELECT key, i, event_id, seen, CASE WHEN len(held) < 2 THEN list_append(held, seen) ELSE held END,
+    len(held) < 2 FROM (SELECT o.*, list_filter(n.times, lambda x: x > o.seen - INTERVAL 1 DAY) AS held
+      FROM n JOIN o ON o.key = n.key AND o.i = n.i + 1))
+SELECT key, event_id, epoch_us(seen) AS at_us, admitted FROM n WHERE i > 0"""
+
+
+@query("k08_admit_batch", _ADMITTED)
 def _(t):
     return state.admit_batch(t.calls, "key", "event_time", "event_id", 2, 86_400)
 
@@ -187,11 +238,10 @@ def _(t):
     return state.admit_batch(t.calls, "key", "event_time", "event_id", 1_000_000, 60)
 
 
-@query("k08_admit_stream")
+@query("k08_admit_stream", f"{_ADMITTED} AND seen <= {_FINAL}")
 def _(t):
-    stream = live.read_stream(t.spark, f"{t.sf_dir}/events.parquet").select(
-        "event_id", F.col("ts").cast("timestamp").alias("event_time"),
-        F.col("user_id").cast("string").alias("key"),
+    stream = _in_turn(t, "admit-in").select(
+        "event_id", "event_time", F.col("user_id").cast("string").alias("key")
     )
     out = state.admit_stream(stream, "key", "event_time", "event_id", 2, 86_400)
     return live.run_available(out, folder(t, "admit")).drop("batch")

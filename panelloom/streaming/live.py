@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from panelloom.operators import distributions as dist
 from panelloom.operators import stats, text
-from panelloom.session import n_rows
+from panelloom.session import materialize, n_rows
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -24,13 +24,25 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def write_in_turn(df: DataFrame, path: str, parts: int, order: Column) -> str:
+    """``df`` as ``parts`` files, written one after the other in ranges of ``order``: what a stream
+    that takes one file per trigger reads as so many micro-batches."""
+    dealt = materialize(
+        df.repartitionByRange(parts, order).withColumn("__turn", F.spark_partition_id()), "turns"
+    )
+    for turn in range(parts):
+        dealt.filter(F.col("__turn") == turn).drop("__turn").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def run_available(
-    frame: DataFrame, path: str, mode: str = "append"
+    frame: DataFrame, path: str, mode: str = "append", counts: dict[str, int] | None = None
 ) -> DataFrame:
     """Process what is there and return the written rows.
 
     Each micro-batch goes to a folder of its own, replaced on a retry, so a
-    restart neither loses nor doubles rows.
+    restart neither loses nor doubles rows. ``counts`` gets the micro-batches with rows and the
+    rows that came behind the watermark (``late``).
     """
     schema = T.StructType([*frame.schema.fields, T.StructField("batch", T.IntegerType())])
 
@@ -42,6 +54,10 @@ def run_available(
         .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    if counts is not None:
+        progress = query.recentProgress
+        counts["batches"] = sum(p.numInputRows > 0 for p in progress)
+        counts["late"] = sum(s.numRowsDroppedByWatermark for p in progress for s in p.stateOperators)
     return frame.sparkSession.read.schema(schema).parquet(f"{path}/rows")
 
 

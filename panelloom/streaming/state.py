@@ -179,23 +179,55 @@ def alert_batch(observations: DataFrame, rules: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, ALERT_SCHEMA)
 
 
+def _in_order(held: list[tuple], frames: Iterable[pd.DataFrame], columns: list[str], upto_us: int):
+    """Rows that are final at this watermark, in order, and the rows that still wait.
+
+    A row waits until the watermark has passed its time: nothing older can follow then, so
+    the rows of several micro-batches are stepped in event time, as in the batch form.
+    """
+    for part in frames:
+        held += [
+            tuple(None if pd.isna(v) else v for v in row)
+            for row in part[columns].itertuples(index=False, name=None)
+        ]
+    held.sort()
+    ready = [row for row in held if row[0] <= upto_us]
+    return ready, held[len(ready) :]
+
+
+_WAITING = "wait_at ARRAY<BIGINT>, wait_observed ARRAY<DOUBLE>, wait_met ARRAY<BOOLEAN>"
+
+
 def alert_stream(observations: DataFrame, rules: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """The same over a stream: one small state per rule."""
+    """The same over a stream: a rule's state and its observations that are not final yet.
+
+    Observations behind the watermark are dropped by Spark, which counts them in the progress
+    of the query (see ``live.run_available``).
+    """
     prepared = _prepared(observations.withWatermark("event_time", lateness), rules)
+    prepared = prepared.withColumn("met", F.coalesce("flag", F.col("observed") > F.col("threshold")))
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else (False, None, 0)
-        rows = pd.concat(list(frames)).sort_values(["at_us", "observed"])
-        values = [
-            tuple(None if pd.isna(v) else v for v in row)
-            for row in rows[_ALERT_COLUMNS].itertuples(index=False, name=None)
-        ]
-        out, held = _observe(values, tuple(held))
-        state.update(held)
+        firing, last, streak, required, cooldown, *waiting = (
+            state.get if state.exists else (False, None, 0, 1, 0, [], [], [])
+        )
+        frames = [] if state.hasTimedOut else list(frames)
+        for part in frames:
+            required, cooldown = int(part["required"].iloc[0]), int(part["cooldown_minutes"].iloc[0])
+        mark = state.getCurrentWatermarkMs()
+        ready, left = _in_order(
+            list(zip(*waiting)), frames, ["at_us", "observed", "met"], mark * 1000
+        )
+        values = [(key[0], at, observed, met, None, required, cooldown) for at, observed, met in ready]
+        out, (firing, last, streak) = _observe(values, (firing, last, streak))
+        state.update((firing, last, streak, required, cooldown, *([r[i] for r in left] for i in range(3))))
+        if left:
+            state.setTimeoutTimestamp(max(left[0][0] // 1000, mark + 1))
         yield _frame(out)
 
     return prepared.groupBy("rule").applyInPandasWithState(
-        update, ALERT_SCHEMA, ALERT_STATE, "append", GroupStateTimeout.NoTimeout
+        update, ALERT_SCHEMA, f"{ALERT_STATE}, required INT, cooldown INT, {_WAITING}", "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -271,8 +303,9 @@ def admit_stream(
     events: DataFrame, key: str, time: str, event: str, limit: int, seconds: int,
     lateness: str = LATENESS,
 ) -> DataFrame:
-    """The same over a stream. State holds at most ``limit`` times per key and is
-    dropped once the watermark passes the window."""
+    """The same over a stream, in event time: events wait until the watermark has passed them.
+    Besides them, state holds at most ``limit`` times per key, and goes once the watermark
+    passes the window. Events behind the watermark are dropped and counted by Spark."""
     window_us = seconds * 1_000_000
     rows = events.withWatermark(time, lateness).select(
         F.col(key).cast("string").alias("key"), F.col(event).cast("bigint").alias("event_id"),
@@ -280,18 +313,24 @@ def admit_stream(
     )
 
     def update(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        held, *waiting = state.get if state.exists else ([], [], [])
+        times = deque(held)
+        mark = state.getCurrentWatermarkMs()
+        ready, left = _in_order(
+            list(zip(*waiting)), [] if state.hasTimedOut else frames, ["at_us", "event_id"], mark * 1000
+        )
+        out = [(name[0], event, at, step_admit(times, at, limit, window_us)) for at, event in ready]
+        while times and times[0] <= mark * 1000 - window_us:
+            times.popleft()
+        if left or times:
+            state.update((list(times), [r[0] for r in left], [r[1] for r in left]))
+            until = left[0][0] if left else times[-1] + window_us
+            state.setTimeoutTimestamp(max(until // 1000, mark) + 1)
+        else:
             state.remove()
-            return
-        times = deque(state.get[0]) if state.exists else deque()
-        batch = pd.concat(list(frames)).sort_values(["at_us", "event_id"])
-        admitted = [step_admit(times, int(at), limit, window_us) for at in batch["at_us"]]
-        state.update((list(times),))
-        last = int(batch["at_us"].max()) + window_us
-        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield batch.assign(admitted=admitted)[["key", "event_id", "at_us", "admitted"]]
+        yield pd.DataFrame(out, columns=["key", "event_id", "at_us", "admitted"])
 
     return rows.groupBy("key").applyInPandasWithState(
-        update, ADMIT_SCHEMA, "times ARRAY<BIGINT>", "append", GroupStateTimeout.EventTimeTimeout
+        update, ADMIT_SCHEMA, "times ARRAY<BIGINT>, wait_at ARRAY<BIGINT>, wait_id ARRAY<BIGINT>",
+        "append", GroupStateTimeout.EventTimeTimeout,
     )
-
