@@ -10,7 +10,7 @@ from panelloom.catalog.aggregates import r6
 from panelloom.catalog.base import query
 from panelloom.catalog.scans import _BIN
 from panelloom.functions import expr
-from panelloom.operators import clusters, features, mixture, neighbours
+from panelloom.operators import clusters, density, features, mixture, neighbours
 from panelloom.plans import jobs
 from panelloom.sources import panel
 
@@ -199,9 +199,26 @@ def _(t):
     return r6(t.spark.createDataFrame(list(rows), "pos int, mean double, square double"), "mean", "square")
 
 
-@query("m11_dbscan")
+@query(
+    "m11_dbscan",
+    """WITH RECURSIVE e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    d AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS gap FROM e a JOIN e b ON true),
+    k AS (SELECT a, gap FROM d WHERE a <> b QUALIFY row_number() OVER (PARTITION BY a ORDER BY gap, b) = 4),
+    p AS (SELECT quantile_disc(gap, 0.1) * CAST(1.000000001 AS DOUBLE) AS eps FROM k),
+    n AS MATERIALIZED (SELECT a, b FROM d, p WHERE gap <= eps OR a = b),
+    core AS (SELECT a AS id FROM n GROUP BY a HAVING count(*) >= 5),
+    l AS MATERIALIZED (SELECT a, b FROM n WHERE a IN (FROM core) AND b IN (FROM core)),
+    r AS (SELECT id AS a, id AS b FROM core UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+    c AS (SELECT a AS id, min(b) AS label FROM r GROUP BY a),
+    t AS (SELECT n.a AS id, min(label) AS label FROM n JOIN c ON n.b = c.id WHERE n.a NOT IN (FROM core)
+      GROUP BY n.a UNION ALL FROM c),
+    m AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS number FROM t GROUP BY label)
+    SELECT e.id, coalesce(number, -1) AS cluster_id FROM e LEFT JOIN t ON t.id = e.id
+    LEFT JOIN m ON m.label = t.label""",
+)
 def _(t):
-    return clusters.cluster_dbscan(t.embeddings, 0.5, 5)
+    eps = density.density_eps(t.embeddings)
+    return clusters.cluster_dbscan(t.embeddings, eps, 5)
 
 
 @query("m12_embedding_sweep")
