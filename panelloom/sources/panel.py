@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom import schemas
 from panelloom.functions import expr
-from panelloom.session import one
+from panelloom.session import n_rows, one
 
 
 def read_panel(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -119,10 +119,18 @@ def data_version(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def content_version(df: DataFrame) -> DataFrame:
-    """Order-free fingerprint of the rows themselves."""
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.bit_xor(F.xxhash64(*[F.col(c) for c in sorted(df.columns)])).alias("content"),
+    """Order-free fingerprint of the rows themselves, repeated rows included.
+
+    A row is the text of its columns in the order of their names, nulls marked. Two halves of its
+    digest are summed, so equal rows add up where an exclusive or would cancel them.
+    """
+    cells = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in sorted(df.columns)]
+    digest = F.md5(F.concat_ws("\x1f", *cells))
+    halves = [
+        F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")).cast("string") for at in (1, 16)
+    ]
+    return df.agg(n_rows().alias("rows"), *[h.alias(f"h{i}") for i, h in enumerate(halves)]).select(
+        "rows", F.left(F.sha2(F.concat_ws(":", F.col("rows").cast("string"), "h0", "h1"), 256), F.lit(16)).alias("content")
     )
 
 

@@ -360,3 +360,14 @@ def test_cluster_queries_run_the_whole_job(spark, monkeypatch):
         registry.queries()[name](spark, "/root/testdata/sf0.001")
     assert scans == [(list(range(2, 9)), 10), *[([5], 10)] * 6]
     assert widths == [64, 64]
+
+
+def test_content_version_counts_repeated_rows(spark):
+    def version(rows):
+        df = spark.createDataFrame(rows, "a string, b int")
+        return tuple(panel.content_version(df.repartition(3)).first())
+
+    a, b = ("x", 1), ("y", None)
+    assert version([a, a]) != version([b, b]) and version([a, b]) == version([b, a])
+    assert version([a]) != version([a, a, a]) and version([("x", None)]) != version([("x-", None)])
+    assert version([])[0] == 0
