@@ -114,7 +114,28 @@ _LEN = [
 ]
 
 
-@query("o06_encoding_flags")
+# A run counts if its whole quads decode to enough bytes of plain text (pairs of hex digits here).
+_BASE64 = f"""(len(list_filter(regexp_extract_all(text, {_lit(P.BASE64_RUN)}), lambda r: coalesce(
+  regexp_full_match(hex(try(from_base64(substr(r, 1, CAST(length(r) - length(r) % 4 AS INTEGER))))),
+  '(?:[2-6][0-9A-F]|7[0-9A-E]|09|0A|0D){{{P.BASE64_MIN_BYTES},}}'), false))) > 0)"""
+_OBFUSCATED = f"""({_re('text', P.INVISIBLE)} OR (length(text) >= 10
+    AND length(regexp_replace(text, '[\\x00-\\xff]', '', 'g')) / CAST(length(text) AS DOUBLE) > 0.2))"""
+_ENC = [(_BASE64, "encoding:base64"), (_HEX_RUN, "encoding:hex"), (_OBFUSCATED, "encoding:unicode")]
+_SCREEN = [*_INJ, *_ENC, *_LEN]
+
+
+def _level_sql() -> str:
+    """Place of the highest risk among the flags of a text."""
+    known = {f"injection_pattern:{r.name}": r.risk for r in P.INJECTION} | P.FLAG_RISK
+    cells = ", ".join(f"CASE WHEN {c} THEN {P.LEVELS.index(known.get(n, 'medium'))} ELSE 0 END" for c, n in _SCREEN)
+    return f"greatest({cells})"
+
+
+_LEVELS_SQL = "[" + ", ".join(_lit(level) for level in P.LEVELS) + "]"
+_COUNT_SQL = " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c, _ in _SCREEN)
+
+
+@query("o06_encoding_flags", f"SELECT doc_id AS id, {_flags(_ENC)} AS flags FROM documents")
 def _(t):
     return t.texts.select("id", F.array_join(screens.encoding_flags("text"), ",").alias("flags"))
 
@@ -161,13 +182,23 @@ def _(t):
     )
 
 
-@query("o09_risk")
+@query(
+    "o09_risk",
+    f"""SELECT doc_id AS id, {_LEVELS_SQL}[{_level_sql()} + 1] AS risk, CAST({_COUNT_SQL} AS INTEGER) AS flags
+    FROM documents""",
+)
 def _(t):
     judged = t.texts.select("id", screens.question_flags("text").alias("found"))
     return judged.select("id", screens.risk("found").alias("risk"), F.size("found").alias("flags"))
 
 
-@query("o09_sanitize")
+@query(
+    "o09_sanitize",
+    # DuckDB has NFC alone; the documents have no compatibility forms, for which NFKC differs.
+    rf"""SELECT doc_id AS id, translate(replace(replace(regexp_replace(regexp_replace(nfc_normalize(text),
+    {_lit(P.INVISIBLE)}, '', 'g'), '[\x00-\x08\x0B-\x1F\x7F-\x{{9F}}]|\p{{Cf}}', '', 'g'),
+    '{{', '{{{{'), '}}', '}}}}'), '`', chr(39)) AS text FROM documents""",
+)
 def _(t):
     return t.texts.select("id", screens.sanitize("text").alias("text"))
 
@@ -313,7 +344,11 @@ def _(t):
     )
 
 
-@query("o13_screen_questions")
+@query(
+    "o13_screen_questions",
+    f"""SELECT id AS question_id, CASE WHEN level < 2 THEN 'safe' ELSE {_LEVELS_SQL}[level + 1] END AS outcome
+    FROM (SELECT id, {_level_sql()} AS level FROM {_TURNS})""",
+)
 def _(t):
     rows = t.turns.select(F.col("id").alias("question_id"), "text")
     safe, blocked = text.screen_questions(rows)
