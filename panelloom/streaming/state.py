@@ -1,22 +1,24 @@
 """Stateful jobs: the alert state machine and sliding-window admission.
 
-Both have a streaming form on Spark's keyed state and a batch form over sorted
-partitions that carries the same small state from batch to batch, so a key's
+Both have a streaming form on Spark's keyed state and a batch form. Alerts of a finished log are
+composed from slices of it; admission carries its small state over sorted batches, so a key's
 events are never held together in memory.
 """
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from panelloom.functions.ranking import running_totals
-from panelloom.session import small_table
+from panelloom.session import materialize, small_side, small_table
 from panelloom.streaming.windows import LATENESS
 
 # The alert rules, with thresholds of the default configuration.
@@ -91,8 +93,6 @@ def _observe(
     return out, state
 
 
-_ALERT_COLUMNS = ["rule", "at_us", "observed", "flag", "threshold", "required", "cooldown_minutes"]
-
 
 def _prepared(observations: DataFrame, rules: DataFrame) -> DataFrame:
     """``(rule, event_time, observed [, flag])`` joined with its rule; a boolean
@@ -130,53 +130,174 @@ def _carry(
         yield to_frame(rows)
 
 
-def _decisive(prepared: DataFrame) -> DataFrame:
-    """Only observations that can change a rule's state.
+# A finished log is cut into slices of (rule, time). What a slice does to the state depends on the
+# time of the last firing only as far as its first breaches lie within the cooldown of it, so a
+# slice boils down to a short table of exits. One pass over these tables gives each slice its
+# entry state, and all slices are replayed side by side.
+
+_SLICED = ["rule", "slice", "at_us", "observed", "met", "required", "cooldown_us"]
+_STREAKS = "rule STRING, slice INT, cleared BOOLEAN, trailing BIGINT"
+_EXITS = "rule STRING, slice INT, firing_in BOOLEAN, at BIGINT, cooldown_us BIGINT, firing BOOLEAN, last BIGINT"
+_ENTRY = "rule STRING, slice INT, firing BOOLEAN, last BIGINT"
+
+
+class _Slice:
+    """Observations of one rule in a slice, in order, as arrays; pointers from firing to firing."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        rows = rows.sort_values(["at_us", "observed", "met"], kind="stable")
+        self.at = rows["at_us"].to_numpy(np.int64)
+        self.observed = rows["observed"].to_numpy()
+        met = rows["met"].to_numpy(bool)
+        n = len(met)
+        place = np.arange(n)
+        last_clear = np.maximum.accumulate(np.where(met, -1, place))
+        streak = place - last_clear
+        # Before the first clear, the streak that came in counts too.
+        streak = streak + np.where(last_clear < 0, int(rows["entry"].iloc[0]) if "entry" in rows else 0, 0)
+        able = met & (streak >= int(rows["required"].iloc[0]))
+        self.cooldown = int(rows["cooldown_us"].iloc[0])
+        self.clear = self._next(~met)  # first clear at or after a place
+        self.able = self._next(able)  # first breach that may fire at or after a place
+        self.trailing = int(streak[-1]) if met[-1] else 0
+        self.cleared = not met.all()
+
+    @staticmethod
+    def _next(mask: np.ndarray) -> np.ndarray:
+        n = len(mask)
+        at = np.where(mask, np.arange(n), n)
+        return np.append(np.minimum.accumulate(at[::-1])[::-1], n)
+
+    def fires_after(self, place: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """First breach from ``place`` on that is outside of the cooldown of ``last``."""
+        cold = np.searchsorted(self.at, last + self.cooldown)
+        return self.able[np.maximum(place, cold)]
+
+    def next_firing(self) -> np.ndarray:
+        """Place that fires after a firing at each place; the length if none does."""
+        n = len(self.at)
+        cleared = np.minimum(self.clear[1:], n)
+        return np.where(cleared < n, self.fires_after(np.minimum(cleared + 1, n), self.at), n)
+
+    def exits(self) -> list[tuple]:
+        """(firing_in, candidate time, firing, last): for the candidates that can fire first."""
+        n = len(self.at)
+        step = self.next_firing()
+        final = np.where(step < n, step, np.arange(n))
+        while (final[final] != final).any():
+            final = final[final]
+        still = self.clear[np.minimum(final + 1, n)] == n
+        out = []
+        for firing in (False, True):
+            begin = min(int(self.clear[0]) + 1, n) if firing else 0
+            out.append((firing, None, firing and not self.cleared, None))
+            if firing and not self.cleared:
+                continue
+            at = int(self.able[begin])
+            while at < n:
+                # Of candidates with one exit the last is enough: an entry takes the first row from
+                # its own time on. Beyond the cooldown of the slice's start one more is enough.
+                following = int(self.able[at + 1])
+                beyond = self.at[at] >= self.at[0] + self.cooldown
+                if beyond or following >= n or final[following] != final[at]:
+                    out.append((firing, int(self.at[at]), bool(still[at]), int(self.at[final[at]])))
+                if beyond:
+                    break
+                at = following
+        return out
+
+    def replay(self, firing: bool, last: int | None) -> list[tuple]:
+        """(place, kind) of all transitions from an entry state."""
+        n, out = len(self.at), []
+        if firing:
+            if not self.cleared:
+                return out
+            out.append((int(self.clear[0]), "resolved"))
+        begin = np.array([int(self.clear[0]) + 1 if firing else 0])
+        low = np.array([np.iinfo(np.int64).min // 2 if last is None else last])
+        at = int(self.fires_after(begin, low)[0])
+        step = self.next_firing()
+        while at < n:
+            out.append((at, "fired"))
+            cleared = int(self.clear[at + 1])
+            if cleared < n:
+                out.append((cleared, "resolved"))
+            at = int(step[at])
+        return out
+
+
+def _entries(tables: pd.DataFrame) -> pd.DataFrame:
+    """State at the start of each slice of one rule, from the exits of those before."""
+    rows, firing, last = [], False, None
+    for number, part in tables.sort_values("slice").groupby("slice"):
+        rows.append((part["rule"].iloc[0], number, firing, last))
+        own = part[part["firing_in"] == firing]
+        timed = own[own["at"].notna()].sort_values("at")
+        due = -math.inf if last is None else last + int(part["cooldown_us"].iloc[0])
+        hit = timed[timed["at"].astype("int64") >= due]
+        if len(hit):
+            firing, last = bool(hit["firing"].iloc[0]), int(hit["last"].iloc[0])
+        else:
+            firing = bool(own[own["at"].isna()]["firing"].iloc[0])
+    out = pd.DataFrame(rows, columns=["rule", "slice", "firing", "last"])
+    out["last"] = out["last"].astype("Int64")
+    return out
 
-    Of a run of clears the first one matters; of a run of breaches those from the
-    required length on. Both follow from one slice-wise pass of running counts, so
-    the long quiet (or noisy) stretches of a busy rule never reach the machine.
-    """
-    met = F.coalesce(F.col("flag"), F.col("observed") > F.col("threshold"))
-    marked = running_totals(
-        prepared.withColumn("met", met), ["at_us", "observed"],
-        {"clears": (~F.col("met")).cast("bigint"), "breaches": F.col("met").cast("bigint")},
-        ["rule"], "alerts",
-    )
-    begun = marked.filter("met").groupBy("rule", "clears").agg(F.min("breaches").alias("begun"))
-    long_enough = (
-        marked.filter("met")
-        .join(begun, ["rule", "clears"])
-        .filter(F.col("breaches") - F.col("begun") + 1 >= F.col("required"))
+
+def alert_batch(observations: DataFrame, rules: DataFrame) -> DataFrame:
+    """Transitions of every rule over a finished log. A rule with most of the observations
+    covers most of the slices, and so most of the tasks."""
+    spark = observations.sparkSession
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prepared = _prepared(observations, rules).select(
+        "rule", "at_us", "observed", F.coalesce("flag", F.col("observed") > F.col("threshold")).alias("met"),
+        F.col("required").cast("int").alias("required"),
+        (F.col("cooldown_minutes") * 60_000_000).cast("bigint").alias("cooldown_us"),
     )
-    first_clear = marked.filter(~F.col("met")).groupBy("rule", "breaches").agg(
-        F.min(F.struct("at_us", "observed")).alias("c"),
-        F.first("cooldown_minutes").alias("cooldown_minutes"),
+    stored = materialize(
+        prepared.repartitionByRange(slices, "rule", "at_us", "observed")
+        .withColumn("slice", F.spark_partition_id()).select(*_SLICED), "alerts",
     )
-    columns = ["rule", "at_us", "observed", "flag", "threshold", "required", "cooldown_minutes"]
-    shared = [F.lit(0.0).alias("threshold"), F.lit(1).alias("required"), "cooldown_minutes"]
-    return long_enough.select(
-        "rule", "at_us", "observed", F.lit(True).alias("flag"), *shared
-    ).unionByName(
-        first_clear.select(
-            "rule", F.col("c.at_us").alias("at_us"), F.col("c.observed").alias("observed"),
-            F.lit(False).alias("flag"), *shared,
-        )
-    ).select(*columns)
 
+    def streaks(rows: pd.DataFrame) -> pd.DataFrame:
+        own = _Slice(rows)
+        return pd.DataFrame(
+            [(rows["rule"].iloc[0], rows["slice"].iloc[0], own.cleared, own.trailing)],
+            columns=["rule", "slice", "cleared", "trailing"],
+        )
 
-def alert_batch(observations: DataFrame, rules: DataFrame) -> DataFrame:
-    """Transitions of every rule over a finished log, in time order per rule."""
-    ordered = (
-        _decisive(_prepared(observations, rules))
-        .repartition("rule")
-        .sortWithinPartitions("rule", "at_us", "observed")
+    # One row per rule and slice, here and in the entries below: windows over rules are short.
+    ends = stored.groupBy("rule", "slice").applyInPandas(streaks, _STREAKS)
+    before = Window.partitionBy("rule").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    group = F.coalesce(F.sum(F.col("cleared").cast("int")).over(before), F.lit(0))
+    inside = Window.partitionBy("rule", "__group").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    reset = Window.partitionBy("rule").orderBy("slice")
+    entry = (
+        ends.withColumn("__group", group)
+        # What the slice with the last clear ends with, and all breaches since.
+        .withColumn("__carried", F.when(F.lag("cleared").over(reset), F.lag("trailing").over(reset)))
+        .withColumn("__base", F.first("__carried", ignorenulls=True).over(
+            Window.partitionBy("rule", "__group").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("entry", F.coalesce("__base", F.lit(0)) + F.coalesce(F.sum("trailing").over(inside), F.lit(0)))
+        .select("rule", "slice", "entry")
     )
+    sliced = stored.join(small_side(entry, "alert-streaks"), ["rule", "slice"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _carry(batches, ["rule"], _ALERT_COLUMNS, lambda: (False, None, 0), _observe, _frame)
+    def exits(rows: pd.DataFrame) -> pd.DataFrame:
+        own = _Slice(rows)
+        out = [(rows["rule"].iloc[0], rows["slice"].iloc[0], f, at, own.cooldown, g, last) for f, at, g, last in own.exits()]
+        frame = pd.DataFrame(out, columns=["rule", "slice", "firing_in", "at", "cooldown_us", "firing", "last"])
+        return frame.astype({"at": "Int64", "last": "Int64"})
+
+    tables = sliced.groupBy("rule", "slice").applyInPandas(exits, _EXITS)
+    states = small_side(tables.groupBy("rule").applyInPandas(_entries, _ENTRY), "alert-entries")
+
+    def replay(rows: pd.DataFrame) -> pd.DataFrame:
+        own, last = _Slice(rows), rows["last"].iloc[0]
+        found = own.replay(bool(rows["firing"].iloc[0]), None if pd.isna(last) else int(last))
+        return _frame([(rows["rule"].iloc[0], own.at[i], kind, own.observed[i]) for i, kind in found])
 
-    return ordered.mapInPandas(run, ALERT_SCHEMA)
+    return sliced.join(states, ["rule", "slice"]).groupBy("rule", "slice").applyInPandas(replay, ALERT_SCHEMA)
 
 
 def _in_order(held: list[tuple], frames: Iterable[pd.DataFrame], columns: list[str], upto_us: int):

@@ -183,3 +183,57 @@ def test_drift_stream_decides_from_closed_periods(spark, tmp_path):
     live.drift_stream(live.read_stream(spark, path), str(tmp_path / "out"), k_sigma=1.0).awaitTermination()
     decision = live.latest(spark, str(tmp_path / "out"), "decision").first()
     assert decision["periods"] == 5 and decision["breaches"] == 1
+
+
+def test_slices_compose_to_the_machine():
+    """Any cut of a log into slices gives the transitions of the plain machine."""
+    import pandas as pd
+
+    rng = random.Random(1)
+    for _ in range(300):
+        n, required, cooldown = rng.randint(1, 40), rng.choice([1, 1, 2, 3]), rng.choice([0, 3, 10, 40])
+        rows, at = [], 0
+        for i in range(n):
+            at += rng.choice([0, 1, 1, 2, 5])
+            rows.append((at, float(i), rng.random() < rng.choice([0.3, 0.8])))
+        held, want = (False, None, 0), []
+        for at, seen, met in rows:
+            held, kind = state.step_alert(held, at, met, required, cooldown)
+            want += [(at, kind, seen)] if kind else []
+        cuts = sorted({0, n, *(rng.randrange(n) for _ in range(rng.randint(0, 4)))})
+        slices, tables, entry = [], [], 0
+        for number, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            part = pd.DataFrame(rows[a:b], columns=["at_us", "observed", "met"]).assign(
+                required=required, cooldown_us=cooldown, entry=entry
+            )
+            slices.append(state._Slice(part))
+            entry = slices[-1].trailing
+            tables += [("r", number, f, t, cooldown, g, last) for f, t, g, last in slices[-1].exits()]
+        frame = pd.DataFrame(tables, columns=["rule", "slice", "firing_in", "at", "cooldown_us", "firing", "last"])
+        entries = state._entries(frame.astype({"at": "Int64", "last": "Int64"}))
+        got = []
+        for own, (_, e) in zip(slices, entries.iterrows()):
+            found = own.replay(bool(e["firing"]), None if pd.isna(e["last"]) else int(e["last"]))
+            got += [(int(own.at[i]), kind, own.observed[i]) for i, kind in found]
+        assert got == want
+
+
+def test_one_busy_rule_over_many_slices(spark):
+    rng = random.Random(4)
+    rows = [("busy" if rng.random() < 0.9 else "calm", START + timedelta(seconds=rng.randrange(40_000)), rng.random()) for _ in range(1500)]
+    schema = "rule string, event_time timestamp, observed double"
+    rules = spark.createDataFrame(
+        [("busy", "info", 0.3, 3, 2), ("calm", "info", 0.5, 1, 15), ("unseen", "info", 0.5, 1, 15)],
+        "rule string, severity string, threshold double, required int, cooldown_minutes int",
+    )
+    found = {tuple(r) for r in state.alert_batch(spark.createDataFrame(rows, schema), rules).collect()}
+    want = set()
+    for rule, level, required, minutes in (("busy", 0.3, 3, 2), ("calm", 0.5, 1, 15)):
+        held = (False, None, 0)
+        for _, at, seen in sorted(r for r in rows if r[0] == rule):
+            us = int((at - START).total_seconds()) * 1_000_000
+            held, kind = state.step_alert(held, us, seen > level, required, minutes * 60_000_000)
+            if kind:
+                want.add((rule, at, kind, seen))
+    assert found == want
+    assert state.alert_batch(spark.createDataFrame([], schema), rules).count() == 0
