@@ -26,8 +26,13 @@ from panelloom.llm.common import Steps, batch_rows, column
 
 BUCKETS = 1 << 18
 FACTORS = 6
-#: Distinct labelled texts used for learning, in expectation, of each label.
+#: Distinct labelled texts used for learning, in expectation, of each label, and their terms in
+#: all: where the texts are so long that they have more, fewer of both labels are used.
 LEARN_PER_LABEL = 4000
+LEARN_TERMS = 32_000_000
+#: Parts in which the features come to the driver, and terms of one gradient step.
+READS = 32
+STEP_TERMS = 1 << 20
 #: Steps of a weight: least and most, with the fourth power of its gap over so many standard
 #: errors between; and the least step of a vector, whatever the gap.
 STEADY_GAP, LEAST_STEP, MOST_STEP = 4.5, 0.03, 4.0
@@ -114,13 +119,17 @@ def _terms(text: str, known: dict[str, list[int]]) -> list[int]:
     return found
 
 
-def _steps(owner: np.ndarray, slot: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+def _steps(starts: np.ndarray, slot: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
     """Steps of a bucket's weight and vector: short where most texts have it; the weight's is
     longer the further its shares in the two labels lie apart."""
     texts, ones = len(labels), max(labels.sum(), 1e-9)
     zeros = max(texts - labels.sum(), 1e-9)
-    held = np.bincount(slot, minlength=size)
-    toxic = np.bincount(slot, labels[owner], size)
+    held, toxic = np.zeros(size), np.zeros(size)
+    for lo in range(0, texts, 256):
+        hi = min(lo + 256, texts)
+        part = slot[starts[lo] : starts[hi]]
+        held += np.bincount(part, minlength=size)
+        toxic += np.bincount(part, np.repeat(labels[lo:hi], np.diff(starts[lo : hi + 1])), size)
     share = (held + 1) / (texts + 2)
     error = np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros)) + 1e-12
     gap = np.abs(toxic / ones - (held - toxic) / zeros) / error
@@ -136,10 +145,11 @@ def fit(
     batch: int = 256, seed: int = 7,
 ) -> Model:
     """Adaptive gradient steps on the logistic loss. ``slot`` and ``count`` list the terms of
-    text after text, by place in the buckets ``used``, from ``starts`` on. Labels may be shares."""
+    text after text, by place in the buckets ``used``, from ``starts`` on. Labels may be shares.
+    A step takes ``batch`` texts, or fewer if these have more than ``STEP_TERMS`` terms."""
     rng = np.random.default_rng(seed)
     texts = len(labels)
-    scale = _steps(np.repeat(np.arange(texts), np.diff(starts)), slot, labels, len(used))
+    scale = _steps(starts, slot, labels, len(used))
     params = np.zeros((len(used), 1 + FACTORS), np.float32)
     params[:, 1:] = rng.normal(0, 0.01, (len(used), FACTORS))
     speed = np.full(params.shape, 1e-6, np.float32)
@@ -147,8 +157,7 @@ def fit(
     bias, bias_speed = float(np.log(share / (1 - share))), 1e-6
     for _ in range(max(epochs, -(-least_rounds * batch // max(texts, 1)))):
         order = rng.permutation(texts)
-        for lo in range(0, texts, batch):
-            chosen = order[lo : lo + batch]
+        for chosen in _batches(order, np.diff(starts)[order], batch):
             lengths = starts[chosen + 1] - starts[chosen]
             # Texts without a term have the bias alone.
             bare, chosen, lengths = chosen[lengths == 0], chosen[lengths > 0], lengths[lengths > 0]
@@ -157,7 +166,8 @@ def fit(
             error = np.zeros(0)
             if len(chosen):
                 at = np.repeat(starts[chosen] - first, lengths) + np.arange(lengths.sum())
-                row, ids, n = np.repeat(np.arange(len(chosen)), lengths), slot[at], count[at]
+                row = np.repeat(np.arange(len(chosen)), lengths)
+                ids, n = slot[at], count[at].astype(np.float32)
                 by = np.argsort(ids, kind="stable")
                 heads = np.flatnonzero(np.diff(ids[by], prepend=-1))
                 own = ids[by][heads]
@@ -185,6 +195,28 @@ def fit(
     return Model(bias, used, learnt[:, 0].copy(), learnt[:, 1:].copy())
 
 
+def _part(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms per text, their buckets and counts, and shares; equal texts come once."""
+    _, first = np.unique(np.asarray(rows.column("digest")), return_index=True)
+    rows = rows.take(pa.array(first))
+    lists = rows.column("terms").combine_chunks()
+    packed = np.asarray(lists.flatten())
+    lengths = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+    slot, count = packed // COUNT_LIMIT, packed % COUNT_LIMIT + 1
+    return lengths, slot.astype(np.uint32), count.astype(np.uint16), np.asarray(rows.column("share"))
+
+
+def _batches(order: np.ndarray, lengths: np.ndarray, batch: int) -> Iterator[np.ndarray]:
+    upto = np.cumsum(lengths)
+    lo = 0
+    while lo < len(order):
+        before = upto[lo] - lengths[lo]
+        hi = int(np.searchsorted(upto, before + STEP_TERMS, "right"))
+        hi = min(max(hi, lo + 1), lo + batch)
+        yield order[lo:hi]
+        lo = hi
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = LEARN_PER_LABEL) -> Model:
     """Fit on ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``.
 
@@ -192,7 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = LEARN_PER_LABEL)
     ``per_label`` distinct texts of each kind (by the larger share) are used, chosen by a hash of
     the text; this bounded list goes to the texts, which therefore stay where they are. Rows
     with a null label, id or text teach nothing; of several labels of a document the largest
-    counts. Without both labels the model is constant (near 0 or 1, or one half without rows).
+    counts. Their terms are bounded too (``LEARN_TERMS``), so the driver's memory is. Without both labels the model is constant (near 0 or 1, or one half without rows).
     """
     marks = (
         labels.filter("toxic in (0, 1) and doc_id is not null")
@@ -207,7 +239,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = LEARN_PER_LABEL)
         .agg(F.avg("toxic").alias("share"), F.min("doc_id").alias("doc_id"))
         .withColumn("toxic", (F.col("share") >= 0.5).cast("int"))
     )
-    distinct = Steps(docs.sparkSession, "toxicity").keep(distinct, "distinct")
+    steps = Steps(docs.sparkSession, "toxicity")
+    distinct = steps.keep(distinct, "distinct")
     sizes = {r["toxic"]: r["n"] for r in distinct.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         kinds = sizes or {r["toxic"] for r in marks.select("toxic").distinct().collect()}
@@ -235,22 +268,28 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = LEARN_PER_LABEL)
                 ["digest", "share", "terms"],
             )
 
-    rows = sample.mapInArrow(features, "digest bigint, share double, terms array<int>").toArrow()
-    digest, first = np.unique(np.asarray(rows.column("digest")), return_index=True)
-    if not len(digest):
+    kept = steps.keep(
+        sample.mapInArrow(features, "digest bigint, share double, terms array<int>"), "features", free=False
+    )
+    terms = kept.agg(F.sum(F.size("terms")).alias("n")).first()["n"] or 0
+    if terms > LEARN_TERMS:  # the draw of the digest again, so that a part of each label goes
+        kept = kept.filter(
+            F.pmod(F.xxhash64(F.lit("terms"), F.col("digest")), F.lit(SLICE)) < int(SLICE * LEARN_TERMS / terms)
+        )
+    found = [
+        _part(kept.filter(F.pmod("digest", F.lit(READS)) == i).select("digest", "share", "terms").toArrow())
+        for i in range(READS)
+    ]
+    lengths, slot, count, labels_of = (np.concatenate(c) for c in zip(*found))
+    del found
+    if not len(lengths):
         return constant(0.0)
-    # Rows that repeat an id and its text come several times.
-    terms = rows.column("terms").combine_chunks()
-    offsets, flat = np.asarray(terms.offsets), np.asarray(terms.values)
-    lengths = (offsets[1:] - offsets[:-1])[first]
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    packed = np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in first])
-    slot, count = packed // COUNT_LIMIT, (packed % COUNT_LIMIT + 1).astype(np.float32)
-    held = np.bincount(slot, minlength=BUCKETS) > 0
-    place = (np.cumsum(held) - 1).astype(np.int32)
-    labels_of = np.asarray(rows.column("share"))[first]
-    del rows, terms, flat, packed
-    model = fit(starts, place[slot], count, labels_of, np.flatnonzero(held))
+    held = np.zeros(BUCKETS, bool)
+    held[slot] = True
+    place = (np.cumsum(held) - 1).astype(np.uint32)
+    for lo in range(0, len(slot), STEP_TERMS):
+        slot[lo : lo + STEP_TERMS] = place[slot[lo : lo + STEP_TERMS]]
+    model = fit(np.concatenate([[0], np.cumsum(lengths)]), slot, count, labels_of, np.flatnonzero(held))
     # Undo the sampling of labels, so that 0.5 means as likely as not in all distinct texts.
     return replace(model, bias=float(model.bias + np.log(shares[0] / shares[1])))
 
