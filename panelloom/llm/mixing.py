@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.session import one
+from panelloom.session import one, small_side
 
 WORD = "[^\\\\x20\\\\x09-\\\\x0D]+"
 BUCKET_DIGITS = 3  # 4096 slices of a leaf's order
@@ -34,9 +34,11 @@ def domain_of(source: str = "source") -> Column:
 
 
 def weight_of(level: str, weights: Mapping[str, float] | None) -> Column:
-    """Configured weight of a node by its name; 1 for nodes that are not named."""
+    """Configured weight of a node by its name, 0 or more; 1 for nodes that are not named."""
     weight = F.lit(1.0)
     for name, value in (weights or {}).items():
+        if not value >= 0:
+            raise ValueError(f"weight of {name!r} in {level}: {value}")
         weight = F.when(F.col(level) == name, F.lit(float(value))).otherwise(weight)
     return weight
 
@@ -93,13 +95,16 @@ def leaf_budgets(
     max_epochs: int,
     weights: Mapping[str, Mapping[str, float]] | None = None,
 ) -> DataFrame:
-    """Tokens granted to each leaf of ``leaves(domain, lang, source, tokens)``."""
+    """Tokens granted to each leaf of ``leaves(domain, lang, source, tokens)``; leaves under a
+    weight of 0 get no row, and what they cannot take goes to the others."""
     weights = weights or {}
     base = leaves.filter("tokens > 0").withColumn(
         "room", F.col("tokens").cast("double") * max_epochs
     )
     path = ["domain", "lang", "source"]
     total = one(base, F.coalesce(F.sum("tokens"), F.lit(0)).cast("double") * fraction)
+    for name in path:
+        base = base.filter(weight_of(name, weights.get(name)) > 0)
     granted: DataFrame | None = None
     for depth in range(1, len(path) + 1):
         keys, parent, name = path[:depth], path[: depth - 1], path[depth - 1]
@@ -125,7 +130,8 @@ def mix_sources(
     """Selected passes over documents: the columns of ``docs`` and ``domain``, ``tokens``,
     ``epoch`` (from 0).
 
-    ``fraction`` of all tokens is the budget of the root. Null ``lang`` or ``source`` is a
+    ``fraction`` of all tokens is the budget of the root. A weight of 0 excludes a domain,
+    language or source. Null ``lang`` or ``source`` is a
     value of its own, written as an empty name. A text without words costs nothing and is
     taken in every epoch that its leaf enters, but never in a leaf without any tokens.
     Repeated rows are documents of their own; equal rows share their place in the order and
@@ -158,7 +164,7 @@ def mix_sources(
         )
     )
     # The last epoch of a leaf is the only one that is cut: epoch number = full passes.
-    keyed = sized.join(budgets, leaf).withColumn(
+    keyed = sized.join(small_side(budgets, "budgets"), leaf).withColumn(
         "__order", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__full").cast("string"), key))
     ).withColumn("__slice", F.substring("__order", 1, BUCKET_DIGITS))
     running = Window.partitionBy(*leaf).orderBy("__slice")
@@ -171,7 +177,7 @@ def mix_sources(
     cut = slices.filter("__before < __rest and __upto >= __rest").select(
         *leaf, F.col("__slice").alias("__cut"), "__before"
     )
-    marked = keyed.join(cut, leaf, "left")
+    marked = keyed.join(small_side(cut, "cuts"), leaf, "left")
     # Inside the cut slice the tokens before each row; those rows are one in 4096 of a leaf.
     inside = Window.partitionBy(*leaf).orderBy("__order").rangeBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -186,7 +192,7 @@ def mix_sources(
         .groupBy(*leaf)
         .agg(F.max("__order").alias("__last"))
     )
-    passes = marked.join(edge, leaf, "left").withColumn(
+    passes = marked.join(small_side(edge, "edges"), leaf, "left").withColumn(
         "__passes",
         F.col("__full")
         + F.when((F.col("__rest") > 0) & (F.col("__order") <= F.col("__last")), 1).otherwise(0),
