@@ -95,11 +95,11 @@ def scan(
     skip: int, k: int,
 ) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` nearest of ``vectors`` to ``query``: ids and exact distances, ties to the
-    smaller id. ``turned`` are the rotated vectors, ``own`` the rotated query."""
+    smaller id; of rows with one id the nearest counts. ``turned`` are the rotated vectors, ``own`` the rotated query."""
     size = turned.shape[1]
     kept: list[np.ndarray] = []
     limit = math.inf
-    best = np.zeros(0)
+    best, best_ids = np.zeros(0), ids[:0]
     lo, step = 0, 4 * k
     while lo < len(ids):
         alive = np.arange(lo, min(lo + step, len(ids)))
@@ -114,14 +114,27 @@ def scan(
                 passed = partial * (size / seen) <= slack * limit
                 alive, partial = alive[passed], partial[passed]
         kept.append(alive)
-        best = np.sort(np.concatenate([best, partial]))[:k]
+        if len(alive):
+            best_ids, best = _nearest_ids(
+                np.concatenate([best_ids, ids[alive]]), np.concatenate([best, partial]), k
+            )
         if len(best) == k:
             limit = best[-1]
         lo, step = lo + step, 1024
     found = np.concatenate(kept) if kept else np.zeros(0, np.int64)
     exact = np.sqrt(((vectors[found] - query) ** 2).sum(axis=1))
-    order = np.lexsort((ids[found], exact))[:k]
-    return ids[found][order], exact[order]
+    return _nearest_ids(ids[found], exact, k)
+
+
+def _nearest_ids(ids: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` nearest ids, each with its nearest row; of equals the smaller ids."""
+    order = np.lexsort((far, ids))
+    ids, far = ids[order], far[order]
+    first = np.ones(len(ids), bool)
+    first[1:] = np.diff(ids) != 0
+    ids, far = ids[first], far[first]
+    order = np.lexsort((ids, far))[:k]
+    return ids[order], far[order]
 
 
 def _matrix(arrays: pa.Array, size: int) -> np.ndarray:
@@ -143,8 +156,9 @@ def nearest(
     Vectors that are null, all zero, or hold null or non-finite components take no part, nor
     do rows without an id or vectors of another length than most. All candidates are
     returned if there are fewer than ``k``; a query visits more lists where its ``probes`` lists
-    hold too few vectors. Without ``probes``, the sample tells how many reach ``target``. Of rows that repeat an id, the nearest counts (as a query: the
-    smallest vector). The number of lists is the square root of the rows, at most 4096.
+    hold too few different ids. Without ``probes``, the sample tells how many reach ``target``.
+    Of rows that repeat an id, the nearest counts (as a query: the smallest vector). Other columns
+    are ignored. The number of lists is the square root of the rows, at most 4096.
     """
     spark = table.sparkSession
     steps = Steps(spark, "nearest")
@@ -210,6 +224,9 @@ def nearest(
     # At most MOST_LISTS rows: sizes of the lists, and into how many parts each is split.
     sizes = {r["list"]: r["n"] for r in blocks.groupBy("list").agg(F.sum("n").alias("n")).collect()}
     counts = np.array([sizes.get(i, 0) for i in range(len(centers))])
+    # So many rows hold k + 1 different ids for certain.
+    repeats = rows.groupBy("vec_id").count().agg(F.max("count")).first()[0]
+    needed = (k + 1) * repeats
     parts = np.maximum(1, -(-counts // PART))
     layout = spark.sparkContext.broadcast((counts, parts))
 
@@ -223,7 +240,7 @@ def nearest(
             for query, vector in zip(ids, vectors):
                 order = np.argsort(norms - 2 * shared.value[0] @ vector, kind="stable")
                 order = order[counts[order] > 0]
-                enough = int(np.searchsorted(np.cumsum(counts[order]), k + 1)) + 1
+                enough = int(np.searchsorted(np.cumsum(counts[order]), needed)) + 1
                 for at in order[: max(probes, enough)]:
                     out += [(int(at), p, int(query), vector.tobytes()) for p in range(parts[at])]
             values = list(zip(*out)) if out else [[]] * 4

@@ -66,7 +66,7 @@ def test_recall_and_exact_scores(spark):
         at = np.searchsorted(ids, own["vec_id"])
         base = vectors[np.searchsorted(ids, query)]
         assert np.allclose(own["score"], np.sqrt(((vectors[at] - base) ** 2).sum(axis=1)), rtol=1e-12)
-        assert list(own["rank"]) == list(range(1, 11)) and own["score"].is_monotonic_increasing
+        assert list(own["rank"]) == list(range(1, 14)) and own["score"].is_monotonic_increasing
     assert hits / total >= 0.9
 
 
@@ -100,7 +100,7 @@ def test_vectors_that_take_no_part(spark):
 
 def test_every_query_is_registered():
     names = list(queries.QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(names) <= set(registry.queries()) and set(queries.SQL) <= set(names)
 
 
@@ -119,3 +119,33 @@ def test_registry_without_the_folder():
 
     root = Path(registry.__file__).parent
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_nearest_folds_repeated_ids(spark):
+    """Many rows of one id near the query must not push other ids out."""
+    rng = np.random.default_rng(4)
+    query = [1.0, 0.0, 0.0, 0.0]
+    rows = [(0, query)] + [(7, [1.0, 0.01 * i, 0.0, 0.0]) for i in range(1, 16)]
+    rows += [(100 + i, rng.normal(size=4).tolist()) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = nearest.nearest(df, df.filter("vec_id = 0")).orderBy("rank").collect()
+    far = {}
+    for i, v in rows[1:]:
+        far[i] = min(far.get(i, 9e9), float(np.sqrt(((np.array(v) - query) ** 2).sum())))
+    want = sorted(far, key=lambda i: (far[i], i))[:10]
+    assert [r["vec_id"] for r in found] == want
+
+
+def test_mixing_takes_zero_weights(spark):
+    docs = spark.createDataFrame(
+        [(i, "a b c d", "en" if i % 2 else "de", f"s{i % 5}") for i in range(200)],
+        "doc_id bigint, text string, lang string, source string",
+    )
+    found = mixing.mix_sources(docs, weights={"lang": {"de": 0}, "source": {"s1": 0.0, "s2": 3.0}})
+    assert {r["lang"] for r in found.select("lang").distinct().collect()} == {"en"}
+    assert "s1" not in {r["source"] for r in found.select("source").distinct().collect()}
+    tokens = found.agg({"tokens": "sum"}).first()[0]
+    assert 0.85 * 800 <= tokens <= 800  # the others take the whole budget
+    assert mixing.mix_sources(docs, weights={"lang": {"de": 0, "en": 0}}).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs, weights={"lang": {"de": -1}})
