@@ -3,9 +3,10 @@
 A page becomes a tree. Every paragraph earns points for its length and its commas, less its
 share of link text, and passes them to its container and, in falling parts, to the containers
 above. The container with the most points, discounted by its own link density, is the
-article; siblings that look like parts of it are kept too. Menus, forms, notices and the like
-are left out by element, role and name, but not a named block with most of the page's points.
-Menus at the article's start or end, which are lists of links, are left out as well.
+article; siblings that look like parts of it are kept too. Menus, forms, notices, comments and
+the like are left out by element, role and name, whatever their size. Names of mere layout
+(``sidebar``, ``overlay``) are left out too, unless the container with the most points stands
+inside. If nothing else has text, named blocks count, those with layout names first. Menus at the article's start or end, which are lists of links, are left out as well.
 """
 
 from __future__ import annotations
@@ -61,6 +62,10 @@ SKIPPED_NAMES = frozenset(
     "respond rss share sharing sidebar signup social sponsor sponsored subscribe subscription "
     "tags toolbar widget widgets".split()
 )
+#: Those among them that tell a place or a look, not what stands there.
+LAYOUT_NAMES = frozenset(
+    "header hidden masthead modal overlay popup sidebar toolbar widget widgets".split()
+)
 #: Parts that a skipped name may have besides: places and kinds of blocks, not their topics.
 NEUTRAL_PARTS = frozenset(
     "area bar block bottom box button buttons container inner item items left link links list "
@@ -70,12 +75,20 @@ KEPT_ANYWAY = frozenset("html body article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def _is_skipped(name: str) -> bool:
+#: Why a node is left out: not, by a layout name, by another name, by what it is.
+NOT, LAYOUT, NAMED, ALWAYS = range(4)
+
+
+def _level(name: str) -> int:
     """Whether a name is a skipped one, or made of them and of neutral parts alone: with any
     other part (``share-price``, ``no-sidebar``, ``overflow-hidden``) it means something else."""
     parts = [p.lower() for p in NAME_PART.findall(name)]
     words = {p for p in parts if not p.isdigit()} - NEUTRAL_PARTS
-    return name.lower() in SKIPPED_NAMES or bool(words) and words <= SKIPPED_NAMES
+    if name.lower() in SKIPPED_NAMES:
+        words = {name.lower()}
+    if not words or not words <= SKIPPED_NAMES:
+        return NOT
+    return LAYOUT if words <= LAYOUT_NAMES else NAMED
 
 
 def _worth(text: str, share: float) -> float:
@@ -90,10 +103,12 @@ class Page:
         self.tags = ["#root"]
         self.parents = [0]
         self.ends = [0]
-        self.skipped = [0]  # 0 no, 1 by its name, 2 by what it is
+        self.skipped = [NOT]
         self.links = [False]
+        self.containers = [0]  # the nearest block around a node
+        self.within = [False]  # an article or the main part
         self.items: list[tuple[int, str | None]] = []  # (node, text), or None for a boundary
-        self.named = {0: False}  # nodes whose own name is a skipped one
+        self.named = [NOT]  # by the node's own name
         self._read(source)
         self._skip_named()
 
@@ -103,70 +118,72 @@ class Page:
         self.parents.append(parent)
         self.ends.append(0)
         self.links.append(self.links[parent] or tag == "a")
+        self.containers.append(node if tag in BLOCK else self.containers[parent])
         level = self._judge(tag, attributes, parent)
-        self.named[node] = level == 1
-        self.skipped.append(max(self.skipped[parent], level if level == 2 else 0))
+        self.within.append(self.within[parent] or tag in ("article", "main"))
+        self.named.append(level if level < ALWAYS else NOT)
+        self.skipped.append(max(self.skipped[parent], level if level == ALWAYS else NOT))
         return node
 
+    def _mark(self) -> None:
+        for node in range(1, len(self.tags)):
+            self.skipped[node] = max(self.skipped[node], self.skipped[self.parents[node]], self.named[node])
+
     def _skip_named(self) -> None:
-        """Mark the subtrees of named nodes, but for those with most of the page's points."""
-        if not any(self.named.values()):
+        """Mark the subtrees of named nodes, but for layout names around the best container."""
+        if not any(self.named):
             return
-        worth = [0.0] * len(self.tags)
-        for node, text, share in self.blocks(2):
-            worth[node] += _worth(text, share)
-        for node in range(len(self.tags) - 1, 0, -1):
-            worth[self.parents[node]] += worth[node]
-        for node in range(1, len(self.tags)):
-            own = self.named[node] and 2 * worth[node] <= worth[0]
-            self.skipped[node] = max(self.skipped[node], self.skipped[self.parents[node]], int(own))
+        always = list(self.skipped)
+        self._mark()
+        if LAYOUT in self.named:
+            blocks = self.blocks(NAMED)
+            at = best_of(_scores(self, blocks)[0]) if blocks else 0
+            while at:
+                if self.named[at] == LAYOUT:
+                    self.named[at] = NOT
+                at = self.parents[at]
+            self.skipped = always
+            self._mark()
 
     def _judge(self, tag: str, attributes: str, parent: int) -> int:
         if tag in SKIPPED:
-            return 2
+            return ALWAYS
         if tag == "header":
-            return 0 if self._inside(parent, ("article", "main")) else 2
+            return NOT if self.within[parent] else ALWAYS
         if not attributes or tag in KEPT_ANYWAY:
-            return 0
-        named = False
+            return NOT
+        named = NOT
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "")
             if name in ("class", "id"):
-                named = named or any(_is_skipped(v) for v in value.split())
+                named = max([named, *map(_level, value.split())])
             elif name == "role" and value.lower() in SKIPPED_ROLES:
-                return 2
+                return ALWAYS
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                return 2
+                return ALWAYS
             elif name == "style" and "display:none" in value.replace(" ", "").lower():
-                return 2
-        return int(named)
-
-    def _inside(self, node: int, tags: tuple[str, ...]) -> bool:
-        while node:
-            if self.tags[node] in tags:
-                return True
-            node = self.parents[node]
-        return False
+                return ALWAYS
+        return named
 
     def _read(self, source: str) -> None:
-        stack, counts, at = [0], {}, 0
+        stack, at = [0], 0
+        places: dict[str, list[int]] = {}  # depths at which a tag is open
         items = self.items
 
         def close_to(depth: int) -> None:
             while len(stack) > depth:
                 node = stack.pop()
                 self.ends[node] = len(self.tags)
-                counts[self.tags[node]] -= 1
+                places[self.tags[node]].pop()
                 if self.tags[node] in BLOCK:
                     items.append((node, None))
 
+        def deepest(tags: set[str]) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
         def find(tags: set[str], barriers: set[str]) -> int:
-            for depth in range(len(stack) - 1, 0, -1):
-                if self.tags[stack[depth]] in tags:
-                    return depth
-                if self.tags[stack[depth]] in barriers:
-                    break
-            return 0
+            depth = deepest(tags)
+            return depth if depth > deepest(barriers) else 0
 
         size = len(source)
         while at < size:
@@ -184,7 +201,7 @@ class Page:
             if match[1]:
                 if tag in VOID and tag != "br":
                     continue
-                if counts.get(tag):
+                if places.get(tag):
                     depth = find({tag}, set())
                     close_to(depth)
                 elif tag in BLOCK:
@@ -193,7 +210,7 @@ class Page:
             if tag == "br":
                 items.append((stack[-1], " "))
                 continue
-            if tag in BLOCK and tag not in ("html", "body") and counts.get("p"):
+            if tag in BLOCK and tag not in ("html", "body") and places.get("p"):
                 depth = find({"p"}, {"table", "td", "th", "button", "caption"})
                 if depth:
                     close_to(depth)
@@ -205,7 +222,7 @@ class Page:
                 if tag in BLOCK:
                     items.append((stack[-1], None))
                 continue
-            if tag in ("html", "body") and counts.get(tag):
+            if tag in ("html", "body") and places.get(tag):
                 continue
             if tag in BLOCK:
                 items.append((stack[-1], None))
@@ -216,19 +233,13 @@ class Page:
                 self.ends[node] = len(self.tags)
                 continue
             if not match[3].rstrip().endswith("/") or tag in BLOCK or tag == "a":
+                places.setdefault(tag, []).append(len(stack))
                 stack.append(node)
-                counts[tag] = counts.get(tag, 0) + 1
             else:
                 self.ends[node] = len(self.tags)
         close_to(1)
         self.ends[0] = len(self.tags)
 
-    def container(self, node: int) -> int:
-        """The nearest block around an inline node."""
-        while node and self.tags[node] not in BLOCK:
-            node = self.parents[node]
-        return node
-
     def blocks(self, level: int) -> list[tuple[int, str, float]]:
         """Text runs outside nodes skipped at ``level`` or above: block, text, link share."""
         out: list[tuple[int, str, float]] = []
@@ -249,7 +260,7 @@ class Page:
                 flush()
             elif self.skipped[node] < level:
                 if owner < 0 or not run:
-                    owner = self.container(node)
+                    owner = self.containers[node]
                 run.append(text)
                 size = len(text.strip())
                 total += size
@@ -280,22 +291,26 @@ def _scores(page: Page, blocks: list[tuple[int, str, float]]) -> tuple[dict[int,
     return points, length, linked
 
 
+def best_of(points: dict[int, float]) -> int:
+    return max(points, key=lambda n: (points[n], -n))
+
+
 def main_text(source: str | None) -> str:
     """The article's blocks, joined by blank lines; empty if the page has no text."""
     if not source:
         return ""
     page = Page(source)
-    blocks = page.blocks(1) or page.blocks(2)
+    blocks = page.blocks(LAYOUT) or page.blocks(NAMED) or page.blocks(ALWAYS)
     if not blocks:
         return ""
     points, length, linked = _scores(page, blocks)
-    best = max(points, key=lambda n: (points[n], -n))
+    best = best_of(points)
     whole = best
     while whole and page.tags[whole] not in ("article", "main"):
         whole = page.parents[whole]
-    roots: list[tuple[int, int]] = []
+    roots: set[int] = set()
     if whole:
-        roots.append((whole, page.ends[whole]))
+        roots.add(whole)
     else:
         limit = max(2.0, 0.2 * points[best])
         parent = page.parents[best]
@@ -308,26 +323,35 @@ def main_text(source: str | None) -> str:
                 or points.get(node, 0) >= limit
                 or page.tags[node] in PARAGRAPH and length[node] > 0 and density < 0.25
             ):
-                roots.append((node, page.ends[node]))
+                roots.add(node)
         if not best:
-            roots.append((0, page.ends[0]))
+            roots.add(0)
     # Text that stands directly in the parent, between the parts, belongs to none of them.
-    inside = [b for b in blocks if any(lo <= b[0] < hi for lo, hi in roots)]
-    menus = _menus(page, inside, _link_lists(page, length, linked))
-    return "\n\n".join(text for node, text, _ in inside if not _under(page, node, menus))
+    kept = _under(page, roots)
+    inside = [b for b in blocks if kept[b[0]]]
+    menus = _under(page, _menus(page, inside, _link_lists(page, length, linked)))
+    return "\n\n".join(text for node, text, _ in inside if not menus[node])
 
 
 def _menus(page: Page, inside: list[tuple[int, str, float]], lists: set[int]) -> set[int]:
     """Link lists before all prose, or after all of it without a heading of their own."""
-    listed = [_under(page, node, lists) for node, _, _ in inside]
+    under = _under(page, lists)
+    listed = [under[node] for node, _, _ in inside]
     heads = [page.tags[node] in HEADINGS for node, _, _ in inside]
     prose = [i for i, own in enumerate(listed) if not own and not heads[i]]
     if not prose:
         return set()
+    # First and last block of every subtree.
+    first, last = [len(inside)] * len(page.tags), [-1] * len(page.tags)
+    for i, (node, _, _) in enumerate(inside):
+        first[node], last[node] = min(first[node], i), i
+    for node in range(len(page.tags) - 1, 0, -1):
+        up = page.parents[node]
+        first[up], last[up] = min(first[up], first[node]), max(last[up], last[node])
     menus = set()
     for top in lists:
-        own = [i for i, (node, _, _) in enumerate(inside) if top <= node < page.ends[top]]
-        if own and (own[-1] < prose[0] or own[0] > prose[-1] and not (heads[own[0] - 1] or heads[own[0]])):
+        lo, hi = first[top], last[top]
+        if hi >= 0 and (hi < prose[0] or lo > prose[-1] and not (heads[lo - 1] or heads[lo])):
             menus.add(top)
     return menus
 
@@ -345,12 +369,12 @@ def _link_lists(page: Page, length: list[int], linked: list[int]) -> set[int]:
     }
 
 
-def _under(page: Page, node: int, marked: set[int]) -> bool:
-    while node and marked:
-        if node in marked:
-            return True
-        node = page.parents[node]
-    return False
+def _under(page: Page, marked: set[int]) -> list[bool]:
+    """Whether each node is a marked one or below it."""
+    out = [n in marked for n in range(len(page.tags))]
+    for node in range(1, len(out)):
+        out[node] = out[node] or out[page.parents[node]]
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -343,3 +344,40 @@ def test_licenses_of_other_notices_and_tags():
     for text in ("(MIT OR Apache-2.0)", "MIT AND (Apache-2.0 WITH LLVM-exception). Not ISC"):
         assert licenses.tagged(f"SPDX-License-Identifier: {text}") == ["MIT", "Apache-2.0"]
     assert licenses.classify("SPDX-License-Identifier: Python-2.0", model)[0] == licenses.UNKNOWN
+
+
+# ---- pages: names and time ------------------------------------------------------------------
+
+
+def _paragraphs(word, n):
+    return "".join(f"<p>{word} number {i}, which goes on, and on, with words to read.</p>" for i in range(n))
+
+
+@pytest.mark.parametrize("page", [
+    "<div class=content>{art}</div><div id=comments class=comments>{com}</div>",
+    "<article>{art}</article><section id=comments>{com}</section>",
+    "<article>{art}<section class='comment-list'>{com}</section></article>",
+    "<div>{art}</div><div class='cookie-notice'>{com}</div>",
+    "<div>{art}</div><div class='sidebar'><div class='ads'>{com}</div></div>",
+    "<div class='overlay'>{art}</div><div class='comments'>{com}</div><div>1 Jan</div>",
+])
+def test_comments_and_notices_never_win(page):
+    text = pages.main_text(page.format(art=_paragraphs("Art", 3), com=_paragraphs("Com", 12)))
+    assert text.count("Art") == 3 and "Com" not in text
+
+
+def test_named_blocks_count_where_nothing_else_has_text():
+    assert pages.main_text("<div class=comments><p>Only this.</p></div>") == "Only this."
+    assert pages.main_text("<div class=sidebar><p>This.</p></div><div class=ads><p>Not.</p></div>") == "This."
+
+
+def test_deep_pages_take_linear_time():
+    def took(n):
+        source = "<div>" * n + "<p>a, b</p><ul><li><a href=x>u</a><li><a>w</a></ul>" * n + "</div>" * n
+        source += "<p><button>" + "<div><i>" * n + "x"
+        started = time.process_time()
+        pages.main_text(source)
+        return time.process_time() - started
+
+    took(200)
+    assert took(8000) < 16 * max(took(1000), 0.05)
