@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from panelloom.functions import tails
 from panelloom.functions.ranking import average_ranks, running_totals
 from panelloom.operators.distributions import xlog2
-from panelloom.session import n_rows, one
+from panelloom.session import materialize, n_rows, one
 
 SMOOTHING = 0.5
 
@@ -161,28 +160,38 @@ def representativeness(panel: DataFrame, column: str, reference: DataFrame) -> D
 
 # --- raking ---------------------------------------------------------------
 
-MAX_CELLS = 1_000_000
+#: Cells that one task iterates over by itself; more stay distributed.
+TASK_CELLS = 1_000_000
 
 
-def rake_cells(
-    counts: np.ndarray, codes: np.ndarray, targets: list[np.ndarray], passes: int, tolerance: float
-) -> np.ndarray:
-    """Weight per margin cell. Group totals are taken once per column and pass;
-    code -1 marks a level without a target, whose weight stays."""
-    weight = np.ones(len(counts))
+def _seen(cells: pd.DataFrame, keys: list[str], factors: list[np.ndarray], axis: int) -> tuple[np.ndarray, float]:
+    """Weighted rows per level of a margin, and in all; code -1 marks a level without a target."""
+    mass = cells["n"].to_numpy(dtype=float)
+    for key, factor in zip(keys, factors):
+        code = cells[key].to_numpy(dtype=int)
+        mass = mass * np.where(code >= 0, factor[code], 1.0)
+    code = cells[keys[axis]].to_numpy(dtype=int)
+    known = code >= 0
+    return np.bincount(code[known], weights=mass[known], minlength=len(factors[axis])), float(mass.sum())
+
+
+def rake_factors(
+    seen: Callable[[list[np.ndarray], int], tuple[np.ndarray, float]], targets: list[np.ndarray],
+    passes: int, tolerance: float,
+) -> list[np.ndarray]:
+    """Factor per level of every margin, by proportional fitting; ``seen`` weighs the cells."""
+    factors = [np.ones(len(t)) for t in targets]
     for _ in range(passes):
         largest = 0.0
         for axis, target in enumerate(targets):
-            code = codes[:, axis]
-            mass = weight * counts
-            seen = np.bincount(code[code >= 0], weights=mass[code >= 0], minlength=len(target))
-            share = seen / mass.sum()
-            factor = np.where(share > 0, target / np.where(share > 0, share, 1.0), 1.0)
-            largest = max(largest, float(np.abs(factor - 1.0).max()))
-            weight = weight * np.where(code >= 0, factor[code], 1.0)
+            mass, total = seen(factors, axis)
+            share = mass / total if total else mass
+            step = np.where(share > 0, target / np.where(share > 0, share, 1.0), 1.0)
+            largest = max(largest, float(np.abs(step - 1.0).max(initial=0.0)))
+            factors[axis] = factors[axis] * step
         if largest < tolerance:
             break
-    return weight * counts.sum() / (weight * counts).sum()
+    return factors
 
 
 def rake(
@@ -190,35 +199,58 @@ def rake(
     margins: Mapping[str, Mapping[str, float]],
     passes: int = 50,
     tolerance: float = 1e-6,
+    task_cells: int = TASK_CELLS,
 ) -> DataFrame:
     """Row weights (mean 1) that match the target shares of every margin.
 
-    Rows with equal margin levels share a weight, so the iteration runs on the
-    distinct level combinations. Levels without a target count as one, which
-    bounds the combinations by the product of target counts plus one.
+    Rows with equal margin levels share a weight, which is a product of one factor per margin,
+    so the iteration runs on the distinct level combinations, stored once. Few of them are
+    iterated over in one task; many stay where they are, with one grouped sum per margin and
+    pass, after which only the factors go out again. Levels without a target count as one and
+    keep their weight.
     """
     names = list(margins)
-    bound = math.prod(len(t) + 1 for t in margins.values())
-    if bound > MAX_CELLS:
-        raise ValueError(f"{bound} margin cells exceed {MAX_CELLS}")
+    targets = [np.array(list(margins[name].values()), dtype=float) for name in names]
     coded = df
     for name in names:
-        levels = F.array(*[F.lit(level) for level in margins[name]])
-        place = F.coalesce(F.array_position(levels, F.col(name).cast("string")), F.lit(0))
-        coded = coded.withColumn(f"__{name}", (place - 1).cast("int"))
+        places = F.create_map(*[F.lit(x) for i, level in enumerate(margins[name]) for x in (str(level), i)])
+        coded = coded.withColumn(f"__{name}", F.coalesce(places[F.col(name).cast("string")], F.lit(-1)))
     keys = [f"__{name}" for name in names]
-    cells = coded.groupBy(*keys).agg(n_rows().alias("n"))
-    targets = [np.array(list(margins[name].values()), dtype=float) for name in names]
-
-    def weigh(frame: pd.DataFrame) -> pd.DataFrame:
-        codes = frame[keys].to_numpy(dtype=int)
-        weights = rake_cells(frame["n"].to_numpy(dtype=float), codes, targets, passes, tolerance)
-        return frame[keys].assign(weight=weights)
-
-    schema = ", ".join(f"`{k}` INT" for k in keys) + ", weight DOUBLE"
-    # At most ``bound`` rows meet here.
-    weights = cells.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(weigh, schema)
-    return coded.join(F.broadcast(weights), keys).drop(*keys)
+    cells = materialize(coded.groupBy(*keys).agg(n_rows().alias("n")), "rake")
+    schema = "axis INT, code INT, value DOUBLE"
+
+    if cells.count() <= task_cells:
+        def solve(frame: pd.DataFrame) -> pd.DataFrame:
+            found = rake_factors(lambda f, axis: _seen(frame, keys, f, axis), targets, passes, tolerance)
+            return pd.DataFrame(
+                [(i, j, x) for i, factor in enumerate(found) for j, x in enumerate(factor)],
+                columns=["axis", "code", "value"],
+            )
+
+        solved = cells.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(solve, schema)
+        factors = [np.ones(len(t)) for t in targets]
+        for row in solved.collect():
+            factors[row["axis"]][row["code"]] = row["value"]
+    else:
+        def seen(current: list[np.ndarray], axis: int) -> tuple[np.ndarray, float]:
+            def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for frame in frames:
+                    mass, total = _seen(frame, keys, current, axis)
+                    yield pd.DataFrame({"axis": axis, "code": range(-1, len(mass)), "value": [total, *mass]})
+
+            sums = cells.mapInPandas(add, schema).groupBy("code").agg(F.sum("value").alias("value"))
+            found = {r["code"]: r["value"] for r in sums.collect()}  # one row per level
+            return np.array([found[i] for i in range(len(targets[axis]))]), found[-1]
+
+        factors = rake_factors(seen, targets, passes, tolerance)
+
+    weight = F.lit(1.0)
+    for key, factor in zip(keys, factors):
+        level = F.create_map(*[F.lit(x) for i, v in enumerate(factor.tolist()) for x in (i, v)])
+        weight = weight * F.coalesce(level[F.col(key)], F.lit(1.0))
+    weighted = cells.select((F.col("n") * weight).alias("mass"), "n")
+    scale = one(weighted, F.sum("n") / F.sum("mass"))
+    return coded.withColumn("weight", weight * scale).drop(*keys)
 
 
 # --- drift ----------------------------------------------------------------

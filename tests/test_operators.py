@@ -93,6 +93,22 @@ def test_raking_hits_margins_with_mean_one(spark):
     assert by["north"] == pytest.approx(0.5, abs=1e-3)
 
 
+def test_raking_in_one_task_and_spread_agree(spark):
+    rng = np.random.default_rng(9)
+    rows = [tuple(f"l{x}" for x in rng.integers(0, 4, 3)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    margins = {c: {f"l{i}": w for i, w in enumerate(s)} for c, s in (
+        ("a", (0.1, 0.2, 0.3, 0.4)), ("b", (0.4, 0.3, 0.2, 0.1)), ("c", (0.25, 0.25, 0.5)))}
+    both = [
+        {tuple(r)[:3]: r["weight"] for r in stats.rake(df, margins, passes=30, task_cells=n).distinct().collect()}
+        for n in (1000, 3)
+    ]
+    assert both[0].keys() == both[1].keys()
+    assert all(both[0][k] == pytest.approx(both[1][k]) for k in both[0])
+    assert sum(both[0][r] for r in rows if r[0] == "l3") / 400 == pytest.approx(0.4, abs=0.01)
+    assert stats.rake(df.limit(0), margins).count() == 0
+
+
 def month_rows(spark, months, late):
     rows = []
     for m in range(months):
