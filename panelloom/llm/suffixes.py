@@ -499,38 +499,56 @@ RESULT = [
 ]
 
 
+def _windows_of(marks: pa.ListArray, tags: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
+    """Which bytes a removed window starts at, out of the marks of all texts."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(marks), 0))
+    row = np.repeat(np.arange(len(marks)), lengths)
+    start, mask, tag = (np.asarray(a) for a in marks.flatten().flatten())
+    own = tag == tags[row]
+    at = (offsets[row] + start)[own]
+    mask = mask[own]
+    first = np.zeros(n, bool)
+    shift = 0
+    while len(at):
+        first[at[(mask & 1) > 0] + shift] = True
+        mask = mask >> 1
+        left = mask > 0
+        at, mask, shift = at[left], mask[left], shift + 1
+    return first
+
+
 def _cut(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = as_bytes(column(batch, "text"))
-            marks = column(batch, "marks")
-            rows: list[tuple] = []
-            texts: list[str | None] = []
-            for i in range(batch.num_rows):
-                part = data[offsets[i] : offsets[i + 1]]
-                gone = np.zeros(len(part) + 1, np.int32)
-                item = marks[i].as_py() or []
-                if item:
-                    tag = int(_tags(part, np.array([0, len(part)]))[0])
-                    item = [m for m in item if m["tag"] == tag]
-                if item:
-                    start = np.array([m["start"] for m in item])
-                    mask = np.array([m["mask"] for m in item], np.int64)
-                    for shift in range(WINDOWS):
-                        at = start[(mask >> shift) & 1 == 1] + shift
-                        np.add.at(gone, at, 1)
-                        np.add.at(gone, at + LENGTH, -1)
-                removed = np.cumsum(gone)[:-1] > 0
-                spans = int(removed[:1].sum() + (removed[1:] & ~removed[:-1]).sum())
-                kept = part[~removed].tobytes()
-                rows.append((len(part), int(removed.sum()), spans, hashlib.sha256(kept).hexdigest()))
-                if keep_text:
-                    whole = column(batch, "text")[i].as_py()
-                    texts.append(kept.decode("utf-8", "ignore") if spans else whole)
-            values = list(zip(*rows)) if rows else [[]] * 4
-            columns = {name: column(batch, name) for name in batch.schema.names if name != "marks"}
+        for rows, data, offsets in pieces(batches):
+            marks = column(rows, "marks")
+            marked = np.asarray(pc.fill_null(pc.list_value_length(marks), 0)) > 0
+            tags = np.zeros(rows.num_rows, np.int64)
+            for i in np.flatnonzero(marked).tolist():
+                tags[i] = _tags(data[offsets[i] : offsets[i + 1]], offsets[i : i + 2] - offsets[i])[0]
+            sums = np.zeros(len(data) + LENGTH + 1, np.int32)
+            np.cumsum(_windows_of(marks, tags, offsets, len(data)), out=sums[LENGTH + 1 :])
+            # A byte goes if one of the windows that may cover it does; none reaches over a text's end.
+            gone = sums[LENGTH + 1 :] > sums[1 : len(data) + 1]
+            count = np.concatenate([[0], np.cumsum(gone)])
+            n_removed = np.diff(count[offsets])
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            cuts = offsets[:-1][np.diff(offsets) > 0]
+            begins[cuts] = gone[cuts]
+            n_spans = np.diff(np.concatenate([[0], np.cumsum(begins)])[offsets])
+            raw, keep = data.tobytes(), ~gone
+            kept = [
+                (data[a:b][keep[a:b]].tobytes() if n else raw[a:b])
+                for a, b, n in zip(offsets[:-1].tolist(), offsets[1:].tolist(), n_removed.tolist())
+            ]
+            columns = {name: column(rows, name) for name in rows.schema.names if name != "marks"}
             if keep_text:
-                columns["text"] = pa.array(texts, pa.string())
+                changed = pa.array(n_removed > 0)
+                short = [k.decode("utf-8", "ignore") if n else None for k, n in zip(kept, n_removed)]
+                columns["text"] = pc.if_else(changed, pa.array(short, pa.string()), columns["text"].cast(pa.string()))
+            values = (
+                np.diff(offsets), n_removed, n_spans, [hashlib.sha256(k).hexdigest() for k in kept]
+            )
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [*columns.values(), *[pa.array(v, k) for v, k in zip(values, kinds)]],
