@@ -49,7 +49,58 @@ def _(t):
     return t.texts.select("id", F.array_join(screens.pii_flags("text"), ",").alias("kinds"))
 
 
-@query("o01_pii_spans")
+_LUHN_SQL = """list_sum(list_transform(list_reverse(string_split(regexp_replace(found, '[ -]', '', 'g'), '')),
+  lambda d, i: CASE WHEN i % 2 = 1 THEN CAST(d AS INTEGER) WHEN CAST(d AS INTEGER) * 2 > 9
+  THEN CAST(d AS INTEGER) * 2 - 9 ELSE CAST(d AS INTEGER) * 2 END)) % 10 = 0"""
+
+
+def _spans_sql(source: str) -> str:
+    """``spans(id, kind, start, stop)`` of ``source(id, text)``: every match is put between two marks,
+    the text is cut there, and spans that overlap one kept before go, one span per step."""
+    whole, group = r"chr(1) || '\0' || chr(2)", r"'\1' || chr(1) || '\2' || chr(2)"
+    stated, name = P.NAME_STATED.split(")([A-Z]", 1)
+    signed, twice = P.NAME_SIGNED.split(")([A-Z]", 1)
+    kinds = [
+        ("email", P.EMAIL, whole), ("ssn", P.SSN, whole),
+        # RE2 has no look-around: each neighbour gets a mark behind it, so that two cards can share it.
+        ("credit_card", "(^|[^\\d-])((?:\\d(?: \x03|-)?){12,18}\\d)([^\\d-]|$)", group + r" || '\3'"),
+        ("phone", P.PHONE, whole), ("address", P.ADDRESS, whole),
+        ("name", f"({stated}))([A-Z]{name}", group), ("name", f"({signed}))([A-Z]{twice}", group),
+    ]
+    shown = r"regexp_replace(text, '([^\d-])', '\1' || chr(3), 'g')"
+    marked = " UNION ALL ".join(
+        f"SELECT id, {_lit(kind)} AS kind, {rank} AS rank, string_split(replace(regexp_replace("
+        f"{shown if kind == 'credit_card' else 'text'}, {_lit(pattern)}, {put}, 'g'), chr(3), ''), chr(1)) AS parts FROM t"
+        for rank, (kind, pattern, put) in enumerate(kinds)
+    )
+    return f"""WITH RECURSIVE t AS ({source}), m AS ({marked}),
+  s AS (SELECT id, kind, rank, split_part(parts[i], chr(2), 1) AS found, CAST(list_sum(list_transform(
+    parts[1:i - 1], lambda x: length(replace(x, chr(2), '')))) AS BIGINT) AS start
+    FROM m, unnest(range(2, len(parts) + 1)) AS u(i)),
+  o AS (SELECT id, kind, start, start + length(found) AS stop, row_number() OVER (PARTITION BY id
+    ORDER BY start, -length(found), rank) AS i FROM s WHERE kind <> 'credit_card' OR {_LUHN_SQL}),
+  k AS (SELECT DISTINCT id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS reach, CAST(NULL AS VARCHAR) AS kind,
+    CAST(NULL AS BIGINT) AS start, false AS kept FROM o
+    UNION ALL SELECT o.id, o.i, CASE WHEN o.start >= k.reach THEN o.stop ELSE k.reach END, o.kind, o.start,
+    o.start >= k.reach FROM k JOIN o ON o.id = k.id AND o.i = k.i + 1),
+  spans AS (SELECT id, kind, start, reach AS stop FROM k WHERE kept)"""
+
+
+_LABELS_SQL = "CASE kind " + " ".join(f"WHEN {_lit(k)} THEN {_lit(v)}" for k, v in P.REDACTION.items()) + " END"
+#: Text before each span and its label, and the text after the last one.
+_REDACTED_SQL = f""", pieces AS (SELECT id, string_agg(substr(text, before + 1, start - before) || {_LABELS_SQL}, ''
+    ORDER BY start) AS head, max(stop) AS done FROM (SELECT *, coalesce(lag(stop) OVER (PARTITION BY id
+    ORDER BY start), 0) AS before FROM spans) JOIN t USING (id) GROUP BY id),
+  redacted AS (SELECT id, coalesce(head || substr(text, done + 1), text) AS text, head IS NOT NULL AS hit
+    FROM t LEFT JOIN pieces USING (id))"""
+_DOCS = "SELECT doc_id AS id, text FROM documents"
+
+
+@query(
+    "o01_pii_spans",
+    _spans_sql(_DOCS) + """ SELECT kind AS type, count(*) AS n, CAST(min(stop - start) AS INTEGER) AS shortest,
+    CAST(max(stop - start) AS INTEGER) AS longest FROM spans GROUP BY kind""",
+)
 def _(t):
     found = t.texts.select("id", screens.pii_spans("text").alias("p")).filter("size(p.spans) > 0")
     return found.select("id", F.inline("p.spans")).groupBy("type").agg(
@@ -70,7 +121,7 @@ def _(t):
     return only.select("id", F.length(screens.redact("text")).cast("bigint").alias("n"))
 
 
-@query("o02_redact")
+@query("o02_redact", f"{_spans_sql(_DOCS)}{_REDACTED_SQL} SELECT id, text FROM redacted")
 def _(t):
     return t.texts.select("id", screens.redact("text").alias("text"))
 
@@ -357,7 +408,11 @@ def _(t):
     )
 
 
-@query("o13_sanitize_responses")
+@query(
+    "o13_sanitize_responses",
+    f"""{_spans_sql(f"SELECT id, text FROM {_TURNS}")}{_REDACTED_SQL} SELECT id AS response_id, text AS answer,
+    CASE WHEN hit THEN 'pii_redacted' ELSE '' END AS security_flags FROM redacted""",
+)
 def _(t):
     rows = t.turns.select(F.col("id").alias("response_id"), F.col("text").alias("answer"))
     return text.sanitize_responses(rows).select(
