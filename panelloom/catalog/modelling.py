@@ -114,6 +114,24 @@ def _(t):
     )
 
 
+@query(
+    "c13_conditioning",
+    "SELECT panelist_id AS id, CAST(1 AS DOUBLE) AS length, "
+    + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS d{i}" for i, c in enumerate(_DEMO))
+    + " FROM panelists",
+    ("panelists",),
+)
+def _(t):
+    # The behavior part has length one, and the demographic part follows it.
+    vectors = features.l2_normalize(features.random_projection(_vectors(t), len(NAMES)))
+    joined = features.conditioning(vectors, features.encode_demographics(t.panelists))
+    head = F.aggregate(F.slice("vector", 1, 128), F.lit(0.0), lambda s, x: s + x * x)
+    return joined.select(
+        "id", F.round(F.sqrt(head), 6).alias("length"),
+        *[F.round(F.get("vector", F.lit(128 + i)), 6).alias(f"d{i}") for i in range(len(_DEMO))],
+    )
+
+
 _TOKENS = f"""tok AS (SELECT panelist_id, transaction_date, line_ref, product_category || '|' || {_BIN} ||
   '|' || CASE WHEN is_promotion THEN 'promo' ELSE 'no_promo' END AS token FROM purchases),
   vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY token) + 1 AS INTEGER) AS token_id

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.catalog.base import folder, query
@@ -255,13 +258,30 @@ def _(t):
     return store.load_cohort(t.spark, path, "run_2")
 
 
-@query("a19_embedding_artifact", "SELECT vec_id AS id, label FROM embeddings")
+@query(
+    "a19_embedding_artifact",
+    """WITH e AS (SELECT vec_id AS id, label, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total,
+    round(CAST(embedding[1] AS DOUBLE), 4) AS first FROM embeddings)
+    SELECT 'v1' AS version, id, label, total, first FROM e UNION ALL
+    SELECT 'v2', id, label, -total, -first FROM e WHERE label < 5""",
+)
 def _(t):
+    # Two versions are stored; each comes back as it was written, and a stale one gives no rows.
     from panelloom.sources import store
 
     path = folder(t, "vectors")
     store.save_embeddings(t.embeddings, path, "v1")
-    return store.load_embeddings(t.spark, path, "v1").select("id", "label")
+    turned = t.embeddings.filter("label < 5").withColumn("vector", F.transform("vector", lambda x: -x))
+    store.save_embeddings(turned, path, "v2")
+    found = [
+        store.load_embeddings(t.spark, path, version).select(
+            F.lit(version).alias("version"), "id", "label",
+            F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 4).alias("total"),
+            F.round(F.get("vector", F.lit(0)), 4).alias("first"),
+        )
+        for version in ("v0", "v1", "v2")
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 # --- B: projections and predicates ----------------------------------------
@@ -438,18 +458,35 @@ def _(t):
 
 @query(
     "b12_question_prompt",
-    """SELECT question_id, 'Survey Question: ' || min(question_text) || chr(10) || chr(10) ||
-    'Response Options:' || chr(10) || string_agg(DISTINCT '  ' || (answer_index + 1) || '. ' || answer,
-    chr(10) ORDER BY '  ' || (answer_index + 1) || '. ' || answer) AS prompt
-    FROM responses GROUP BY question_id""",
+    """WITH q AS (SELECT question_id, min(question_text) AS text, string_agg(DISTINCT '  ' || (answer_index + 1)
+    || '. ' || answer, chr(10) ORDER BY '  ' || (answer_index + 1) || '. ' || answer) AS options
+    FROM responses GROUP BY question_id),
+    r AS (SELECT question_id, panelist_id, row_number() OVER (PARTITION BY panelist_id ORDER BY question_id) AS i,
+    region, answer FROM responses),
+    e AS (SELECT r.question_id, r.panelist_id, r.region, r.i, string_agg('  Q' || b.i || ': ' || b.question_id ||
+    ' - ' || b.answer, chr(10) ORDER BY b.i) AS earlier FROM r LEFT JOIN r b ON b.panelist_id = r.panelist_id
+    AND b.i < r.i GROUP BY ALL)
+    SELECT question_id, panelist_id, 'Survey Question: ' || text || chr(10) || chr(10) || 'Response Options:' ||
+    chr(10) || options || CASE WHEN region = 'ASIA' THEN '' ELSE chr(10) || chr(10) || 'Context: ' || region END ||
+    coalesce(chr(10) || chr(10) || 'Your previous answers in this survey:' || chr(10) || earlier || chr(10) ||
+    chr(10) || 'Ensure your answer is logically consistent with your previous responses.', '') AS prompt
+    FROM e JOIN q USING (question_id)""",
     ("responses",),
 )
 def _(t):
-    catalog = t.catalog
+    # Each answer's prompt as it would have been: the region as context (but for one region), and
+    # the panelist's answers to the questions before.
+    given = F.struct("question_id", "answer")
+    before = F.filter(
+        F.array_sort(F.collect_list(given).over(Window.partitionBy("panelist_id"))),
+        lambda g: g["question_id"] < F.col("question_id"),
+    )
+    asked = t.responses.select("question_id", "panelist_id", "region", before.alias("before"))
     prompt = expr.question_prompt(
-        "question_text", "options", F.lit(""), F.array().cast("array<string>")
+        "question_text", "options", F.when(F.col("region") != "ASIA", F.col("region")).otherwise(""),
+        F.transform("before", lambda g: F.concat(g["question_id"], F.lit(" - "), g["answer"])),
     )
-    return catalog.select("question_id", prompt.alias("prompt"))
+    return asked.join(t.catalog, "question_id").select("question_id", "panelist_id", prompt.alias("prompt"))
 
 
 @query(
@@ -471,17 +508,29 @@ def _(t):
 
 @query(
     "b14_question_type",
-    """SELECT CASE WHEN contains(l, 'how likely') OR contains(l, 'recommend') OR contains(l, 'nps')
-    THEN 'net_promoter' WHEN contains(l, 'agree') OR contains(l, 'disagree') OR contains(l, 'important')
-    OR contains(l, 'satisfied') THEN 'likert_5' WHEN contains(l, 'rank') OR contains(l, 'order') OR
-    contains(l, 'prioritize') THEN 'ranking' ELSE 'single_choice' END AS question_type, role,
-    count(*) AS n FROM (SELECT lower(text) AS l, role FROM conversations) GROUP BY ALL""",
-)
-def _(t):
-    spec = expr.question_spec(F.lit("no json"), "text")
-    return t.turns.groupBy(spec["question_type"].alias("question_type"), "role").agg(
-        F.count(F.lit(1)).alias("n")
+    """WITH k AS (SELECT role, turn % 4 AS shape, CASE WHEN contains(l, 'how likely') OR contains(l, 'recommend')
+    OR contains(l, 'nps') THEN 'net_promoter' WHEN contains(l, 'agree') OR contains(l, 'disagree') OR
+    contains(l, 'important') OR contains(l, 'satisfied') THEN 'likert_5' WHEN contains(l, 'rank') OR
+    contains(l, 'order') OR contains(l, 'prioritize') THEN 'ranking' ELSE 'single_choice' END AS guess
+    FROM (SELECT lower(text) AS l, role, turn FROM conversations))
+    SELECT CASE shape WHEN 1 THEN 'ranking' WHEN 2 THEN 'single_choice' ELSE guess END AS question_type, role,
+    CASE shape WHEN 1 THEN 'taste' WHEN 2 THEN NULL ELSE 'general' END AS category, CAST(CASE WHEN shape = 1 THEN 3
+    WHEN shape = 2 OR guess = 'ranking' THEN 0 WHEN guess = 'net_promoter' THEN 11 ELSE 5 END AS INTEGER) AS options,
+    count(*) AS n FROM k GROUP BY ALL""",
+)
+def _(t):
+    # Turns carry no spec, a whole one, one of an unknown type, or one that does not parse.
+    shape = F.substring_index("id", "-", -1).cast("int") % 4
+    given = (
+        F.when(shape == 1, '```json\n{"question_type": "ranking", "options": ["a", "b", "c"], "category": "taste"}\n```')
+        .when(shape == 2, '{"question_type": "riddle", "options": 7}')
+        .when(shape == 3, '{"question_type": "ranking", ').otherwise("no json")
     )
+    spec = expr.question_spec(given, "text")
+    return t.turns.groupBy(
+        spec["question_type"].alias("question_type"), "role", spec["category"].alias("category"),
+        F.size(spec["options"]).alias("options"),
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -686,21 +735,3 @@ def _(t):
         "question_id", F.col("seq").alias("first_flagged")
     )
     return joins.attach_first(catalog, evidence, ["question_id"], ["first_flagged"])
-
-
-@query(
-    "c13_conditioning",
-    f"""SELECT panelist_id AS id, 128 + 20 AS dims FROM panelists""",
-    ("panelists",),
-)
-def _(t):
-    from panelloom.operators import features
-
-    levels = features.category_levels(t.purchases)
-    names = features.feature_names(levels)
-    raw = features.standardize(features.behavior_features(t.purchases, t.panelists, levels), names)
-    vectors = features.random_projection(features.as_vector(raw, names), len(names))
-    joined = features.conditioning(features.l2_normalize(vectors), features.encode_demographics(t.panelists))
-    return joined.select("id", F.size("vector").alias("dims"))
-
-

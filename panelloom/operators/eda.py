@@ -27,14 +27,10 @@ def ordered_distribution(df: DataFrame, column: str, scale: Sequence[str] = ())
     total = one(every, F.sum("count"))
     counts = every.filter("label IS NOT NULL")
     place = expr.scale_position("label", scale) if scale else F.lit(None).cast("int")
-    order = Window.orderBy(F.col("place").asc_nulls_last(), F.col("count").desc(), "label")
-    # One row per distinct value is left here.
-    return (
-        counts.withColumn("place", place)
-        .select(
-            "label", "count", _share(F.col("count"), total).alias("share"),
-            F.row_number().over(order).alias("position"),
-        )
+    order = [F.col("place").asc_nulls_last(), F.col("count").desc(), F.col("label")]
+    listed = counts.select("label", "count", _share(F.col("count"), total).alias("share"), place.alias("place"))
+    return positions(listed, order, label="distribution").select(
+        "label", "count", "share", F.col("position").cast("int").alias("position")
     )
 
 
@@ -201,17 +197,15 @@ def cluster_profile(purchases: DataFrame, panelists: DataFrame) -> DataFrame:
     by_brand = purchases.groupBy("panelist_id", "brand").agg(
         n_rows().alias("rows"), F.sum(cheap).alias("cheap"), F.sum(near).alias("near"),
         F.sum(F.col("is_promotion").cast("int")).alias("promo"),
-        F.collect_set("product_category").alias("categories"),
     )
+    kinds = purchases.filter("product_category is not null").select("panelist_id", "product_category").distinct()
+    breadth = kinds.groupBy("panelist_id").agg(n_rows().cast("double").alias("breadth"))
     house = by_brand.groupBy("panelist_id").agg(
         (F.sum("cheap") / F.sum("rows")).alias("price_sensitivity"),
         (F.max("rows") / F.sum("rows")).alias("brand_loyalty"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("categories")))).cast("double").alias(
-            "category_breadth"
-        ),
         (F.sum("promo") / F.sum("rows")).alias("promotion_response"),
         (F.sum("near") / F.sum("rows")).alias("convenience_preference"),
-    )
+    ).join(breadth, "panelist_id", "left").withColumn("category_breadth", F.coalesce("breadth", F.lit(0.0)))
     means = (
         panelists.select("panelist_id", "behavioral_archetype")
         .join(house, "panelist_id")
