@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelloom.catalog.aggregates import BOUNDS, catalog_of, r6
 from panelloom.catalog.base import folder, query
 from panelloom.catalog.screening import _RED, _flags
+from panelloom.catalog.statistics import drift_decision_sql
 from panelloom.streaming import live, state, windows
 
 _HOUR = "time_bucket(INTERVAL '1 hour', event_time)"
@@ -247,12 +248,22 @@ def _(t):
     return live.run_available(out, folder(t, "admit")).drop("batch")
 
 
-@query("k09_drift_stream")
+@query(
+    "k09_drift_stream",
+    # Periods of 30 days since the epoch, closed once the watermark of 31 days has passed their end.
+    drift_decision_sql(
+        "3",
+        """SELECT strftime(DATE '1970-01-01' + CAST(p * 30 AS INTEGER), '%Y-%m-%d') AS period, c, count(*) AS n
+        FROM (SELECT (CAST(l_shipdate AS DATE) - DATE '1970-01-01') // 30 AS p, p_type AS c,
+        max(CAST(l_shipdate AS DATE) - DATE '1970-01-01') OVER () AS newest FROM lineitem JOIN part
+        ON l_partkey = p_partkey) WHERE (p + 1) * 30 <= newest - 31 GROUP BY ALL""",
+    ),
+)
 def _(t):
-    stream = live.read_stream(t.spark, f"{t.sf_dir}/lineitem.parquet").select(
-        F.to_date("l_shipdate").alias("transaction_date"),
-        F.col("l_returnflag").alias("product_category"),
-    )
+    parts = t.spark.read.parquet(f"{t.sf_dir}/part.parquet").select("p_partkey", "p_type")
+    stream = live.read_stream(t.spark, f"{t.sf_dir}/lineitem.parquet").join(
+        parts, F.col("l_partkey") == F.col("p_partkey")
+    ).select(F.to_date("l_shipdate").alias("transaction_date"), F.col("p_type").alias("product_category"))
     path = folder(t, "drift")
     live.drift_stream(stream, path).awaitTermination()
     return live.latest(t.spark, path, "decision")

@@ -258,9 +258,12 @@ def _(t):
     return r6(stats.overall_cosine(aligned(t)), "cosine")
 
 
-def _drift_sql(smooth: str) -> str:
-    return f"""n AS (SELECT strftime(transaction_date, '%Y-%m') AS period, product_category AS c,
-  count(*) AS n FROM purchases GROUP BY ALL), ps AS (SELECT period, row_number() OVER (ORDER BY period)
+_MONTHLY = """SELECT strftime(transaction_date, '%Y-%m') AS period, product_category AS c,
+  count(*) AS n FROM purchases GROUP BY ALL"""
+
+
+def _drift_sql(smooth: str, counts: str = _MONTHLY) -> str:
+    return f"""n AS ({counts}), ps AS (SELECT period, row_number() OVER (ORDER BY period)
   AS rk FROM (SELECT DISTINCT period FROM n)), f AS (SELECT ps.period, ps.rk, cs.c,
   coalesce(n.n, 0) AS n FROM ps CROSS JOIN (SELECT DISTINCT c FROM n) cs LEFT JOIN n
   ON n.period = ps.period AND n.c = cs.c), b AS (SELECT c, sum(n) + CAST({smooth} AS DOUBLE) AS b FROM f
@@ -303,16 +306,17 @@ def _decision_sql(k: str) -> str:
   AS rule FROM st)"""
 
 
-@query(
-    "e16_drift_decision",
-    f"""WITH {_drift_sql('1.5')}, {_decision_sql('1')} SELECT count(*) AS periods,
+def drift_decision_sql(k_sigma: str, counts: str = _MONTHLY) -> str:
+    """Decision over the series of ``counts(period, c, n)``."""
+    return f"""WITH {_drift_sql('1.5', counts)}, {_decision_sql(k_sigma)} SELECT count(*) AS periods,
     count(*) FILTER (WHERE br) AS breaches, coalesce(string_agg(period, ',' ORDER BY period)
     FILTER (WHERE br), '') AS breach_periods, round(any_value(m), 6) AS noise_mean,
     round(any_value(s), 6) AS noise_std, round(any_value(l), 6) AS trigger_level,
     count(rule) > 0 AS fired, min(period) FILTER (WHERE rule IS NOT NULL) AS fired_period,
-    arg_min(rule, period) FILTER (WHERE rule IS NOT NULL) AS rule FROM ru, lv""",
-    ("purchases",),
-)
+    arg_min(rule, period) FILTER (WHERE rule IS NOT NULL) AS rule FROM ru, lv"""
+
+
+@query("e16_drift_decision", drift_decision_sql("1"), ("purchases",))
 def _(t):
     series = stats.drift_summed(_months(t), "month", "product_category")
     return stats.drift_decision(series, k_sigma=1.0)

@@ -168,6 +168,7 @@ def cohort_equals(df: DataFrame, filters: Mapping[str, object]) -> Column:
 
 # --- persona text --------------------------------------------------------
 
+# The sentences of the prompt texts, here and below.
 def demographic_sentence() -> Column:
     children = F.when(F.col("has_children"), "with children").otherwise("without children")
     return F.concat(
