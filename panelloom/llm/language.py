@@ -1,9 +1,10 @@
-"""Language identification: multinomial naive Bayes over hashed byte n-grams.
+"""Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Texts are lower-cased in ASCII; their n-grams of 1 to 4 UTF-8 bytes are hashed to a fixed
+Texts are lower-cased in ASCII; their n-grams of 1 to 4 characters are hashed to a fixed
 number of buckets. Learning counts (language, bucket) pairs in Spark, so the model has
 languages x buckets cells whatever the size of the corpus; it goes to the tasks as one matrix of
-log-probabilities. A text's score sums its rows of that matrix.
+log-probabilities. A batch is a sparse matrix, texts by buckets, in rows of bucket numbers; its
+product with the model scores all its texts for all languages.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from panelloom.llm.common import U64, batch_rows, column, mix, pieces
+from panelloom.llm.common import BASE, U64, batch_rows, column, mix, pieces
 
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)
@@ -34,24 +35,40 @@ class Model:
     table: np.ndarray  # buckets x languages, log-probabilities
 
 
-def buckets_of(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket at every position, and whether the ``n`` bytes stay inside one text."""
-    count = len(data) - n + 1
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, A-Z as a-z, and the offsets counted in them."""
+    begins = (data & 0xC0) != 0x80
+    if begins.all():
+        codes = data.astype(np.uint32)
+    else:
+        codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        offsets = np.concatenate([[0], np.cumsum(begins)])[offsets]
+    return np.where((codes >= 65) & (codes <= 90), codes + np.uint32(32), codes), offsets
+
+
+def buckets_of(codes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the ``n``-grams that lie inside of one text, and their texts."""
+    count = len(codes) - n + 1
     if count <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    lower = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data).astype(U64)
-    value = lower[:count] + U64(n << 40)
-    for i in range(1, n):
-        value = value + (lower[i : i + count] << U64(8 * i))
-    inside = np.ones(count, bool)
-    ends = offsets[1:]
-    for i in range(1, n):
-        cut = ends - i
-        inside[cut[(cut >= 0) & (cut < count)]] = False
-    for start, end in zip(offsets[:-1], ends):
-        if end - start < n:
-            inside[start : min(end, count)] = False
-    return (mix(value) >> U64(48)).astype(np.int64), inside
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    wide = codes.astype(U64)
+    with np.errstate(over="ignore"):
+        value = np.full(count, U64(n))
+        for i in range(n):
+            value = value * BASE + wide[i : i + count]
+    lengths = np.maximum(np.diff(offsets) - n + 1, 0)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(owner)) + np.repeat(offsets[:-1] - np.cumsum(lengths) + lengths, lengths)
+    return (mix(value[at]) >> U64(48)).astype(np.int64), owner
+
+
+def product(bucket: np.ndarray, owner: np.ndarray, table: np.ndarray, total: np.ndarray) -> None:
+    """Adds to ``total`` the rows of ``table`` that each text's buckets name."""
+    step = max((1 << 22) // max(table.shape[1], 1), 1)
+    for lo in range(0, len(bucket), step):
+        own = owner[lo : lo + step]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        total[own[first]] += np.add.reduceat(table[bucket[lo : lo + step]], first, axis=0, dtype=float)
 
 
 def learn(
@@ -83,11 +100,11 @@ def learn(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((width, BUCKETS), np.int64)
         for rows, data, offsets in pieces(batches):
-            codes = np.asarray(column(rows, "code"))
-            owner = np.repeat(codes, np.diff(offsets))
+            lang_of = np.asarray(column(rows, "code")).astype(np.int64)
+            text, cuts = characters(data, offsets)
             for n in SIZES:
-                bucket, inside = buckets_of(data, offsets, n)
-                key = owner[: len(bucket)][inside] * BUCKETS + bucket[inside]
+                bucket, owner = buckets_of(text, cuts, n)
+                key = lang_of[owner] * BUCKETS + bucket
                 sums += np.bincount(key, minlength=width * BUCKETS).reshape(width, BUCKETS)
         lang, bucket = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays(
@@ -139,17 +156,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         known = shared.value
         for rows, data, offsets in pieces(batches):
             texts = column(rows, "text")
-            total = np.tile(known.prior, (len(texts), 1))
-            filled = np.flatnonzero(np.diff(offsets))
+            total = np.zeros((len(texts), len(known.languages)))
+            codes, cuts = characters(data, offsets)
             for n in SIZES if known.languages else ():
-                bucket, inside = buckets_of(data, offsets, n)
-                if not len(bucket):
-                    continue
-                for j in range(len(known.languages)):
-                    values = known.table[:, j][bucket]
-                    values[~inside] = 0
-                    values = np.concatenate([values, np.zeros(n - 1, np.float32)])
-                    total[filled, j] += np.add.reduceat(values, offsets[:-1][filled], dtype=float) / len(SIZES)
+                product(*buckets_of(codes, cuts, n), known.table, total)
+            total = known.prior + total / len(SIZES)
             names, scores = [], []
             letters = _has_letter(data, offsets, texts)
             for i, letter in enumerate(letters):

@@ -112,11 +112,11 @@ def test_language_scores_equal_plain_sums(spark):
     right = [found[d]["lang_pred"] == lang for d, (_, lang) in truth.items() if lang]
     assert np.mean(right) > 0.95
     for doc in sorted(found)[:5]:
-        raw = "".join(c.lower() if "A" <= c <= "Z" else c for c in truth[doc][0]).encode()
+        raw = [ord(c.lower()) if "A" <= c <= "Z" else ord(c) for c in truth[doc][0]]
         total = np.array(model.prior)
         for n in language.SIZES:
             for i in range(len(raw) - n + 1):
-                own = np.frombuffer(raw[i : i + n], np.uint8)
+                own = np.array(raw[i : i + n], np.uint32)
                 bucket = language.buckets_of(own, np.array([0, n]), n)[0][0]
                 total = total + model.table[bucket].astype(float) / len(language.SIZES)
         assert model.languages[int(np.argmax(total))] == found[doc]["lang_pred"]
@@ -124,6 +124,27 @@ def test_language_scores_equal_plain_sums(spark):
         assert abs(found[doc]["score"] - chance.max() / chance.sum()) < 1e-3
 
 
+def test_language_grams_are_characters_of_one_text():
+    texts = ["Ab", "é漢字x", "", "\U0001F600", "日本"]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    codes, cuts = language.characters(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    assert codes.tolist() == [ord(c) for t in texts for c in t.replace("A", "a")]
+    for n in language.SIZES:
+        bucket, owner = language.buckets_of(codes, cuts, n)
+        want = []
+        for i, t in enumerate(texts):
+            own = np.array([ord(c) for c in t.replace("A", "a")], np.uint32)
+            for j in range(len(own) - n + 1):
+                want.append((i, language.buckets_of(own[j : j + n], np.array([0, n]), n)[0][0]))
+        assert list(zip(owner.tolist(), bucket.tolist())) == want
+    total = np.zeros((5, 3))
+    table = np.arange(language.BUCKETS * 3).reshape(-1, 3)
+    bucket, owner = language.buckets_of(codes, cuts, 2)
+    language.product(bucket, owner, table, total)
+    assert [total[i].tolist() for i in range(5)] == [table[bucket[owner == i]].sum(axis=0).tolist() for i in range(5)]
+
+
 def test_language_odd_rows(spark):
     docs = docs_of(spark, ODD)
     model = language.learn(docs.filter("doc_id > 4"))
