@@ -36,6 +36,8 @@ def components(links: DataFrame, steps: Steps, label: str) -> DataFrame:
         edges = steps.keep(moved, f"{label}-edges{number}", free=False)
         if edges.isEmpty():
             break
+    else:
+        raise RuntimeError("links are left after 64 rounds of contraction")
     found = pointers[0].select("node", F.col("to").alias("component"))
     for point in pointers[1:]:
         step = point.select(F.col("node").alias("component"), "to")
