@@ -11,10 +11,13 @@ Small nodes are compared exhaustively, and so are nodes in which most sets are c
 that is picked by a hash: they would not fall apart. What is compared are all minwise tokens of the
 tree and bitmaps of the parities of hashed shingles; only a spanning forest of the likely pairs
 leaves a node, so a group of n near copies gives n pairs. These are confirmed on the full sets.
-Where one fails, the node is gone through again, for all likely pairs of different components.
+Where one fails, the full sets of its tree meet once more, and likely pairs of different
+components are confirmed there; only the links that join them leave.
 
 Nodes with more sets than a task should hold are split by Spark, level by level, over all
-tasks; below that size a task follows its nodes down by itself.
+tasks; below that size a task follows its nodes down by itself. A large node of sets that are
+close to one is not split: all are compared with that one, and those that stay outside of its
+largest component with all members, block by block.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 from panelloom.llm.common import BASE, MIX_B, U64, Steps, column, mix, pieces
 from panelloom.llm.components import components
 from panelloom.llm.jaccard import bitmaps, differing, map_bytes, word_hashes
+from panelloom.session import small_side
 
 WORDS = 2
 BRANCH = 2
@@ -42,9 +47,10 @@ RECALL = 0.999999  # of links at similarity 0.8, if tokens were independent
 LIKELY = 15
 CLOSE, CLOSE_SHARE = 18, 0.75
 SMALL = 64
-#: Sets of a node that one task follows by itself.
-TASK_SETS = 4096
-CHUNK = 4 * TASK_SETS
+#: Sets of a node that one task follows down by itself, and those of a node that may be compared
+#: as it is, within a task or as a block.
+TASK_SETS, TIGHT_SETS = 1 << 15, 1 << 12
+CHUNK, CHUNK_BYTES = TASK_SETS, 64 << 20
 PAIR_BYTES = 1 << 23
 VERIFY_PART = 256
 NO_ID = 2**63 - 1  # stands for a null id; larger than any other
@@ -255,13 +261,12 @@ def within(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, n
         distance += 1
 
 
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the graph of the pairs on ``n`` vertices."""
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the graph of the pairs on ``n`` vertices, and the tree of each edge."""
     low, high = np.minimum(i, j), np.maximum(i, j)
     parent = np.arange(n)
     np.minimum.at(parent, high, low)
     star = np.flatnonzero(parent != np.arange(n))
-    edges = [(parent[star], star)]
     root = parent
     while (root[root] != root).any():
         root = root[root]
@@ -280,8 +285,10 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
         if a != b:
             to[max(a, b)] = min(a, b)
             kept.append(e)
-    edges.append((low[kept], high[kept]))
-    return np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])
+    while (to[to] != to).any():
+        to = to[to]
+    first, second = np.concatenate([parent[star], low[kept]]), np.concatenate([star, high[kept]])
+    return first, second, to[first]
 
 
 def follow(sets: Sets, node: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -320,63 +327,113 @@ def follow(sets: Sets, node: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray,
 
 def _exhaust(sets: Sets, members: np.ndarray, pivot: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Likely pairs of a node that does not fall apart: all members with the pivot, and the others
-    that this does not connect with all members. With known components, those outside the
-    largest one with all members."""
-    found = []
-    if sets.label is None:
-        i, j = sets.likely(np.full(len(members), members[pivot]), members)
-        found.append((i, j))
-        others = members[~np.isin(members, j) & (np.arange(len(members)) != pivot)]
-    else:
-        name, count = np.unique(sets.label[members], return_counts=True)
-        others = members[sets.label[members] != name[np.argmax(count)]]
-    for one in others.tolist():
-        found.append(sets.likely(np.full(len(members), one), members))
-    return found
-
-
-PAIR = "top bigint, a bigint, b bigint"
-
-
-def _pairs(sets: Sets, top: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    a, b = np.minimum(sets.doc[i], sets.doc[j]), np.maximum(sets.doc[i], sets.doc[j])
-    rows = np.unique(np.stack([top[i], a, b]), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], _names(PAIR))
-
-
-def _follow(again: bool):
-    """Rows come in the order of their nodes. The first time a spanning forest of the likely pairs
-    leaves; again, all of them that connect different components."""
-
-    def solve(rows: pa.Table) -> pa.RecordBatch:
-        label = np.asarray(rows.column("label")) if again else None
-        sets = Sets.of(rows, label)
-        top = np.asarray(rows.column("node")).astype(np.int64)
-        i, j = follow(sets, top.view(U64), np.asarray(rows.column("mask")).astype(np.int64))
-        if not again:
-            i, j = forest(i, j, len(top))
-        return _pairs(sets, top, i, j)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            for lo in range(0, batch.num_rows, CHUNK):
-                held.append(batch.slice(lo, CHUNK))
-                size += held[-1].num_rows
-                if size < CHUNK:
-                    continue
-                rows = pa.Table.from_batches(held)
-                nodes = np.asarray(rows.column("node"))
-                cut = int(np.searchsorted(nodes, nodes[-1]))  # the last node may go on
-                if cut:
-                    yield solve(rows.slice(0, cut))
-                    held = rows.slice(cut).to_batches()
-                    size -= cut
-        if size:
-            yield solve(pa.Table.from_batches(held))
-
-    return run
+    that this does not connect with all members."""
+    i, j = sets.likely(np.full(len(members), members[pivot]), members)
+    others = members[~np.isin(members, j) & (np.arange(len(members)) != pivot)]
+    return [(i, j), *[sets.likely(np.full(len(members), one), members) for one in others.tolist()]]
+
+
+PAIR = "group bigint, a bigint, b bigint"
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the likely pairs below every node; ``group`` names a tree of it."""
+    for rows in _whole(batches, "node"):
+        sets = Sets.of(rows)
+        node = np.asarray(rows.column("node")).astype(np.int64).view(U64)
+        i, j = follow(sets, node, np.asarray(rows.column("mask")).astype(np.int64))
+        i, j, root = forest(i, j, len(node))
+        # A document has one entry per node, but nodes are followed together.
+        group = mix(node[i] ^ mix(sets.doc[root].view(U64))).view(np.int64)
+        a, b = np.minimum(sets.doc[i], sets.doc[j]), np.maximum(sets.doc[i], sets.doc[j])
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (group, a, b)], _names(PAIR))
+
+
+def _recheck(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links inside of a group that connect different components, confirmed on the full sets: at
+    most one per component that they join to another."""
+    for rows in _whole(batches, "group"):
+        texts = pa.table({"text": rows.column("text").combine_chunks()}).to_batches()
+        parts = [shingle_sets(data, offsets) for _, data, offsets in pieces(texts)]
+        tokens = np.concatenate([t for t, _ in parts])
+        size = np.concatenate([np.diff(bounds) for _, bounds in parts])
+        # An id that several rows have may have a text without words besides.
+        rows, size = rows.filter(pa.array(size > 0)), size[size > 0]
+        starts = np.cumsum(size) - size
+        raw, ends = bitmaps(tokens, size).tobytes(), np.cumsum(map_bytes(size))
+        values = minwise(tokens, starts, 1)[1]
+        sets = Sets.of(
+            pa.table(
+                {
+                    "doc": rows.column("doc"), "size": size,
+                    "tokens": pa.array([v.tobytes() for v in values], pa.binary()),
+                    "bits": pa.array([raw[x:y] for x, y in zip(ends - map_bytes(size), ends)], pa.binary()),
+                }
+            ),
+            np.asarray(rows.column("label")),
+        )
+        group = np.asarray(rows.column("group"))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+        links = [
+            link for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist())
+            for link in _connect(sets, lo, hi, tokens, starts)
+        ]
+        if links:
+            pairs = np.sort(sets.doc[np.array(links)], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _connect(
+    sets: Sets, lo: int, hi: int, tokens: np.ndarray, starts: np.ndarray
+) -> Iterator[tuple[int, int]]:
+    """Links that join the components of the sets from ``lo`` to ``hi``: every set against those
+    after it, likely ones first, as long as the two are not joined yet."""
+    root = {label: label for label in sets.label[lo:hi].tolist()}
+
+    def find(label: int) -> int:
+        while root[label] != label:
+            root[label] = root[root[label]]
+            label = root[label]
+        return label
+
+    labels = sets.label.tolist()
+    for one in range(lo, hi - 1):
+        if len(root) == 1:
+            return
+        others = np.arange(one + 1, hi)
+        for j in sets.likely(np.full(len(others), one), others)[1].tolist():
+            a, b = find(labels[one]), find(labels[j])
+            if a == b:
+                continue
+            x = tokens[starts[one] : starts[one] + sets.size[one]]
+            y = tokens[starts[j] : starts[j] + sets.size[j]]
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * common >= 80 * (len(x) + len(y) - common):
+                root[max(a, b)] = min(a, b)
+                yield one, j
+
+
+def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows that come in the order of ``key``, about ``CHUNK`` or ``CHUNK_BYTES`` at a time, no key cut."""
+    held: list[pa.RecordBatch] = []
+    size = weight = 0
+    for batch in batches:
+        step = max(1, min(CHUNK, CHUNK_BYTES * batch.num_rows // max(batch.nbytes, 1)))
+        for lo in range(0, batch.num_rows, step):
+            held.append(batch.slice(lo, step))
+            size += held[-1].num_rows
+            weight += held[-1].nbytes
+            if size < CHUNK and weight < CHUNK_BYTES:
+                continue
+            rows = pa.Table.from_batches(held)
+            keys = np.asarray(rows.column(key))
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+            if cut:
+                yield rows.slice(0, cut)
+                rest = rows.slice(cut)
+                held, size, weight = rest.to_batches(), rest.num_rows, rest.nbytes
+    if size:
+        yield pa.Table.from_batches(held)
 
 
 # --- nodes too large for a task --------------------------------------------------------------
@@ -392,7 +449,7 @@ def _against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         i, j = np.arange(n), np.arange(n, 2 * n)
         likely = np.zeros(n, bool)
         likely[sets.likely(i, j)[0]] = True
-        names = [*_names(ENTRY), "p_doc"]
+        names = [*_names(ENTRY), "p_doc", "n"]
         yield pa.RecordBatch.from_arrays(
             [*[column(batch, c) for c in names], pa.array(sets.close(i, j)), pa.array(likely)],
             [*names, "close", "likely"],
@@ -415,42 +472,43 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _split(entries: DataFrame, steps: Steps, task_sets: int) -> tuple[DataFrame, DataFrame | None]:
-    """Entries of nodes that fit a task, and those of large nodes that would not fall apart."""
-    fitting, tight = None, None
+def _split(entries: DataFrame, steps: Steps, task_sets: int, tight_sets: int) -> tuple[DataFrame, DataFrame | None]:
+    """Entries of nodes that fit a task, and those of nodes above ``tight_sets`` that would not fall
+    apart, the latter with their pivot. The tables of large nodes are small against the entries."""
+    fitting: list[DataFrame] = []
+    tight: list[DataFrame] = []
     level = 0
     while True:
-        sizes = entries.groupBy("node").agg(F.count("*").alias("n"))
-        large = steps.keep(sizes.filter(F.col("n") > task_sets), f"large{level}", free=False)
+        sizes = entries.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > tight_sets)
+        large = small_side(sizes, f"paths-large{level}")
         if large.isEmpty():
-            rest = entries
-        else:
-            rest = entries.join(large, "node", "left_anti").select(*_names(ENTRY))
-        fitting = rest if fitting is None else fitting.unionByName(rest)
-        if large.isEmpty():
-            return fitting, tight
-        members = steps.keep(entries.join(large.select("node"), "node"), f"members{level}", free=False)
+            break
         drawn = F.struct(F.xxhash64("node", "doc").alias("draw"), "doc", "size", "tokens", "bits")
-        pivots = members.groupBy("node").agg(F.min(drawn).alias("p")).select(
-            "node", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("doc", "size", "tokens", "bits")]
+        pivots = small_side(
+            entries.join(large, "node").groupBy("node").agg(F.min(drawn).alias("p"), F.max("n").alias("n"))
+            .select("node", "n", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("doc", "size", "tokens", "bits")]),
+            f"paths-pivots{level}",
         )
-        flagged = steps.keep(
-            members.join(pivots, "node").mapInArrow(
-                _against_pivot, f"{ENTRY}, p_doc bigint, close boolean, likely boolean"
-            ),
-            f"flagged{level}", free=False,
+        flagged = entries.join(pivots, "node").mapInArrow(
+            _against_pivot, f"{ENTRY}, p_doc bigint, n bigint, close boolean, likely boolean"
         )
-        used_up = F.bit_count(F.first("mask")) >= TOKENS
-        done = flagged.groupBy("node").agg(
-            (F.avg(F.col("close").cast("double")) >= CLOSE_SHARE).alias("tight"), used_up.alias("used_up")
-        ).filter("tight or used_up").select("node")
-        ends = flagged.join(done, "node", "left_semi")
-        tight = ends if tight is None else tight.unionByName(ends)
+        judged = flagged.groupBy("node").agg(
+            F.avg(F.col("close").cast("double")).alias("share"), F.max("n").alias("n"),
+            F.max(F.bit_count("mask")).alias("used"),
+        ).select(
+            "node", ((F.col("share") >= CLOSE_SHARE) | (F.col("used") >= TOKENS)).alias("tight"),
+            (F.col("n") > task_sets).alias("wide"),
+        ).filter("tight or wide")
+        judged = small_side(judged, f"paths-judged{level}")
+        tight.append(flagged.join(judged.filter("tight"), "node", "left_semi"))
+        fitting.append(entries.join(judged, "node", "left_anti").select(*_names(ENTRY)))
+        wide = entries.join(judged.filter("not tight"), "node", "left_semi")
         entries = steps.keep(
-            flagged.join(done, "node", "left_anti").select(*_names(ENTRY)).mapInArrow(_branch, ENTRY),
-            f"entries{level + 1}", free=False,
+            wide.select(*_names(ENTRY)).mapInArrow(_branch, ENTRY), f"entries{level + 1}", free=False
         )
         level += 1
+    fitting.append(entries)
+    return reduce(DataFrame.unionByName, fitting), reduce(DataFrame.unionByName, tight) if tight else None
 
 
 def _strangers(key: tuple, members: pa.Table, strangers: pa.Table) -> pa.Table:
@@ -467,7 +525,7 @@ def _strangers(key: tuple, members: pa.Table, strangers: pa.Table) -> pa.Table:
     return pa.table({"a": a, "b": b})
 
 
-def _across(tight: DataFrame, labels: DataFrame, task_sets: int) -> DataFrame:
+def _across(tight: DataFrame, labels: DataFrame, tight_sets: int) -> DataFrame:
     """Likely pairs of the members of a large node that lie outside of its largest component with
     all of its members, block by block."""
     named = tight.join(labels, "doc", "left").withColumn("label", F.coalesce("component", "doc"))
@@ -477,8 +535,8 @@ def _across(tight: DataFrame, labels: DataFrame, task_sets: int) -> DataFrame:
         (F.sum("n") - F.max("n")).alias("others"),
     ).filter("others > 0")
     blocks = largest.select(
-        "node", "largest", F.ceil(F.col("n") / task_sets).cast("int").alias("parts"),
-        F.ceil(F.col("others") / (task_sets // 4)).cast("int").alias("turns"),
+        "node", "largest", F.ceil(F.col("n") / tight_sets).cast("int").alias("parts"),
+        F.ceil(F.col("others") / max(tight_sets // 4, 1)).cast("int").alias("turns"),
     )
     rows = named.join(blocks, "node")
     names = ["node", "doc", "size", "tokens", "bits", "label", "part", "turn"]
@@ -538,7 +596,9 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def near_copies(docs: DataFrame, recall: float = RECALL, task_sets: int = TASK_SETS) -> DataFrame:
+def near_copies(
+    docs: DataFrame, recall: float = RECALL, task_sets: int = TASK_SETS, tight_sets: int = TIGHT_SETS
+) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per document of ``docs(doc_id, text)``.
 
     Sets of distinct 2-word shingles are linked at Jaccard similarity 0.8 and more, confirmed on
@@ -568,8 +628,10 @@ def near_copies(docs: DataFrame, recall: float = RECALL, task_sets: int = TASK_S
         sets.select("doc", "d1", "d2").join(leaders.filter("n > 1").select("d1", "d2", "leader"), ["d1", "d2"])
         .filter("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
     )
-    shown = sets.filter("tokens is not null").join(
-        leaders.select("d1", "d2", "row"), ["d1", "d2", "row"], "left_semi"
+    shown = steps.keep(
+        sets.filter("tokens is not null").join(leaders.select("d1", "d2", "row"), ["d1", "d2", "row"], "left_semi")
+        .select("doc", "size", "bits", "tokens", "roots"),
+        "shown", free=False,
     )
     entries = steps.keep(
         shown.select("doc", "size", "bits", "tokens", F.posexplode("roots").alias("place", "node")).select(
@@ -578,28 +640,43 @@ def near_copies(docs: DataFrame, recall: float = RECALL, task_sets: int = TASK_S
         ),
         "entries0", free=False,
     )
-    fitting, tight = _split(entries, steps, task_sets)
-    found = fitting.repartition("node").sortWithinPartitions("node").mapInArrow(_follow(False), PAIR)
+    fitting, tight = _split(entries, steps, task_sets, tight_sets)
+    found = fitting.repartition("node").sortWithinPartitions("node").mapInArrow(_follow, PAIR)
     if tight is not None:
+        # Without a group: what fails here is left to the blocks below.
         star = tight.filter("likely").select(
-            F.col("node").alias("top"), F.least("doc", "p_doc").alias("a"), F.greatest("doc", "p_doc").alias("b")
+            F.lit(None).cast("bigint").alias("group"), F.least("doc", "p_doc").alias("a"), F.greatest("doc", "p_doc").alias("b")
         )
         found = found.unionByName(star)
-    pairs = steps.keep(found, "pairs", free=False)
-    links = steps.keep(_links(pairs.select("a", "b").distinct(), texts).union(same), "links", free=False)
+    pairs = steps.keep(found, "pairs")
+    if tight is None:
+        steps.drop("entries0")
+    # Only texts with a likely partner are needed from here on; they move once.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    near = steps.keep(texts.join(small_side(wanted, "paths-wanted"), "doc_id", "left_semi"), "near", free=False)
+    links = steps.keep(_links(pairs.select("a", "b").distinct(), near).union(same), "links", free=False)
     known = steps.keep(components(links, steps, "known"), "known", free=False)
 
-    # Nodes with a pair that failed, and strangers of large nodes: all likely pairs across components.
+    # Groups with a pair that failed, and strangers of large nodes: likely pairs across components.
+    # Every set with a likely partner has an edge in the forest, so it is in its group.
     labels = known.select(F.col("node").alias("doc"), "component")
-    failed = pairs.join(links, ["a", "b"], "left_anti").select(F.col("top").alias("node")).distinct()
-    again = fitting.join(failed, "node", "left_semi").join(labels, "doc", "left").withColumn(
-        "label", F.coalesce("component", "doc")
-    ).select(*_names(ENTRY), "label")
-    more = again.repartition("node").sortWithinPartitions("node").mapInArrow(_follow(True), PAIR).select("a", "b")
+    failed = pairs.join(links, ["a", "b"], "left_anti").select("group").distinct()
+    again = steps.keep(
+        pairs.join(failed, "group", "left_semi").select("group", F.explode(F.array("a", "b")).alias("doc")).distinct()
+        .join(labels, "doc", "left").withColumn("label", F.coalesce("component", "doc")),
+        "again", free=False,
+    )
+    late = (
+        again.join(near.withColumnRenamed("doc_id", "doc"), "doc").select("group", "doc", "label", "text")
+        .repartition("group").sortWithinPartitions("group").mapInArrow(_recheck, "a bigint, b bigint")
+    )
     if tight is not None:
-        more = more.union(_across(tight, labels, task_sets))
-    new = steps.keep(more.distinct().join(pairs, ["a", "b"], "left_anti"), "more", free=False)
-    late = steps.keep(_links(new, texts), "late", free=False)
+        wide = steps.keep(
+            _across(tight, labels, tight_sets).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"),
+            "wide", free=False,
+        )
+        late = late.union(_links(wide, texts))
+    late = steps.keep(late, "late", free=False)
     if late.isEmpty():
         final = known
     else:

@@ -75,10 +75,10 @@ def corpus(seed, size=150):
     return rows
 
 
-@pytest.mark.parametrize("seed, task_sets", [(0, paths.TASK_SETS), (1, 8)])
-def test_equals_brute_force(spark, seed, task_sets):
+@pytest.mark.parametrize("seed, sizes", [(0, {}), (1, {"task_sets": 8, "tight_sets": 4})])
+def test_equals_brute_force(spark, seed, sizes):
     rows = corpus(seed)
-    assert run(docs_of(spark, rows).repartition(4), task_sets=task_sets) == brute(rows)
+    assert run(docs_of(spark, rows).repartition(4), **sizes) == brute(rows)
 
 
 def test_odd_rows(spark):
@@ -101,7 +101,7 @@ def test_large_group(spark):
         own[rng.randrange(150)] = f"x{i}"
         rows.append((i, " ".join(own)))
     rows += [(1000 + i, " ".join(rng.choices(base, k=100))) for i in range(100)]
-    assert run(docs_of(spark, rows), task_sets=64) == brute(rows)
+    assert run(docs_of(spark, rows), task_sets=100, tight_sets=32) == brute(rows)
 
 
 def table_of(sets):
@@ -144,13 +144,40 @@ def test_recall_of_a_tree(monkeypatch):
     assert sum(abs(a - b) == 1 and min(a, b) % 2 == 0 for a, b in zip(i.tolist(), j.tolist())) >= 399
 
 
+def test_groups_are_confirmed_on_full_sets():
+    """Rows of two groups, one id with an empty text besides: the links that brute force needs."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    base = rng.choices(words, k=60)
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(60)] = rng.choice(words)
+        texts.append(" ".join(own))
+    rows = [(1 + i % 2, i, i, t) for i, t in enumerate(texts)] + [(2, 59, 59, "")]
+    rows.sort()
+    table = pa.table({k: [r[i] for r in rows] for i, k in enumerate(("group", "doc", "label", "text"))})
+    found = [
+        pair for batch in paths._recheck(iter(table.to_batches(max_chunksize=7)))
+        for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+    ]
+    links = [
+        (a, b) for a in range(60) for b in range(a)
+        if a % 2 == b % 2 and similar(shingles(texts[a]), shingles(texts[b]))
+    ]
+    assert classes(*zip(*found), 60) == classes(*zip(*links), 60) and set(found) <= {(b, a) for a, b in links}
+    assert len(found) < 60 < len(links)
+
+
 def test_forest():
     rng = np.random.default_rng(2)
     for _ in range(50):
         n = 30
         i, j = rng.integers(0, n, (2, 25))
         i, j = i[i != j], j[i != j]
-        a, b = paths.forest(i, j, n)
+        a, b, tree = paths.forest(i, j, n)
+        assert len(set(tree.tolist())) == sum(len(c) > 1 for c in classes(i, j, n))
         assert len(a) == n - len(classes(i, j, n)) and classes(a, b, n) == classes(i, j, n)
 
 
